@@ -83,28 +83,36 @@ def _line_fails(line: Column, rules: LineRules) -> Column:
 def _repeat_words(words: Column) -> Column:
     """Words covered by 3-word windows that occur at least twice in ``words``.
 
-    Windows are compared by a 64-bit hash chained over the three words. Sorting (hash, place) pairs costs
-    n log n for any text; texts without a repeated window stop at the distinct count.
+    Windows are compared by a 64-bit hash chained over the three words. Most texts repeat a few windows at most, and
+    those are found by membership; texts with many repeats sort (hash, place) pairs, n log n for any text.
     """
     zero = F.lit(0).cast("long")
+    few = F.lit(24)
 
     def covered(places: Column) -> Column:
         steps = F.transform(places, lambda p, j: F.coalesce(F.least(F.get(places, j + 1) - p, F.lit(3)), F.lit(3)))
         return F.aggregate(steps, zero, lambda acc, x: acc + x)
 
-    def repeated(pairs: Column) -> Column:
+    def by_sorting(pairs: Column) -> Column:
         same = lambda x, j: F.coalesce(F.get(pairs, j)["h"] == x["h"], F.lit(False))
         near = F.transform(pairs, lambda x, j: F.when(same(x, j - 1) | same(x, j + 1), x["i"]))
         return let(F.sort_array(F.filter(near, lambda p: p.isNotNull())), covered)
 
+    def by_membership(hashes: Column, twice: Column) -> Column:
+        near = F.transform(hashes, lambda h, i: F.when(F.array_contains(twice, h), i))
+        return let(F.filter(near, lambda p: p.isNotNull()), covered)
+
     def windows(hashes: Column) -> Column:
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), zero).otherwise(
-            let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), repeated)
+        pairs = lambda: F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        twice = let(F.sort_array(hashes), lambda s: F.array_distinct(F.filter(s, lambda h, j: h == F.get(s, j + 1))))
+        return let(
+            twice,
+            lambda t: F.when(F.size(t) == 0, zero).when(F.size(t) <= few, by_membership(hashes, t)).otherwise(let(pairs(), by_sorting)),
         )
 
     def chained(single: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(single) - 3)
-        return F.transform(starts, lambda i: F.xxhash64(F.get(single, i), F.get(single, i + 1), F.get(single, i + 2)))
+        all_places = F.transform(single, lambda h, i: F.xxhash64(h, F.get(single, i + 1), F.get(single, i + 2)))
+        return F.slice(all_places, F.lit(1), F.size(single) - 2)
 
     hashes = let(F.transform(words, lambda w: F.xxhash64(w)), chained)
     return F.when(F.size(words) < 3, zero).otherwise(let(hashes, windows))
