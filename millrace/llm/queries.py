@@ -10,12 +10,17 @@ from .common import read_table
 from .html import extract_pages
 from .links import filter_urls
 from .quality import quality_signals
+from .tokens import tokens_round_trip
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens_round_trip(read_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_signals(read_table(spark, sf_dir, "documents"))
 
@@ -26,6 +31,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": op3_html_extraction,
+    "op4_token_output": op4_token_output,
     "op5_quality_rules": op5_quality_rules,
     "op10_url_filters": op10_url_filters,
 }
