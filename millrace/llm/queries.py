@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .html import extract_pages
+from .jaccard import JaccardJoin, jaccard_components
 from .links import filter_urls
 from .quality import quality_signals
 from .tokens import tokens_round_trip
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read_table(spark, sf_dir, "documents"), JaccardJoin(size=3, num=90, den=100))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(read_table(spark, sf_dir, "pages"))
 
@@ -30,6 +35,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_html_extraction": op3_html_extraction,
     "op4_token_output": op4_token_output,
     "op5_quality_rules": op5_quality_rules,
