@@ -11,6 +11,7 @@ from .html import extract_pages
 from .jaccard import JaccardJoin, jaccard_components
 from .links import filter_urls
 from .quality import quality_signals
+from .suffix import remove_repeats
 from .tokens import tokens_round_trip
 
 
@@ -30,6 +31,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_signals(read_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages"))
 
@@ -39,5 +44,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_token_output": op4_token_output,
     "op5_quality_rules": op5_quality_rules,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op10_url_filters": op10_url_filters,
 }
