@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 from .html import extract_pages
 from .jaccard import JaccardJoin, jaccard_components
+from .licenses import scan_documents
 from .links import filter_urls
+from .pii import find_pii
 from .quality import quality_signals
 from .suffix import remove_repeats
 from .tokens import tokens_round_trip
@@ -19,6 +21,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"), JaccardJoin(size=3, num=90, den=100))
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(read_table(spark, sf_dir, "pages"))
 
@@ -35,15 +41,21 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(read_table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_license_scans": op2_license_scans,
     "op3_html_extraction": op3_html_extraction,
     "op4_token_output": op4_token_output,
     "op5_quality_rules": op5_quality_rules,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op8_pii": op8_pii,
     "op10_url_filters": op10_url_filters,
 }
