@@ -5,8 +5,11 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +64,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER_ASCII, LOWER_ASCII)
+
+
+def arrow_pieces(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` whose texts in ``column`` hold about ``limit`` bytes each; a longer text comes alone."""
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        stop = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield batch.slice(first, stop - first)
+        first = stop
