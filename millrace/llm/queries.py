@@ -12,6 +12,7 @@ from .html import extract_pages
 from .jaccard import JaccardJoin, jaccard_components
 from .licenses import scan_documents
 from .links import filter_urls
+from .pieces import encode_documents
 from .pii import find_pii
 from .quality import quality_signals
 from .suffix import remove_repeats
@@ -50,6 +51,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(read_table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages"))
 
@@ -63,5 +68,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_pii": op8_pii,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_url_filters": op10_url_filters,
 }
