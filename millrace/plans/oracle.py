@@ -1 +1,136 @@
-ORACLE_SQL = {}
+"""DuckDB SQL for the screening queries that SQL can express."""
+
+from __future__ import annotations
+
+from . import inline, taxonomy
+from ..operators.detect import EMAIL, INJECTION_PHRASES, ODD_DIGITS, ODD_LETTERS, injection_regex
+from ..sources.policy import REPLY_FIELD, Policy
+
+_D = "[0-9LMNPQRSTUVlmnpqrstuv]"
+_FISCAL = rf"\b[A-Za-z]{{6}}{_D}{{2}}[ABCDEHLMPRSTabcdehlmprst]{_D}{{2}}[A-Za-z]{_D}{{3}}[A-Za-z]\b"
+_IBAN = r"\b[A-Za-z]{2}[0-9]{2}(?:[ \x{A0}]?[A-Za-z0-9]){11,30}\b"
+_SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def _pattern(text: str) -> str:
+    """The first injection phrase of a text without format characters."""
+    phrase = f"trim(regexp_replace(lower({text}), '{_SPACE}', ' ', 'g'))"
+    whens = " ".join(f"WHEN regexp_matches({phrase}, '{injection_regex(v, o)}') THEN '{n}'" for n, v, o in INJECTION_PHRASES)
+    return f"CASE {whens} END"
+
+
+def _addresses(text: str) -> str:
+    return f"[regexp_replace(lower(a), '[ \\t]', '', 'g') for a in regexp_extract_all({text}, '{EMAIL}')]"
+
+
+def _private(text: str, allowed: str) -> str:
+    return f"len([a for a in {_addresses(text)} if NOT list_contains({allowed}, a)]) > 0"
+
+
+def _fiscal(text: str) -> str:
+    digits, letters = list(ODD_DIGITS), list(ODD_LETTERS)
+    odd = f"CASE WHEN ascii(c) < 58 THEN {digits}[ascii(c) - 47] ELSE {letters}[ascii(c) - 64] END"
+    even = "CASE WHEN ascii(c) < 58 THEN ascii(c) - 48 ELSE ascii(c) - 65 END"
+    value = f"list_sum([CASE WHEN i % 2 = 1 THEN {odd.replace('(c)', '(upper(x)[i])')} ELSE {even.replace('(c)', '(upper(x)[i])')} END for i in range(1, 16)])"
+    return f"len([x for x in regexp_extract_all({text}, '{_FISCAL}') if {value} % 26 = ascii(upper(x)[16]) - 65]) > 0"
+
+
+def _iban(text: str) -> str:
+    plain = "upper(regexp_replace(x, '[ \\x{A0}]', '', 'g'))"
+    turned = f"({plain}[5:] || {plain}[:4])"
+    steps = f"list_transform(range(1, len({plain}) + 1), lambda i: CAST(ascii({turned}[i]) AS BIGINT))"
+    rest = f"list_reduce(list_prepend(CAST(0 AS BIGINT), {steps}), lambda acc, c: CASE WHEN c < 58 THEN (acc * 10 + c - 48) % 97 ELSE (acc * 100 + c - 55) % 97 END)"
+    return f"len([x for x in regexp_extract_all({text}, '{_IBAN}') if len({plain}) BETWEEN 15 AND 34 AND {rest} = 1]) > 0"
+
+
+def _kinds(text: str, allowed: str) -> str:
+    return f"concat_ws('+', CASE WHEN {_private(text, allowed)} THEN 'email' END, CASE WHEN {_fiscal(text)} THEN 'codice_fiscale' END, CASE WHEN {_iban(text)} THEN 'iban' END)"
+
+
+_HELP = "['helpdesk@example.org']"
+_USER = "(SELECT conv_id, turn, text FROM conversations WHERE role = 'user')"
+_SAID = "(SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant')"
+
+
+def _case(key: str, table: dict[str, str], default: str) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE '{default}' END"
+
+
+def _screened(source: str, limit: int) -> str:
+    """Verdicts of the input stage over a table with a text column."""
+    return f"""(SELECT *, CASE WHEN length(text) > {limit} THEN 'message_length' WHEN pattern IS NOT NULL THEN 'prompt_injection' WHEN kinds <> '' THEN 'personal_data' END AS verdict
+      FROM (SELECT *, {_pattern("text")} AS pattern, {_kinds("text", _HELP)} AS kinds FROM {source} AS s) AS p)"""
+
+
+def _reply(verdict: str) -> str:
+    return getattr(Policy(), REPLY_FIELD[verdict]).replace("{help_desk_email}", Policy().help_desk_email)
+
+
+_LABELS = inline.label_rows()
+
+ORACLE_SQL: dict[str, str] = {
+    "length_guard": f"""SELECT conv_id, turn, length(text) AS n_chars, CASE WHEN length(text) > 200 THEN 'message_length' END AS at_200,
+        CASE WHEN length(text) > 1000 THEN 'message_length' END AS at_1000, CAST(NULL AS VARCHAR) AS at_0 FROM {_USER} AS u""",
+    "email_kinds": f"SELECT doc_id, CAST(len({_addresses('text')}) AS BIGINT) AS n_addresses, array_to_string({_addresses('text')}, ',') AS addresses FROM documents",
+    "email_allowlist": f"SELECT msg_id, {_private('text', chr(91) + chr(39) + 'a@b.org' + chr(39) + ', ' + chr(39) + 'helpdesk@example.org' + chr(39) + chr(93))} AS private FROM {inline.MESSAGES} AS m",
+    "injection_pattern": f"""SELECT conv_id, turn, {_pattern("text")} AS pattern FROM (SELECT CAST(msg_id AS BIGINT) AS conv_id, CAST(0 AS BIGINT) AS turn, text FROM {inline.MESSAGES} AS m UNION ALL SELECT * FROM {_USER} AS u) AS t""",
+    "fiscal_code_valid": f"SELECT msg_id, {_fiscal('text')} AS has_code FROM {inline.MESSAGES} AS m",
+    "iban_valid": f"SELECT msg_id, {_iban('text')} AS has_iban FROM {inline.MESSAGES} AS m",
+    "pii_kinds": f"SELECT doc_id, {_kinds('text', _HELP)} AS kinds FROM documents",
+    "verdict_precedence": f"SELECT msg_id, verdict, CASE WHEN verdict IS NOT NULL THEN {_case('verdict', taxonomy.CATEGORY_OF, 'uncategorized')} END AS category, kinds, pattern, verdict IS NOT NULL AS has_reply FROM {_screened(inline.MESSAGES, 60)} AS s",
+    "output_replace": f"""WITH a AS (SELECT CAST(msg_id AS BIGINT) AS conv_id, CAST(0 AS BIGINT) AS turn, text FROM {inline.MESSAGES} AS m UNION ALL SELECT * FROM {_SAID} AS u),
+        k AS (SELECT *, {_kinds("text", _HELP)} <> '' AS bad FROM a)
+        SELECT conv_id, turn, CASE WHEN bad THEN 'output_personal_data' END AS verdict, CASE WHEN bad THEN '{_reply("output_personal_data")}' ELSE text END AS text,
+        CASE WHEN bad THEN '{_reply("output_personal_data")}' ELSE text END AS content FROM k""",
+    "taxonomy_counts": f"""WITH v AS (SELECT verdict FROM {_screened(_USER, 200)} AS s UNION ALL SELECT CASE WHEN {_kinds("text", _HELP)} <> '' THEN 'output_personal_data' END FROM {_SAID} AS o
+        UNION ALL SELECT verdict FROM {_screened("(SELECT text FROM documents)", 5000)} AS d),
+        n AS (SELECT CASE WHEN verdict IS NULL THEN 'none' ELSE {_case("verdict", taxonomy.STAGE_OF, "unknown")} END AS stage, CASE WHEN verdict IS NULL THEN 'none' ELSE {_case("verdict", taxonomy.CATEGORY_OF, "uncategorized")} END AS category, coalesce(verdict, 'allowed') AS verdict FROM v)
+        SELECT stage, category, verdict, count(*) AS n_messages FROM n GROUP BY ROLLUP (stage, category, verdict)""",
+    "offensive_sum": f"""WITH l AS (SELECT * FROM {_LABELS} AS q WHERE guard = 'offensive'), s AS (SELECT * FROM {inline.SCORES} AS x WHERE model IN (SELECT model FROM l)),
+        m AS (SELECT s.*, coalesce(l.semantic, s.label) AS meaning FROM s LEFT JOIN l ON s.model = l.model AND s.label = l.raw_label),
+        k AS (SELECT * FROM m WHERE (model, upper(meaning)) IN (SELECT (model, upper(semantic)) FROM l WHERE blocks)),
+        t AS (SELECT msg_id, sum(score) AS total, arg_max(meaning, struct_pack(a := score, b := -ord)) FILTER (WHERE score > 0) AS label FROM k GROUP BY msg_id)
+        SELECT i.msg_id, coalesce(total, 0.0) >= 0.60 AS triggered, label, CAST(coalesce(total, 0.0) AS DOUBLE) AS score FROM (SELECT DISTINCT msg_id FROM s) AS i LEFT JOIN t ON i.msg_id = t.msg_id""",
+    "injection_top": f"""WITH l AS (SELECT * FROM {_LABELS} AS q WHERE guard = 'injection'), s AS (SELECT *, upper(trim(label)) AS raw FROM {inline.SCORES} AS x WHERE model IN (SELECT model FROM l) AND ord = 0)
+        SELECT msg_id, coalesce(semantic = 'MALICIOUS', false) AND score >= 0.85 AS triggered, coalesce(semantic, raw) AS label, score FROM s LEFT JOIN l ON s.model = l.model AND s.raw = l.raw_label""",
+    "label_reachability": f"""WITH l AS (SELECT * FROM {_LABELS} AS q), d AS (SELECT * FROM {inline.DECLARED} AS x)
+        SELECT guard, model, bool_or(EXISTS (SELECT 1 FROM l WHERE l.guard = d.guard AND l.model = d.model AND blocks AND (upper(raw_label) = upper(d.label) OR (d.guard = 'offensive' AND upper(semantic) = upper(d.label))))) AS reachable,
+        string_agg(label, ',' ORDER BY idx) AS declared FROM d GROUP BY guard, model""",
+    "blocking_classes": f"SELECT guard, model, string_agg(DISTINCT CASE WHEN blocks THEN upper(semantic) END, ',' ORDER BY CASE WHEN blocks THEN upper(semantic) END) AS blocking, count(*) AS n_labels FROM {_LABELS} AS q GROUP BY guard, model",
+    "summary_changes": f"SELECT seq, summary FROM (SELECT *, lag(summary) OVER (ORDER BY seq) AS b, row_number() OVER (ORDER BY seq) AS n FROM {inline.LOG} AS q) AS t WHERE n = 1 OR summary IS DISTINCT FROM b",
+    "once_per_key": f"SELECT min(seq) AS seq, summary, model FROM {inline.LOG} AS q GROUP BY summary, model",
+    "rearm": f"SELECT seq, reason FROM (SELECT *, lag(reason) OVER (ORDER BY seq) AS b FROM {inline.LOG} AS q) AS t WHERE reason IS NOT NULL AND reason IS DISTINCT FROM b",
+    "turn_tokens": """WITH n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) % 1679616 AS k FROM conversations), a AS (SELECT '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS d)
+        SELECT conv_id, turn, d[k // 46656 % 36 + 1] || d[k // 1296 % 36 + 1] || d[k // 36 % 36 + 1] || d[k % 36 + 1] AS turn_token FROM n, a""",
+    "redact": f"SELECT id, regexp_replace(CASE WHEN token = '' THEN error ELSE replace(error, token, '***redacted***') END, 'hf_[A-Za-z0-9]{{8,}}', 'hf_***redacted***', 'g') AS error FROM {inline.ERRORS} AS e",
+    "access_marker": f"SELECT id, regexp_matches(lower(error), '401|403|gated|awaiting a review|not authorized|restricted|authenticated|access to model') AS access, regexp_matches(lower(error), '401|403|gated|awaiting a review|not authorized|restricted|authenticated|access to model') AS advised FROM {inline.ERRORS} AS e",
+    "cache_keys": f"""WITH k AS (SELECT *, CASE WHEN device = -1 THEN model ELSE model || '::device=' || device END AS key FROM {inline.ERRORS} AS e)
+        SELECT id, key, model, device, CASE WHEN key IN ('m/a', 'm/b') THEN '' ELSE key END AS stale FROM k""",
+    "contacts_parse": f"""WITH p AS (SELECT id, [trim(x) for x in regexp_split_to_array(raw, '[,\\n\\r]') if trim(x) <> ''] AS e FROM {inline.CONTACTS} AS c)
+        SELECT id, CAST(len(e) AS BIGINT) AS n, array_to_string(e, '|') AS entries, array_to_string(list_sort(list_distinct(list_append([lower(x) for x in e if contains(x, '@')], 'help@desk.org'))), '|') AS allowed FROM p""",
+    "policy_checks": """SELECT * FROM (VALUES (0, 'help_desk_email'), (1, 'public_service_contacts'), (2, 'public_service_contacts'), (3, ''), (4, 'input_phone_region'), (5, ''), (6, 'classifier_device'),
+        (7, 'max_message_chars'), (8, 'message_too_long'), (9, 'prompt_injection_classifier_threshold'), (10, 'offensive_input_classifier_model'), (11, '')) AS v(id, bad_fields)""",
+    "coverage_summary": """WITH p AS (SELECT * FROM (VALUES
+        (0, 1000, true, true, true, false, false, 'IT', 'cpu'), (1, 0, true, false, true, false, false, 'IT', 'cpu'), (2, 1000, false, false, true, false, false, 'IT', 'cpu'),
+        (3, 1000, false, true, false, false, true, 'IT', 'cpu'), (4, 1000, true, true, true, true, true, 'FR', 'gpu0'), (5, 1000, true, true, false, false, false, 'IT', 'cpu')) AS v(policy_id, lim, i, o, pat, ci, co, region, device)),
+        d AS (SELECT 'email+codice_fiscale+iban+phone' AS k, 'meta-llama/Llama-Prompt-Guard-2-86M' AS mi, 'IMSyPP/hate_speech_multilingual' AS mo)
+        SELECT CAST(policy_id AS BIGINT) AS policy_id,
+          concat_ws(', ', CASE WHEN lim > 0 THEN 'limits(max ' || lim || ' chars)' ELSE 'limits(disabled)' END,
+            CASE WHEN i OR o THEN 'privacy(' || CASE WHEN i THEN 'input=' || k || ', input_region=' || region ELSE 'input=disabled' END || ', ' || CASE WHEN o THEN 'output=' || k || ', output_region=IT' ELSE 'output=disabled' END || ')' ELSE 'privacy(disabled)' END,
+            CASE WHEN pat OR ci THEN 'security(' || concat_ws('+', CASE WHEN pat THEN 'patterns' END, CASE WHEN ci THEN 'classifier ' || mi || '@0.85' END) || ')' ELSE 'security(disabled)' END,
+            CASE WHEN co THEN 'tone(classifier ' || mo || '@0.60)' ELSE 'tone(disabled)' END) AS summary,
+          concat_ws(', ', CASE WHEN lim = 0 THEN 'limits' END, CASE WHEN NOT i AND NOT o THEN 'privacy' END, CASE WHEN NOT i AND o THEN 'privacy(input)' END, CASE WHEN i AND NOT o THEN 'privacy(output)' END, CASE WHEN NOT pat AND NOT ci THEN 'security' END) AS uncovered,
+          CASE WHEN lim = 0 OR NOT i OR NOT o OR NOT (pat OR ci) THEN 'WARNING' ELSE 'INFO' END AS level,
+          concat_ws('+', CASE WHEN lim > 0 THEN 'length' END, CASE WHEN pat THEN 'injection_patterns' END, CASE WHEN i THEN 'personal_data' END) AS checks,
+          concat_ws(',', CASE WHEN ci THEN mi END, CASE WHEN co THEN mo END) AS models,
+          device || '|' || concat_ws(',', CASE WHEN co THEN mo END, CASE WHEN ci THEN mi END) AS signature FROM p, d""",
+    "guard_log": f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM {_screened(_USER, 200)} AS q),
+        e AS (SELECT verdict, CASE verdict WHEN 'message_length' THEN 'limits' WHEN 'prompt_injection' THEN 'security' WHEN 'personal_data' THEN 'privacy' END AS category,
+          CASE verdict WHEN 'message_length' THEN 'length=' || length(text) || ' chars (limit 200)' WHEN 'prompt_injection' THEN 'detector=custom, pattern=' || pattern WHEN 'personal_data' THEN 'detected=' || kinds ELSE '' END AS detail,
+          CASE WHEN verdict IS NULL THEN 'length+injection_patterns+personal_data' END AS checks, '000' || '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ'[k + 1] AS turn FROM s)
+        SELECT CASE WHEN verdict IS NULL THEN 'input_allowed' ELSE 'input_blocked' END AS kind, 'INFO' AS level, 'input' AS stage, category, verdict, detail, checks, turn,
+          concat_ws(', ', CASE WHEN verdict IS NULL THEN 'input allowed' ELSE 'input blocked' END, 'stage=input', 'category=' || category, 'verdict=' || verdict, nullif(detail, ''), 'checks=' || checks, 'turn=' || turn) AS line FROM e""",
+    "threshold_sweep": """WITH s AS (SELECT (doc_id * 37 % 101) / 100.0 AS score, toxic AS truth FROM labels), t AS (SELECT unnest([0.25, 0.5, 0.6, 0.85]) AS threshold)
+        SELECT CAST(threshold AS DOUBLE) AS threshold, count(*) FILTER (WHERE score >= threshold AND truth = 1) AS true_refusals, count(*) FILTER (WHERE score >= threshold AND truth = 0) AS false_refusals,
+        count(*) FILTER (WHERE score < threshold AND truth = 1) AS missed FROM s, t GROUP BY threshold""",
+}
