@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import arrow_pieces, materialize, release
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -156,7 +156,8 @@ def sketch(features: np.ndarray) -> bytes:
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
-    yield from zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), size), strict=True)
+    for part in arrow_pieces(batch, 1, 2_000_000):
+        yield from zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), size), strict=True)
 
 
 def set_table(documents: DataFrame, join: JaccardJoin) -> DataFrame:
@@ -337,9 +338,11 @@ def jaccard_components(documents: DataFrame, join: JaccardJoin = JaccardJoin())
     if classes.filter("low <> high").limit(1).count():
         raise RuntimeError("two different sets have one 64-bit id; change the seed of set_ids")
     members = materialize(shared_signatures(signature_rows(narrow, join)), "members")
+    release(members.sparkSession)
     wanted = members.select("set_id").distinct().join(classes, "set_id").select(F.col("class_id").alias("doc_id"))
     contents = materialize(set_contents(narrow.join(wanted.distinct(), "doc_id", "left_semi"), join).dropDuplicates(["set_id"]), "contents")
     star = members.filter("set_id <> hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
+    release(members.sparkSession)
     links = materialize(verified(star, contents, join), "links")
     roots = materialize(components(links), "roots")
     rooted = members.select("sig", "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))

@@ -68,23 +68,10 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-def pieces(texts: list[bytes], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    first = held = 0
-    for k, t in enumerate(texts):
-        held += len(t)
-        if held >= limit:
-            yield first, k + 1
-            first, held = k + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
     """For each text its sorted distinct shingle hashes."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    for a, b in pieces(raw):
-        words, counts = word_hashes(raw[a:b])
-        at = 0
-        for n in counts.tolist():
-            yield np.unique(shingle_hashes(words[at : at + n], size))
-            at += n
+    words, counts = word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in texts])
+    at = 0
+    for n in counts.tolist():
+        yield np.unique(shingle_hashes(words[at : at + n], size))
+        at += n

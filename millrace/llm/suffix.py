@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, shared_path
-from .shingles import mix, pieces
+from .common import arrow_pieces, release, shared_path
+from .shingles import mix
 
 _RNG = np.random.Generator(np.random.PCG64(77001))
 _VALUES = _RNG.integers(1, 2**64, (2, 256), dtype=np.uint64)
@@ -140,12 +140,12 @@ def sampled_suffixes(documents: DataFrame, rules: RepeatRules) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            for a, b in pieces(texts):
-                who, _, lo, count, prefix, segment = anchors(texts[a:b], rules)
+            for part in arrow_pieces(batch, 1, 1_000_000):
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
+                who, _, lo, count, prefix, segment = anchors(texts, rules)
                 if len(who):
-                    yield _batch([prefix, segment, ids[a:b][who], lo, count], ["prefix", "segment", "doc_id", "start", "count"])
+                    yield _batch([prefix, segment, ids[who], lo, count], ["prefix", "segment", "doc_id", "start", "count"])
 
     return documents.mapInArrow(run, ARRAY_SCHEMA)
 
