@@ -1,5 +1,59 @@
-"""DuckDB SQL for the queries of the training-data operators that SQL can express."""
+"""DuckDB SQL for the queries of the training-data operators that SQL can express.
+
+The others rest on tables or iterations that SQL has no form for: hundreds of rules (2), markup (3), a tokenizer's
+merges (4, 9), slot bookkeeping (7), and scores that are iterated over graphs (8, 10). Tests hold those against
+brute-force versions.
+"""
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+from .quality import BOILERPLATE, SUSPECT, SYMBOLS, LineRules
+
+_R = LineRules()
+_SPACE = r"[\x20\x09-\x0D]+"
+_SETS = f"""w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}'), lambda x: x <> '') AS w FROM documents),
+  s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)])) END AS f FROM w)"""
+
+
+def _has_phrase(text: str) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{p}')" for p in BOILERPLATE) + ")"
+
+
+def _words(text: str) -> str:
+    return f"list_filter(string_split_regex({text}, '{_SPACE}'), lambda z: z <> '')"
+
+
+def _share(test: str, percent: int) -> str:
+    return f"(n >= {_R.min_rule_words} AND {test} * 100 > n * {percent})"
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": f"""WITH RECURSIVE {_SETS},
+  c AS (SELECT f, min(doc_id) AS class_id, len(f) AS n FROM s WHERE len(f) > 0 GROUP BY f),
+  x AS (SELECT class_id, n, unnest(f) AS g FROM c),
+  p AS (SELECT a.class_id AS a, b.class_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM x AS a JOIN x AS b ON a.g = b.g AND a.class_id < b.class_id GROUP BY ALL),
+  e AS (SELECT a, b FROM p WHERE 100 * k >= 90 * (na + nb - k) UNION ALL SELECT b, a FROM p WHERE 100 * k >= 90 * (na + nb - k)),
+  r AS (SELECT class_id AS node, class_id AS root FROM c UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a),
+  m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT s.doc_id, CAST(len(s.f) AS BIGINT) AS n_shingles, coalesce(m.root, s.doc_id) AS component_id, coalesce(c.class_id, s.doc_id) AS class_id
+FROM s LEFT JOIN c ON s.f = c.f LEFT JOIN m ON c.class_id = m.node""",
+    "op5_quality_rules": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, t, {_words("t")} AS w FROM d),
+  g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+  q AS (SELECT doc_id, count(DISTINCT p) AS n_repeat FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g) WHERE k > 1) GROUP BY doc_id),
+  l AS (SELECT doc_id, x, {_words("x")} AS v FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d)),
+  f AS (SELECT doc_id, x, len(v) AS n, len(list_filter(v, lambda z: regexp_matches(z, '[#*$%&|<>]'))) AS symbols, len(list_filter(v, lambda z: regexp_matches(z, '^[^\\p{{Ll}}]*\\p{{Lu}}[^\\p{{Ll}}]*\\p{{Lu}}[^\\p{{Ll}}]*$'))) AS caps,
+    len(list_filter(v, lambda z, i: i > 1 AND z = v[i - 1])) AS echo, len(list_filter(v, lambda z: z IN ('|', '»', '›', '•', '·', '>', '>>', '::'))) AS seps FROM l),
+  o AS (SELECT doc_id, sum(n) FILTER (WHERE {_share("symbols", _R.max_symbol_words_pct)} OR {_share("caps", _R.max_caps_words_pct)} OR {_share("echo", _R.max_echo_words_pct)} OR (seps >= {_R.min_separators} AND seps * 6 >= n) OR {_has_phrase("x")}) AS lost,
+    count(*) FILTER (WHERE n > 0) - count(DISTINCT x) FILTER (WHERE n > 0) AS dups FROM f GROUP BY doc_id),
+  a AS (SELECT w.doc_id, len(w) AS n, length(array_to_string(w, '')) AS chars, length(t) - length(regexp_replace(t, '[{SYMBOLS}]', '', 'g')) AS symbols, dups, coalesce(n_repeat, 0) AS n_repeat,
+    CASE WHEN coalesce(n_repeat, 0) > 0 OR regexp_matches(t, '{SUSPECT}') OR {_has_phrase("t")} THEN coalesce(lost, 0) ELSE 0 END AS lost FROM w LEFT JOIN q ON w.doc_id = q.doc_id LEFT JOIN o ON w.doc_id = o.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(chars AS BIGINT) AS word_chars, CAST(symbols AS BIGINT) AS n_symbols, CAST(dups AS BIGINT) AS n_dup_lines, CAST(n_repeat AS BIGINT) AS n_repeat_words,
+  n < {_R.min_base_words} OR 100 * n_repeat > {_R.max_repeat_pct} * n AS base_failed, NOT (n < {_R.min_base_words} OR 100 * n_repeat > {_R.max_repeat_pct} * n) AND lost * 100 <= n * {_R.max_lost_pct} AS kept, CAST(lost AS BIGINT) AS n_lost_words FROM a""",
+    "op6_suffix_dedup": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), n AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+  b AS (SELECT doc_id, h, n, unnest(range(0, n)) AS i FROM n),
+  k AS (SELECT doc_id, i, CASE WHEN i + 100 <= n THEN row_number() OVER (PARTITION BY CASE WHEN i + 100 <= n THEN h[2 * i + 1:2 * i + 200] END ORDER BY doc_id, i) > 1 ELSE false END AS again, h[2 * i + 1:2 * i + 2] AS byte FROM b),
+  m AS (SELECT doc_id, i, byte, coalesce(i - max(CASE WHEN again THEN i END) OVER (PARTITION BY doc_id ORDER BY i) < 100, false) AS gone FROM k),
+  r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM m),
+  s AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS removed, count(*) FILTER (WHERE opens) AS spans, string_agg(byte, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM r GROUP BY doc_id)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM n LEFT JOIN s ON n.doc_id = s.doc_id""",
+}
