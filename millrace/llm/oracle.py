@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries of the training-data operators that SQL can express.
 
 The others rest on tables or iterations that SQL has no form for: hundreds of rules (2), markup (3), a tokenizer's
-merges (4, 9), slot bookkeeping (7), and scores that are iterated over graphs (8, 10). Tests hold those against
+merges (4, 9), every window of every text as a row (6), slot bookkeeping (7), and scores that are iterated over graphs (8, 10). Tests hold those against
 brute-force versions.
 """
 
@@ -49,11 +49,4 @@ FROM s LEFT JOIN c ON s.f = c.f LEFT JOIN m ON c.class_id = m.node""",
     CASE WHEN coalesce(n_repeat, 0) > 0 OR regexp_matches(t, '{SUSPECT}') OR {_has_phrase("t")} THEN coalesce(lost, 0) ELSE 0 END AS lost FROM w LEFT JOIN q ON w.doc_id = q.doc_id LEFT JOIN o ON w.doc_id = o.doc_id)
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(chars AS BIGINT) AS word_chars, CAST(symbols AS BIGINT) AS n_symbols, CAST(dups AS BIGINT) AS n_dup_lines, CAST(n_repeat AS BIGINT) AS n_repeat_words,
   n < {_R.min_base_words} OR 100 * n_repeat > {_R.max_repeat_pct} * n AS base_failed, NOT (n < {_R.min_base_words} OR 100 * n_repeat > {_R.max_repeat_pct} * n) AND lost * 100 <= n * {_R.max_lost_pct} AS kept, CAST(lost AS BIGINT) AS n_lost_words FROM a""",
-    "op6_suffix_dedup": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), n AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
-  b AS (SELECT doc_id, h, n, unnest(range(0, n)) AS i FROM n),
-  k AS (SELECT doc_id, i, CASE WHEN i + 100 <= n THEN row_number() OVER (PARTITION BY CASE WHEN i + 100 <= n THEN h[2 * i + 1:2 * i + 200] END ORDER BY doc_id, i) > 1 ELSE false END AS again, h[2 * i + 1:2 * i + 2] AS byte FROM b),
-  m AS (SELECT doc_id, i, byte, coalesce(i - max(CASE WHEN again THEN i END) OVER (PARTITION BY doc_id ORDER BY i) < 100, false) AS gone FROM k),
-  r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM m),
-  s AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS removed, count(*) FILTER (WHERE opens) AS spans, string_agg(byte, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM r GROUP BY doc_id)
-SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM n LEFT JOIN s ON n.doc_id = s.doc_id""",
 }
