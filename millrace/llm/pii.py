@@ -42,8 +42,12 @@ SPAN = "array<struct<start:int,end:int,hit:string>>"
 
 @dataclass(frozen=True)
 class Bootstrap:
+    """A pattern needs ``min_support`` known tokens and ``min_share`` of all of them: what is rare by one measure in a
+    small corpus stays rare in a large one, so the patterns counted over the corpus do not multiply with it."""
+
     rounds: int = 2
     min_support: int = 3
+    min_share: float = 0.001
     min_score: float = 0.5
 
 
@@ -141,7 +145,8 @@ def discover(documents: DataFrame, found: DataFrame, conf: Bootstrap = Bootstrap
             F.sum(F.when(F.col("seed"), F.col("n")).otherwise(0)).alias("hits"),
             F.sum("n").alias("instances"),
         )
-        candidates = materialize(scored.filter(F.col("support") >= conf.min_support), "patterns")
+        needed = max(conf.min_support, conf.min_share * known.count())
+        candidates = materialize(scored.filter(F.col("support") >= needed), "patterns")
         worded = candidates.filter(F.contains("pattern", F.lit(" ")))
         totals = _corpus_places(documents, worded) if worded.limit(1).count() else worded.select("pattern", F.col("instances").alias("total"))
         accepted = candidates.join(totals, "pattern", "left").withColumn("score", F.col("hits") / F.greatest("instances", F.coalesce("total", "instances")))
