@@ -18,7 +18,9 @@ frame; null doc_id comes first; an empty table writes no block; other columns ar
 
 from __future__ import annotations
 
-import itertools
+import contextlib
+import ctypes
+import gc
 import os
 import struct
 import unicodedata
@@ -33,14 +35,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import arrow_pieces, shared_path
 
 MAX_SHARDS = 4096
 HEADER = struct.Struct("<4sBBQI")
 MAGIC, VERSION = b"MRTK", 1
 #: Text is tokenized in pieces of whole documents of about so many characters.
-PIECE_CHARS = 2_000_000
-CACHE_WORDS = 400_000
+PIECE_CHARS = 300_000
+#: Words known in each of two generations; when the younger is full it becomes the older.
+CACHE_WORDS = 100_000
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 
 
@@ -55,7 +58,7 @@ class TokenOutput:
     dictionary_documents: int = 400
     dictionary_ids: int = 8_192
     shard_documents: int = 20_000
-    block_bytes: int = 4_000_000
+    block_bytes: int = 1_000_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -102,10 +105,13 @@ class Encoder:
         self.model = Tokenizer.from_file(path).model
         self.letters = _byte_letters()
         self.classes = _char_classes()
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        return tuple(x.id for x in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters)))
+    def _word(self, word: str) -> bytes:
+        """The ids of a word as little-endian u32, which takes less room in the cache than numbers."""
+        ids = [x.id for x in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def starts(self, codes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
         """Whether a word starts at each code point; ``firsts``: where texts start (texts are not empty)."""
@@ -165,18 +171,18 @@ class Encoder:
         words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
         distinct = words.dictionary.to_pylist()
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        get, learn = self.cache.get, self._word
-        ids: list[tuple[int, ...]] = []
+            self.cache, self.older = {}, self.cache
+        get, get_older, learn = self.cache.get, self.older.get, self._word
+        ids: list[bytes] = []
         for w in distinct:
             found = get(w)
             if found is None:
-                found = learn(w)
+                found = get_older(w) or learn(w)
                 if len(w) <= 40:
                     self.cache[w] = found
             ids.append(found)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        flat = np.frombuffer(b"".join(ids), "<u4")
         which = words.indices.to_numpy()
         each = lengths[which]
         out_ends = np.cumsum(each)
@@ -198,27 +204,29 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def pieces(texts: list[str], limit: int = PIECE_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of whole texts with about ``limit`` characters each."""
-    first = held = 0
-    for k, t in enumerate(texts):
-        held += len(t)
-        if held >= limit:
-            yield first, k + 1
-            first, held = k + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+def trim() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and the C allocator keeps what it got."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def forget() -> None:
+    """Give back the memory of encoders in a worker that goes on to another kind of work."""
+    _encoders.clear()
+    trim()
 
 
 def _encoded(batch: pa.RecordBatch, conf: TokenOutput) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Keys and ids, end id included, of the documents of a batch of (doc_id, text)."""
-    keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
     path = tokenizer_path(conf.tokenizer)
-    for a, b in pieces(texts):
-        ids, counts = encoder(path).encode(texts[a:b])
+    end = np.array([conf.end_id], np.uint32)
+    for part in arrow_pieces(batch, 1, PIECE_CHARS):
+        keys, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
+        ids, counts = encoder(path).encode(texts)
         cuts = np.concatenate([[0], np.cumsum(counts)])
-        end = np.array([conf.end_id], np.uint32)
-        yield keys[a:b], [np.concatenate([ids[cuts[k] : cuts[k + 1]], end]) for k in range(b - a)]
+        yield keys, [np.concatenate([ids[cuts[k] : cuts[k + 1]], end]) for k in range(len(keys))]
 
 
 def train_dictionary(documents: DataFrame, conf: TokenOutput) -> bytes:
@@ -258,7 +266,8 @@ def pack_block(dictionary: bytes, width: int, keys: list, counts: list[int], fra
 class Block:
     """A block read back: ``document(k)`` decompresses one document without touching the others."""
 
-    def __init__(self, data: bytes, dictionary: bytes):
+    def __init__(self, data: bytes | pa.Buffer, dictionary: bytes):
+        data = memoryview(data)
         magic, version, self.width, mark, n = HEADER.unpack_from(data)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token block")
@@ -301,6 +310,7 @@ def write_tokens(documents: DataFrame, path: str, conf: TokenOutput = TokenOutpu
                     [pa.array(shard, pa.int32()), pa.array(keys, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(wide, pa.int32()), pa.array(frames, pa.binary())],
                     names=["shard", "doc_id", "n_tokens", "width", "frame"],
                 )
+        trim()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, before, width = None, 0, 0
@@ -316,6 +326,7 @@ def write_tokens(documents: DataFrame, path: str, conf: TokenOutput = TokenOutpu
                 names=["shard", "before", "n_docs", "n_tokens", "block"],
             )
 
+        forget()
         for batch in batches:
             for s, k, n, w, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if keys and (s != shard or w != width or held >= conf.block_bytes):
@@ -335,7 +346,8 @@ def write_tokens(documents: DataFrame, path: str, conf: TokenOutput = TokenOutpu
         .repartition(min(shards, 2 * MAX_SHARDS), "shard")
         .sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "frame")
         .mapInArrow(pack, "shard int, before bigint, n_docs bigint, n_tokens bigint, block binary")
-        .write.parquet(path)
+        .write.option("parquet.block.size", 8 * conf.block_bytes)  # readers hold a row group at a time
+        .parquet(path)
     )
     return dictionary
 
@@ -349,9 +361,10 @@ def read_tokens(spark: SparkSession, path: str, dictionary: bytes) -> DataFrame:
     bases = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
-            for start, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                block = Block(data, shared.value)
+            for start, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                block = Block(data.as_buffer(), shared.value)
                 counts = block.counts.astype(np.int64)
                 starts = start + np.cumsum(counts) - counts
                 sums = [zlib.crc32(block.document(k).tobytes()) for k in range(len(counts))]
