@@ -9,7 +9,7 @@ then at least t + 1 ranges agree, so a set may leave out its ranges with less th
 than t of them. No link is lost either way.
 
 Copies with equal sets are one class and join as one. Classes that share a signature are first compared with the least
-of them (a star, one row per member). Links give components; only members of one signature group that are still in
+of them (a star, one row per member), by sketches and then by sets. Links give components; only members of one signature group that are still in
 different components are compared further, by parity sketches whose distance never exceeds the symmetric difference,
 and what passes is verified on the sets. So near copies in the thousands cost rows in proportion, and all links that
 join two components are found.
@@ -256,6 +256,23 @@ def set_contents(documents: DataFrame, join: JaccardJoin) -> DataFrame:
     return documents.mapInArrow(run, "set_id bigint, n bigint, features binary, sketch binary")
 
 
+def possible(pairs: DataFrame, contents: DataFrame, join: JaccardJoin) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches leave a link possible; far smaller rows than the sets decide most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS) for k in (4, 5))
+            m, n = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            far = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            ok = (far * (join.den + join.num) <= (m + n) * (join.den - join.num)) & (np.minimum(m, n) * join.den >= join.num * np.maximum(m, n))
+            mask = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+    left = contents.select(F.col("set_id").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("x"))
+    right = contents.select(F.col("set_id").alias("b"), "n", F.col("sketch").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
 def verified(pairs: DataFrame, contents: DataFrame, join: JaccardJoin) -> DataFrame:
     """The pairs (a, b) whose sets link."""
 
@@ -343,6 +360,7 @@ def jaccard_components(documents: DataFrame, join: JaccardJoin = JaccardJoin())
     contents = materialize(set_contents(narrow.join(wanted.distinct(), "doc_id", "left_semi"), join).dropDuplicates(["set_id"]), "contents")
     star = members.filter("set_id <> hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
     release(members.sparkSession)
+    star = materialize(possible(star, contents, join), "star")
     links = materialize(verified(star, contents, join), "links")
     roots = materialize(components(links), "roots")
     rooted = members.select("sig", "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
