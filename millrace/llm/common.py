@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -50,15 +48,42 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more, before the next large stage.
+class Scratch:
+    """Tables of one run in the shared folder: ``keep`` writes one and reads it back, leaving the block drops them all.
 
-    The first collection frees the plans, the second the shuffles that only they referred to.
+    ``result`` writes the table that outlives the block. Nothing read later may rest on a kept one.
     """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure: object) -> None:
+        for path in self.paths:
+            drop_path(self.spark, path)
+        self.paths = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name)
+
+
+#: Ids of up to 8 MB are sent to every executor, more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def only_ids(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose ``column`` stands in the written table ``ids``; rows stay where they are if the ids are few."""
+    ids = ids.select(column)
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, "left_semi")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -87,11 +87,18 @@ def test_jaccard(documents, size, num):
     assert {k: (r.n_shingles, r.component_id) for k, r in got.items()} == want
 
 
+def test_jaccard_without_ids(spark):
+    text = "one two three four five six seven"
+    frame = spark.createDataFrame([(None, text), (3, text), (None, "a b c d e f"), (3, "x y z"), (3, "x y z")], "doc_id bigint, text string")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.jaccard_components(frame).collect())
+    assert got == [("3", 1, "3"), ("3", 1, "3"), ("3", 3, "3"), ("None", 2, "None"), ("None", 3, "3")]
+
+
 def test_jaccard_families(spark):
     rng = random.Random(11)
     texts = {}
     for family in range(12):
-        words = [f"f{family}w{rng.randrange(400)}" for _ in range(rng.choice([4, 9, 12, 20, 35, 70, 150, 400]))]
+        words = [f"f{family}w{rng.randrange(400)}" for _ in range(rng.choice([4, 9, 12, 20, 35, 70, 150, 400, 900]))]
         for _ in range(8):
             copy = list(words)
             for _ in range(rng.randrange(0, 1 + len(words) // 12)):
@@ -107,7 +114,7 @@ def test_signatures_cover_links():
     rng = np.random.default_rng(3)
     for num in (90, 80, 60):
         join = jaccard.JaccardJoin(3, num, 100)
-        for n in (3, 10, 19, 40, 64, 65, 130, 400):
+        for n in (3, 10, 19, 40, 64, 65, 130, 400, 900):
             for _ in range(15):
                 a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
                 gone = rng.integers(0, max(1, jaccard.distance_bound(2 * n, num, 100)) + 1)
@@ -117,6 +124,25 @@ def test_signatures_cover_links():
                     assert len(np.intersect1d(jaccard.signatures(a, join), jaccard.signatures(b, join)))
 
 
+def test_jaccard_blocks(spark):
+    """One signature over many components, in blocks of two members: the links are those of all pairs."""
+    rng = random.Random(8)
+    sets = {k: np.unique(np.array([rng.randrange(60) for _ in range(40)], np.uint64) * np.uint64(2**57 + 12345)) for k in range(40)}
+    for k in range(40, 60):
+        sets[k] = sets[k - 40] if k % 2 else np.unique(np.append(sets[k - 40], np.uint64(k)))
+    join = jaccard.JaccardJoin(3, 60, 100)
+    rows = [(7, k, 0 if k < 25 else k // 4, len(f), jaccard.folded(jaccard.sketch(f), jaccard.SKETCH_BYTES).tobytes()) for k, f in sets.items()]
+    frame = spark.createDataFrame(rows, "sig bigint, set_id bigint, root bigint, n bigint, sketch binary")
+    root = {r[1]: r[2] for r in rows}
+    want = set()
+    for a, b in itertools.combinations(sorted(sets), 2):
+        far = int(np.bitwise_count(np.frombuffer(rows[a][4], np.uint8) ^ np.frombuffer(rows[b][4], np.uint8)).sum())
+        if root[a] != root[b] and jaccard.may_link(far, len(sets[a]), len(sets[b]), join):
+            want.add((a, b))
+    for size in (2, 4096):
+        assert {tuple(r) for r in jaccard.open_pairs(frame, join, size).collect()} == want and want
+
+
 def test_components(spark):
     edges = [(k + 1, k) for k in range(40)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
