@@ -107,3 +107,13 @@ def arrow_pieces(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.
         stop = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(first, stop - first)
         first = stop
+
+
+def gathered(values: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The u32 numbers of ``values[k]`` for each k of ``which``, in a row, and where each one's end."""
+    lengths = np.fromiter(map(len, values), np.int64, len(values)) >> 2
+    flat = np.frombuffer(b"".join(values), "<u4")
+    each = lengths[which]
+    ends = np.cumsum(each)
+    source = (np.cumsum(lengths) - lengths)[which] - (ends - each)
+    return flat[np.repeat(source, each) + np.arange(ends[-1] if len(ends) else 0)], ends

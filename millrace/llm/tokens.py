@@ -7,10 +7,14 @@ File format. A file is a run of blocks in ascending doc_id order. A block is::
 
 All numbers are little-endian. Each frame is one document's ids, compressed on its own with the shared dictionary, so
 a short document is read by one seek and one small decompression. Blocks travel as binary rows of a table in the
-shared folder: Spark's commit protocol covers lost executors, and any store that Spark can write works.
+shared folder: Spark's commit protocol covers lost executors, and any store that Spark can write works. The dictionary
+lies beside the blocks as a table of one row, so any later session can read them.
 
-Ids before a document: a block knows the count from the start of its shard (one task writes a shard in order), and the
-shards' totals, at most ``MAX_SHARDS`` rows, are summed up and broadcast.
+Shards are ranges of doc_id and part files hold one shard each, in order, so the files are in ascending doc_id order
+as they are named. Ids before a document: a block knows the count from the start of its shard (one task writes a shard
+in order), and the shards' totals, at most ``MAX_SHARDS`` rows, are summed up and broadcast.
+
+Strings that the tokenizer file declares as added tokens become their ids, as the library does it.
 
 Defined results: null text is empty; an empty text holds the end id alone; rows with equal doc_id are ordered by their
 frame; null doc_id comes first; an empty table writes no block; other columns are ignored.
@@ -18,10 +22,8 @@ frame; null doc_id comes first; an empty table writes no block; other columns ar
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 import os
+import re
 import struct
 import unicodedata
 import zlib
@@ -35,15 +37,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_pieces, shared_path
+from .common import arrow_pieces, gathered, shared_path
 
 MAX_SHARDS = 4096
 HEADER = struct.Struct("<4sBBQI")
 MAGIC, VERSION = b"MRTK", 1
 #: Text is tokenized in pieces of whole documents of about so many characters.
-PIECE_CHARS = 300_000
+PIECE_CHARS = 2_000_000
 #: Words known in each of two generations; when the younger is full it becomes the older.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 250_000
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 
 
@@ -58,7 +60,7 @@ class TokenOutput:
     dictionary_documents: int = 400
     dictionary_ids: int = 8_192
     shard_documents: int = 20_000
-    block_bytes: int = 1_000_000
+    block_bytes: int = 250_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -95,14 +97,20 @@ class Encoder:
 
     The split follows the published pattern (contractions, optional space with a run of letters, numbers or other
     signs, white space); it is checked against the library's own ``encode`` by tests. Each distinct word is given to
-    the library's model once while it is in the cache.
+    the library's model once while it is in the cache. Texts with added tokens are cut at them first.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.model = Tokenizer.from_file(path).model
+        tokenizer = Tokenizer.from_file(path)
+        self.model = tokenizer.model
+        added = tokenizer.get_added_tokens_decoder()
+        if any(x.lstrip or x.rstrip or x.single_word for x in added.values()):
+            raise ValueError("added tokens that take neighbouring signs are not supported")
+        self.added = {x.content: i for i, x in added.items() if x.content}
+        self.cuts = re.compile("|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.letters = _byte_letters()
         self.classes = _char_classes()
         self.cache: dict[str, bytes] = {}
@@ -154,11 +162,31 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` in a row, and how many each text has."""
+        if self.cuts is None or not any(map(self.cuts.search, texts)):
+            return self._plain(texts)
+        parts: list[str] = []
+        after: list[int | None] = []  # the added token that follows a part
+        owner: list[int] = []
+        for k, t in enumerate(texts):
+            at = 0
+            for m in self.cuts.finditer(t):
+                parts.append(t[at : m.start()])
+                after.append(self.added[m[0]])
+                at = m.end()
+            parts.append(t[at:])
+            after.append(None)
+            owner.extend([k] * (len(parts) - len(owner)))
+        ids, counts = self._plain(parts)
+        marked = np.array([x is not None for x in after])
+        ids = np.insert(ids, np.cumsum(counts)[marked], np.array([x for x in after if x is not None], np.uint32))
+        return ids, np.bincount(np.array(owner), weights=counts + marked, minlength=len(texts)).astype(np.int64)
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, of texts without added tokens."""
         sizes = np.array([len(t) for t in texts], np.int64)
         joined = "".join(texts)
-        counts = np.zeros(len(texts), np.int64)
         if not joined:
-            return np.zeros(0, np.uint32), counts
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum(sizes)
         firsts = (ends - sizes)[sizes > 0]
@@ -169,29 +197,20 @@ class Encoder:
         data = joined.encode("utf-8", "surrogatepass")
         offsets = np.append(before[at], len(data)).astype(np.int64)
         words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
-        distinct = words.dictionary.to_pylist()
         if len(self.cache) > CACHE_WORDS:
             self.cache, self.older = {}, self.cache
         get, get_older, learn = self.cache.get, self.older.get, self._word
         ids: list[bytes] = []
-        for w in distinct:
+        for w in words.dictionary.to_pylist():
             found = get(w)
             if found is None:
                 found = get_older(w) or learn(w)
                 if len(w) <= 40:
                     self.cache[w] = found
             ids.append(found)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        which = words.indices.to_numpy()
-        each = lengths[which]
-        out_ends = np.cumsum(each)
-        source = (np.cumsum(lengths) - lengths)[which] - (out_ends - each)
-        out = flat[np.repeat(source, each) + np.arange(out_ends[-1])]
+        out, out_ends = gathered(ids, words.indices.to_numpy())
         marks = np.searchsorted(at, ends)  # words before each text's end
-        upto = np.concatenate([[0], out_ends])[marks]
-        counts[:] = np.diff(np.concatenate([[0], upto]))
-        return out, counts
+        return out, np.diff(np.concatenate([[0], out_ends])[marks], prepend=0)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -204,20 +223,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def trim() -> None:
-    """Return freed memory to the system: workers outlive their tasks, and the C allocator keeps what it got."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
-        ctypes.CDLL(None).malloc_trim(0)
-
-
-def forget() -> None:
-    """Give back the memory of encoders in a worker that goes on to another kind of work."""
-    _encoders.clear()
-    trim()
-
-
 def _encoded(batch: pa.RecordBatch, conf: TokenOutput) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Keys and ids, end id included, of the documents of a batch of (doc_id, text)."""
     path = tokenizer_path(conf.tokenizer)
@@ -287,11 +292,12 @@ class Block:
         return np.frombuffer(raw, f"<u{self.width}").astype("<u4")
 
 
-def write_tokens(documents: DataFrame, path: str, conf: TokenOutput = TokenOutput()) -> bytes:
-    """Encode ``documents`` (doc_id, text) into blocks under ``path``; returns the dictionary."""
+def write_tokens(documents: DataFrame, path: str, conf: TokenOutput = TokenOutput()) -> None:
+    """Encode ``documents`` (doc_id, text) into the tables ``blocks`` and ``dictionary`` under ``path``."""
     spark = documents.sparkSession
     narrow = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dictionary = train_dictionary(narrow, conf)
+    spark.createDataFrame([(xxhash.xxh64_hexdigest(dictionary), bytearray(dictionary))], "hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
     shared = spark.sparkContext.broadcast(dictionary)
     total = narrow.count()
     shards = max(1, min(MAX_SHARDS, -(-total // conf.shard_documents)))
@@ -310,7 +316,6 @@ def write_tokens(documents: DataFrame, path: str, conf: TokenOutput = TokenOutpu
                     [pa.array(shard, pa.int32()), pa.array(keys, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(wide, pa.int32()), pa.array(frames, pa.binary())],
                     names=["shard", "doc_id", "n_tokens", "width", "frame"],
                 )
-        trim()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, before, width = None, 0, 0
@@ -326,7 +331,6 @@ def write_tokens(documents: DataFrame, path: str, conf: TokenOutput = TokenOutpu
                 names=["shard", "before", "n_docs", "n_tokens", "block"],
             )
 
-        forget()
         for batch in batches:
             for s, k, n, w, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if keys and (s != shard or w != width or held >= conf.block_bytes):
@@ -343,25 +347,32 @@ def write_tokens(documents: DataFrame, path: str, conf: TokenOutput = TokenOutpu
 
     (
         narrow.mapInArrow(compress, "shard int, doc_id bigint, n_tokens bigint, width int, frame binary")
-        .repartition(min(shards, 2 * MAX_SHARDS), "shard")
+        .repartitionById(len(bounds) + 1, F.col("shard"))
         .sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "frame")
         .mapInArrow(pack, "shard int, before bigint, n_docs bigint, n_tokens bigint, block binary")
-        .write.option("parquet.block.size", 8 * conf.block_bytes)  # readers hold a row group at a time
-        .parquet(path)
+        .write.option("compression", "none")  # frames are compressed already
+        .option("parquet.block.size", 32 * conf.block_bytes)  # readers hold a row group at a time
+        .parquet(f"{path}/blocks")
     )
-    return dictionary
 
 
-def read_tokens(spark: SparkSession, path: str, dictionary: bytes) -> DataFrame:
+def read_dictionary(spark: SparkSession, path: str) -> bytes:
+    """The dictionary that lies beside the blocks: one row of at most ``dictionary_bytes``."""
+    mark, data = spark.read.parquet(f"{path}/dictionary").select("hash", "dictionary").first()
+    if xxhash.xxh64_hexdigest(bytes(data)) != mark:
+        raise ValueError("the dictionary is not the one that was written")
+    return bytes(data)
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of the blocks under ``path``: doc_id, start, n_tokens, ids_crc32."""
-    blocks = spark.read.parquet(path)
-    shared = spark.sparkContext.broadcast(dictionary)
+    blocks = spark.read.parquet(f"{path}/blocks")
+    shared = spark.sparkContext.broadcast(read_dictionary(spark, path))
     totals = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     # at most MAX_SHARDS rows by construction, so one task can sum them up and every executor can hold them
     bases = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
         for batch in batches:
             for start, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 block = Block(data.as_buffer(), shared.value)
@@ -376,6 +387,6 @@ def read_tokens(spark: SparkSession, path: str, dictionary: bytes) -> DataFrame:
 
 def tokens_round_trip(documents: DataFrame, conf: TokenOutput = TokenOutput()) -> DataFrame:
     """Write the token files of ``documents`` to the shared folder and read every document back."""
-    spark = documents.sparkSession
-    path = shared_path(spark, "tokens")
-    return read_tokens(spark, path, write_tokens(documents, path, conf))
+    path = shared_path(documents.sparkSession, "tokens")
+    write_tokens(documents, path, conf)
+    return read_tokens(documents.sparkSession, path)
