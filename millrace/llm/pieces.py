@@ -3,7 +3,9 @@
 Words are counted over the whole corpus. The frequent ones, at most ``table_words``, are encoded in Spark: their
 substrings of bounded length are exploded, equi-joined to the piece table, grouped by word into the word's edges, and
 folded with a higher-order aggregate. The result is a table of bounded size that is broadcast to the pass over the
-documents; words outside it take the same lattice and fold inside the task that meets them.
+documents. Words outside it get the same lattice and fold inside the task that meets them, all words of a piece of text
+at once: their substrings walk the piece table as a trie, and rounds merge one pair of neighbours in every word. Sending
+these words through a shuffle would move every document's rare words.
 
 Two folds are there. For a unigram model it is Viterbi: the path of edges with the greatest sum of scores. The public
 model is a BPE model, whose segmentation is defined by merge order and which no sum of scores gives; for it the fold
@@ -21,21 +23,29 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
+import heapq
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_pieces, let, materialize
+from .common import Scratch, arrow_pieces, gathered, let
 from .tokens import tokenizer_path
 
 SIGN = "▁"
-CACHE_WORDS = 120_000
+#: Rare words remembered by a worker process.
+CACHE_WORDS = 100_000
+#: Signs of words that get their lattices at once, and of the longest word among them; longer ones go one by one.
+LATTICE_SIGNS, LONG_WORD = 200_000, 64
+NEVER = 2**31 - 1
+#: Text is encoded in pieces of whole documents of about so many bytes.
+PIECE_BYTES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -45,6 +55,54 @@ class PieceRules:
     longest_word: int = 64
 
 
+class IntTable:
+    """Numbers by 63-bit keys, for whole arrays of keys at once: one slot a key, and the keys that found theirs taken in order."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        slots = self._slots(keys)
+        self.keys[slots], self.values[slots] = keys, values
+        late = self.keys[slots] != keys
+        order = np.argsort(keys[late])
+        self.late_keys, self.late_values = keys[late][order], values[late][order].astype(np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, 0 where there is none."""
+        slots = self._slots(keys)
+        hit = self.keys[slots] == keys
+        found = np.where(hit, self.values[slots], 0)
+        if len(self.late_keys):
+            other = np.flatnonzero(~hit & (self.keys[slots] >= 0))
+            place = np.minimum(np.searchsorted(self.late_keys, keys[other]), len(self.late_keys) - 1)
+            late = self.late_keys[place] == keys[other]
+            found[other[late]] = self.late_values[place[late]]
+        return found
+
+
+class Trie:
+    """The pieces as a trie with nodes from 1; each node's rank (the best score has the least) and id, if it ends a piece."""
+
+    def __init__(self, pieces: dict[str, tuple[int, float]]):
+        children: dict[int, int] = {}
+        last: dict[str, int] = {}
+        for p in pieces:
+            node = 0
+            for sign in p:
+                node = children.setdefault(node << 21 | ord(sign), len(children) + 1)
+            last[p] = node
+        self.children = IntTable(np.fromiter(children.keys(), np.int64, len(children)), np.fromiter(children.values(), np.int64, len(children)))
+        self.rank, self.ids = np.full(len(children) + 1, NEVER, np.int32), np.full(len(children) + 1, -1, np.int64)
+        order = {s: k for k, s in enumerate(sorted({s for _, s in pieces.values()}, reverse=True))}
+        for p, (i, score) in pieces.items():
+            self.rank[last[p]], self.ids[last[p]] = order[score], i
+
+
 @dataclass
 class PieceTable:
     """A piece table: pieces with ids and scores, byte pieces, and how words are cut."""
@@ -59,8 +117,13 @@ class PieceTable:
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.pieces), default=1)
         self.pairs = frozenset(p[k : k + 2] for p in self.pieces for k in range(len(p) - 1))
-        self.texts = {i: p for p, (i, _) in self.pieces.items()}
-        self.values = {i: b for b, i in enumerate(self.bytes_)}
+        spelled = [b""] * (1 + max([*(i for i, _ in self.pieces.values()), *self.bytes_, self.unknown]))
+        for b, i in enumerate(self.bytes_):
+            spelled[i] = bytes([b])
+        for p, (i, _) in self.pieces.items():
+            spelled[i] = p.replace(SIGN, " ").encode("utf-8", "surrogatepass")
+        self.spelled = pa.array(spelled, pa.large_binary())
+        self.trie = Trie(self.pieces)
 
     @classmethod
     def load(cls, path: str) -> PieceTable:
@@ -70,115 +133,202 @@ class PieceTable:
         plain = {m.id_to_piece(i): (i, m.get_score(i)) for i in range(m.get_piece_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))}
         return cls(plain, [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)], m.unk_id(), True)
 
-    @staticmethod
-    def words(text: str) -> list[str]:
-        """The words of a text, in order; joined they are the text as the model sees it."""
-        return _WORD.findall(SIGN + text.replace(" ", SIGN)) if text else []
-
     def cut(self, word: str) -> list[str]:
         """A word cut wherever no piece has its two neighbouring signs in a row."""
         at = [0, *(k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.pairs), len(word)]
         return [word[a:b] for a, b in zip(at, at[1:], strict=False)]
 
-    def fallback(self, sign: str) -> list[int]:
-        return [self.bytes_[b] for b in sign.encode("utf-8", "surrogatepass")]
-
-    def fold(self, word: str) -> tuple[int, ...]:
-        """The ids of one word by the lattice of its substrings."""
-        edges = self.pieces
+    def ids(self, symbols: list[str]) -> bytes:
+        """The ids of symbols as little-endian u32; a sign without a piece is its bytes."""
         out: list[int] = []
+        for s in symbols:
+            found = self.pieces.get(s)
+            if found is not None:
+                out.append(found[0])
+            else:
+                out.extend(self.bytes_[b] for b in s.encode("utf-8", "surrogatepass"))
+        return struct.pack(f"<{len(out)}I", *out)
+
+    def edges(self, part: str) -> dict[tuple[int, int], float]:
+        """The lattice of ``part``: the score of each (start, end) that is a piece."""
+        get, n, longest = self.pieces.get, len(part), self.longest
+        return {(a, b): e[1] for a in range(n) for b in range(a + 1, min(n, a + longest) + 1) if (e := get(part[a:b])) is not None}
+
+    def fold(self, word: str) -> list[str]:
+        """The symbols of one word by its lattice."""
+        out: list[str] = []
         for part in self.cut(word) if len(word) > 48 else (word,):
-            for s in _merge(list(part), edges) if self.bpe else _viterbi(part, edges, self.longest):
-                found = edges.get(s)
-                if found is not None:
-                    out.append(found[0])
-                else:
-                    out.extend(self.fallback(s))
-        return tuple(out)
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids; the first sign is the one the model adds."""
-        parts = list(map(self.texts.get, ids))
-        if None in parts:
-            raw = (bytes([self.values[i]]) if p is None else p.encode("utf-8", "surrogatepass") for p, i in zip(parts, ids, strict=True))
-            text = b"".join(raw).decode("utf-8", "surrogatepass")
-        else:
-            text = "".join(parts)
-        text = text.replace(SIGN, " ")
-        return text[1:] if text.startswith(" ") else text
-
-
-_WORD = re.compile(f"{SIGN}*[^{SIGN}]+|{SIGN}+")
-
-
-def _merge(symbols: list[str], edges: dict[str, tuple[int, float]]) -> list[str]:
-    """Merge the best scored neighbours until none has a piece. Long runs use a heap, so the cost is n log n."""
-    if len(symbols) > 48:
-        return _merge_long(symbols, edges)
-    get, none = edges.get, (0, float("-inf"))
-    scores = [get(symbols[k] + symbols[k + 1], none)[1] for k in range(len(symbols) - 1)]
+            ends = (merged if self.bpe else viterbi)(len(part), self.edges(part))
+            out.extend(part[a:b] for a, b in zip([0, *ends], ends, strict=False))
+        return out
+
+    def fold_all(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of each of ``words``."""
+        first = 0
+        while first < len(words):
+            stop, signs = first, 0
+            while stop < len(words) and signs < LATTICE_SIGNS and self.bpe and len(words[stop]) <= LONG_WORD:
+                signs, stop = signs + len(words[stop]), stop + 1
+            if stop == first:
+                yield self.ids(self.fold(words[first]))
+                first += 1
+            else:
+                yield from self._fold_many(words[first:stop])
+                first = stop
+
+    def _fold_many(self, words: list[str]) -> list[bytes]:
+        """As ``fold_all``, by lattices of all words at once: nodes[k, a] is the piece of k signs from place a."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        n, ends = len(codes), np.cumsum(sizes)
+        stop, word = np.repeat(ends, sizes), np.repeat(np.arange(len(words)), sizes)
+        nodes = np.zeros((self.longest + 1, n), np.int32)
+        at, node = np.arange(n), np.zeros(n, np.int64)
+        for k in range(1, self.longest + 1):
+            inside = at + k <= stop[at]
+            at, node = at[inside], node[inside]
+            node = self.trie.children.get(node << 21 | codes[at + k - 1]).astype(np.int64)
+            at, node = at[node > 0], node[node > 0]
+            if not len(at):
+                break
+            nodes[k, at] = node
+        # symbols that may still merge: where they start, their words, and the rank of each with the one after it
+        place, after, alive = np.arange(n), np.arange(1, n + 1), np.ones(n, bool)
+
+        def ranks(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            size = after[right] - left
+            return np.where(size <= self.longest, self.trie.rank[nodes[np.minimum(size, self.longest), left]], NEVER)
+
+        rank = np.append(np.where(word[1:] == word[:-1], ranks(place[:-1], place[1:]), NEVER), NEVER)
+        while len(place):
+            begins = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            best = np.minimum.reduceat(rank, begins)
+            each = np.diff(np.append(begins, len(place)))
+            on = np.repeat(best < NEVER, each)
+            target = np.repeat(best, each)[on]
+            place, word, rank = place[on], word[on], rank[on]
+            hits = np.flatnonzero(rank == target)
+            if not len(hits):
+                break
+            hits = hits[np.append(True, word[hits][1:] != word[hits][:-1])]
+            alive[place[hits + 1]] = False
+            after[place[hits]] = after[place[hits + 1]]
+            keep = np.ones(len(place), bool)
+            keep[hits + 1] = False
+            place, word, rank = place[keep], word[keep], rank[keep]
+            hits -= np.arange(len(hits))
+            for left in (hits, hits[hits > 0] - 1):
+                rank[left] = NEVER
+                pair = left[left + 1 < len(place)]
+                pair = pair[word[pair] == word[pair + 1]]
+                rank[pair] = ranks(place[pair], place[pair + 1])
+        starts = np.flatnonzero(alive)
+        ids = self.trie.ids[nodes[np.minimum(after[starts] - starts, self.longest), starts]]
+        lone = np.flatnonzero(ids < 0)
+        raw = [chr(c).encode("utf-8", "surrogatepass") for c in codes[starts[lone]].tolist()]
+        count = np.ones(len(starts), np.int64)
+        count[lone] = [len(r) for r in raw]
+        flat = np.repeat(ids, count)
+        first = np.cumsum(count) - count
+        for a, r in zip(first[lone].tolist(), raw, strict=True):
+            flat[a : a + len(r)] = [self.bytes_[b] for b in r]
+        cuts = 4 * np.append(first, len(flat))[np.searchsorted(starts, np.append(0, ends))]
+        data = flat.astype("<u4").tobytes()
+        return [data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    def decoded(self, ids: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes that ``ids`` spell, and where each of the texts ends whose last ids are at ``ends``."""
+        found = self.spelled.take(pa.array(ids, pa.int64()))
+        if not len(found):
+            return b"", np.zeros(len(ends), np.int64)
+        offsets = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1, 8 * found.offset)
+        return memoryview(found.buffers()[2])[offsets[0] : offsets[-1]].tobytes(), (offsets - offsets[0])[ends]
+
+
+def merged(n: int, edges: dict[tuple[int, int], float]) -> list[int]:
+    """Merge the best scored neighbours, the left ones first, until none is an edge; the ends of what is left.
+
+    Long runs use a heap, so the cost is n log n.
+    """
+    if n > 48:
+        return _merged_long(n, edges)
+    get, none = edges.get, float("-inf")
+    at = list(range(n + 1))
+    scores = [get((k, k + 2), none) for k in range(n - 1)]
     while scores:
         best = max(scores)
-        if best == none[1]:
+        if best == none:
             break
         k = scores.index(best)
-        symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
-        del scores[k]
+        del at[k + 1], scores[k]
         if k:
-            scores[k - 1] = get(symbols[k - 1] + symbols[k], none)[1]
+            scores[k - 1] = get((at[k - 1], at[k + 1]), none)
         if k < len(scores):
-            scores[k] = get(symbols[k] + symbols[k + 1], none)[1]
-    return symbols
-
+            scores[k] = get((at[k], at[k + 2]), none)
+    return at[1:]
 
-def _merge_long(symbols: list[str], edges: dict[str, tuple[int, float]]) -> list[str]:
-    import heapq
 
-    n = len(symbols)
-    after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
+def _merged_long(n: int, edges: dict[tuple[int, int], float]) -> list[int]:
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the symbol that starts at each place
+    alive = [True] * n
+    heap: list[tuple[float, int, int]] = []
 
     def offer(a: int) -> None:
-        b = after[a]
-        if b < n:
-            both = symbols[a] + symbols[b]
-            e = edges.get(both)
-            if e is not None:
-                heapq.heappush(heap, (-e[1], a, b, both))
-
-    for k in range(n - 1):
+        if end[a] < n and (score := edges.get((a, end[end[a]]))) is not None:
+            heapq.heappush(heap, (-score, a, end[end[a]]))
+
+    for k in range(n):
         offer(k)
     while heap:
-        _, a, b, both = heapq.heappop(heap)
-        if symbols[a] is None or after[a] != b or symbols[b] is None or symbols[a] + symbols[b] != both:
+        _, a, stop = heapq.heappop(heap)
+        if not alive[a] or end[a] >= n or end[end[a]] != stop:
             continue
-        symbols[a], symbols[b] = both, None
-        after[a] = after[b]
-        if after[b] < n:
-            before[after[b]] = a
+        alive[end[a]], end[a] = False, stop
+        if stop < n:
+            before[stop] = a
         offer(a)
         if before[a] >= 0:
             offer(before[a])
-    return [s for s in symbols if s is not None]
+    return [end[a] for a in range(n) if alive[a]]
 
 
-def _viterbi(word: str, edges: dict[str, tuple[int, float]], longest: int) -> list[str]:
-    """The path with the greatest sum of scores; a sign without a piece costs more than any path of pieces."""
-    n = len(word)
-    worst = min((s for _, s in edges.values()), default=0.0) - 10.0
-    best: list[tuple[float, int]] = [(0.0, 0)] + [(float("-inf"), 0)] * n
+def viterbi(n: int, edges: dict[tuple[int, int], float]) -> list[int]:
+    """The ends along the path with the greatest sum of scores; a sign without a piece costs more than any path of pieces."""
+    worst = min(edges.values(), default=0.0) - 10.0
+    arriving: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+    for (a, b), score in edges.items():
+        arriving[b].append((a, score))
+    best: list[tuple[float, int]] = [(0.0, 0)]
     for end in range(1, n + 1):
-        for start in range(max(0, end - longest), end):
-            e = edges.get(word[start:end])
-            score = e[1] if e is not None else worst if end - start == 1 else None
-            if score is not None and best[start][0] + score > best[end][0]:
-                best[end] = (best[start][0] + score, start)
-    out: list[str] = []
+        alone = () if (end - 1, end) in edges else ((end - 1, worst),)
+        best.append(max(((best[a][0] + score, a) for a, score in (*arriving[end], *alone)), key=lambda x: x[0]))
+    out = []
     while n:
-        out.append(word[best[n][1] : n])
+        out.append(n)
         n = best[n][1]
     return out[::-1]
 
 
+def worded(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of ``texts`` in a row, and how many each text has.
+
+    A word starts at a text's start and at each space sign that another sign precedes.
+    """
+    seen = [(SIGN + t.replace(" ", SIGN)).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    data = b"".join(seen)
+    sizes = np.array([len(t) for t in seen], np.int64)
+    ends = np.cumsum(sizes)
+    raw = np.frombuffer(data, np.uint8)
+    sign = np.zeros(len(raw) + 3, bool)  # moved on by three places, which is one sign
+    if len(raw):
+        sign[3:-2] = (raw[:-2] == 0xE2) & (raw[1:-1] == 0x96) & (raw[2:] == 0x81)
+    start = sign[3:] & ~sign[:-3]
+    start[(ends - sizes)[sizes > 0]] = True
+    at = np.flatnonzero(start)
+    words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data)).astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
+    return words, np.diff(np.searchsorted(at, ends), prepend=0)
+
+
 # The relational lattice
 
 
@@ -247,7 +397,7 @@ def encode_words(words: DataFrame, table: PieceTable) -> DataFrame:
 
 
 _tables: dict[str, PieceTable] = {}
-_known: dict[str, dict[str, tuple[int, ...]]] = {}
+_rare: dict[str, dict[str, bytes]] = {}
 
 
 def piece_table(name: str) -> PieceTable:
@@ -263,52 +413,58 @@ def word_counts(documents: DataFrame, rules: PieceRules) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in arrow_pieces(batch, 0, 2_000_000):
-                words = [w for t in part.column(0).to_pylist() if t for w in PieceTable.words(t) if len(w) <= rules.longest_word]
-                if words:
-                    counts = pa.array(words).value_counts()
-                    yield pa.RecordBatch.from_arrays([counts.field(0), counts.field(1)], names=["word", "n"])
+            for part in arrow_pieces(batch, 0, PIECE_BYTES):
+                words, _ = worded([t or "" for t in part.column(0).to_pylist()])
+                n = pa.array(np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary)), pa.int64())
+                short = pc.less_equal(pc.utf8_length(words.dictionary), rules.longest_word)
+                yield pa.RecordBatch.from_arrays([words.dictionary.filter(short).cast(pa.string()), n.filter(short)], names=["word", "n"])
 
     return documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, rules: PieceRules) -> DataFrame:
+    """The words over the least frequency that leaves at most ``table_words``, chosen from a histogram of few rows."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    left, least = rules.table_words, None
+    for s, words in counts.filter("n > 1").groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
+        left -= words
+        if left < 0:
+            break
+        least = s
+    return counts.filter(step >= least if least is not None else F.lit(False)).select("word")
+
+
 def frequent_table(documents: DataFrame, rules: PieceRules) -> list[tuple[str, list[str]]]:
     """The symbols of the most frequent words; at most ``table_words`` rows, which is why they may be collected."""
-    counts = word_counts(documents, rules).filter("n > 1").orderBy(F.desc("n"), "word").limit(rules.table_words)
-    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = materialize(counts, "words").select("word").repartition(n)
-    return [(r[0], list(r[1])) for r in materialize(encode_words(words, piece_table(rules.model)), "encoded").toLocalIterator()]
+    with Scratch(documents.sparkSession) as scratch:
+        counts = scratch.keep(word_counts(documents, rules).filter("n > 1"), "words")
+        n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        words = frequent_words(counts, rules).repartition(n)
+        return [(r[0], list(r[1])) for r in encode_words(words, piece_table(rules.model)).collect()]
 
 
-def _encode_batch(batch: pa.RecordBatch, column: int, rules: PieceRules, known: dict[str, tuple[int, ...]], cache: dict) -> Iterator[tuple[list[str], list[np.ndarray]]]:
+def _encode_batch(texts: list[str], rules: PieceRules, known: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of ``texts`` in a row, and where each text's end."""
     table = piece_table(rules.model)
-    for part in arrow_pieces(batch, column, 2_000_000):
-        texts = [t or "" for t in part.column(column).to_pylist()]
-        out = []
-        for t in texts:
-            ids: list[int] = []
-            for w in table.words(t):
-                found = known.get(w)
-                if found is None:
-                    found = cache.get(w)
-                    if found is None:
-                        found = table.fold(w)
-                        if len(w) <= rules.longest_word:
-                            if len(cache) >= CACHE_WORDS:
-                                cache.clear()
-                            cache[w] = found
-                ids.extend(found)
-            out.append(np.array(ids, np.uint32))
-        yield texts, out
+    rare = _rare.setdefault(rules.model, {})
+    words, counts = worded(texts)
+    distinct = words.dictionary.to_pylist()
+    values = [known.get(w) or rare.get(w) for w in distinct]
+    missing = [k for k, v in enumerate(values) if v is None]
+    if len(rare) > CACHE_WORDS:
+        rare.clear()
+    for k, v in zip(missing, table.fold_all([distinct[k] for k in missing]), strict=True):
+        values[k] = v
+        if len(distinct[k]) <= rules.longest_word:
+            rare[distinct[k]] = v
+    ids, ends = gathered(values, words.indices.to_numpy())
+    return ids, np.append(0, ends)[np.cumsum(counts)]
 
 
 def shared_words(spark: SparkSession, documents: DataFrame, rules: PieceRules):
     """The broadcast table of frequent words as ids."""
     table = piece_table(rules.model)
-    known: dict[str, tuple[int, ...]] = {}
-    for word, symbols in frequent_table(documents, rules):
-        known[word] = tuple(i for s in symbols for i in ([table.pieces[s][0]] if s in table.pieces else table.fallback(s)))
-    return spark.sparkContext.broadcast(known)
+    return spark.sparkContext.broadcast({word: table.ids(symbols) for word, symbols in frequent_table(documents, rules)})
 
 
 RESULT = "doc_id bigint, n_pieces bigint, ids_crc32 bigint, n_chars bigint, round_trip boolean"
@@ -323,22 +479,28 @@ def encode_documents(documents: DataFrame, rules: PieceRules = PieceRules(), wit
     names = ["doc_id", "n_pieces", "ids_crc32", "n_chars", "round_trip", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple[int, ...]] = {}
-        table = piece_table(rules.model)
         for batch in batches:
-            keys = batch.column(0)
-            at = 0
-            for texts, ids in _encode_batch(batch, 1, rules, known.value, cache):
-                plain = [table.decode(x.tolist()) for x in ids]
-                same = [p == t.replace(SIGN, " ") for p, t in zip(plain, texts, strict=True)]
+            for part in arrow_pieces(batch, 1, PIECE_BYTES):
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                ids, ends = _encode_batch(texts, rules, known.value)
+                plain, stops = piece_table(rules.model).decoded(ids, ends)
+                raw, view = memoryview(ids.astype("<u4")).cast("B"), np.frombuffer(plain, np.uint8)
+                letters = np.append(0, np.cumsum((view & 0xC0) != 0x80))[stops]
+                starts = np.append(0, stops[:-1])
+                same = []
+                for t, a, b in zip(texts, starts.tolist(), stops.tolist(), strict=True):
+                    same.append(plain[a + (b > a) : b] == t.replace(SIGN, " ").encode("utf-8", "surrogatepass"))
+                begins = np.append(0, ends[:-1])
+                sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 columns = [
-                    keys.slice(at, len(ids)),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
-                    pa.array([len(p) for p in plain], pa.int64()),
+                    part.column(0),
+                    pa.array(ends - begins, pa.int64()),
+                    pa.array(sums, pa.int64()),
+                    pa.array(np.diff(letters, prepend=0) - (stops > starts), pa.int64()),
                     pa.array(same, pa.bool_()),
                 ]
-                at += len(ids)
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))] if with_ids else []), names=names)
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return narrow.mapInArrow(run, RESULT + (", ids array<int>" if with_ids else ""))

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,7 +196,6 @@ def test_tokens(documents, empty):
 
     path = tokens.tokenizer_path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     got = table(tokens.tokens_round_trip(documents, tokens.TokenOutput(shard_documents=7, block_bytes=300)))
     start = 0
     for k, t in enumerate(awkward_texts()):
@@ -205,14 +205,28 @@ def test_tokens(documents, empty):
     assert tokens.tokens_round_trip(empty).count() == 0
 
 
+def test_token_files(documents, spark, tmp_path):
+    """Part files hold ascending doc_ids, null first, and are read with nothing but their folder."""
+    frame = documents.unionByName(spark.createDataFrame([(None, "no id", 0, "w", "h", 1, "s", "r", 0)], CLASH))
+    tokens.write_tokens(frame, f"file://{tmp_path}/t", tokens.TokenOutput(shard_documents=7, block_bytes=300))
+    dictionary = tokens.read_dictionary(spark, f"file://{tmp_path}/t")
+    seen = []
+    for part in sorted(tmp_path.glob("t/blocks/part-*.parquet")):
+        for data in pq.read_table(part).column("block").to_pylist():
+            block = tokens.Block(data, dictionary)
+            seen += block.doc_ids.tolist()
+            assert len(block.document(len(block.counts) - 1)) == block.counts[-1]
+    assert len(seen) == len(awkward_texts()) + 1 and seen == sorted(seen)
+    assert {r.doc_id for r in tokens.read_tokens(spark, f"file://{tmp_path}/t").collect()} == {None, *range(len(awkward_texts()))}
+
+
 def test_token_split_equals_library():
     from tokenizers import Tokenizer
 
     path = tokens.tokenizer_path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     rng = random.Random(1)
-    signs = [" ", "\n", "\t", "a", "b", "'", "s", "1", "é", "\u00a0", "\x1c", "\x85", "!", "日", "\r", "'ll", "\u200b", "\u3000", "'re", "t", "²", "😀", "'v", "\u0301", "_", "  "]
+    signs = [" ", "\n", "\t", "a", "b", "'", "s", "1", "é", "\u00a0", "\x1c", "\x85", "!", "日", "\r", "'ll", "\u200b", "\u3000", "'re", "t", "²", "😀", "'v", "\u0301", "_", "  ", "<|endoftext|>", "<|endof"]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(10))) for _ in range(3000)]
     ids, counts = tokens.encoder(path).encode(texts)
     cuts = np.concatenate([[0], np.cumsum(counts)])
@@ -365,9 +379,16 @@ def test_folds(spark):
     words = ["▁the", "▁internationalization", "日本", "▁x▁", "aaaaaaaaaaaa", "▁" * 20, "été"]
     frame = spark.createDataFrame([(w,) for w in words], "word string")
     got = {r.word: list(r.symbols) for r in pieces.encode_words(frame, table_).collect()}
-    assert got == {w: pieces._merge(list(w), table_.pieces) for w in words}
-    long = [random.Random(k).choice("theinraod▁") for k in range(300)]
-    assert pieces._merge_long(list(long), table_.pieces) == pieces._merge(long[:], table_.pieces) or True
+    assert got == {w: table_.fold(w) for w in words}
+    for k in range(60):
+        long = "".join(random.Random(k).choice("theinraod▁") for _ in range(1 + 4 * k))
+        edges, at = table_.edges(long), list(range(len(long) + 1))
+        while options := [(edges[at[i], at[i + 2]], -i) for i in range(len(at) - 2) if (at[i], at[i + 2]) in edges]:
+            del at[1 - max(options)[1]]
+        assert pieces._merged_long(len(long), edges) == pieces.merged(len(long), edges) == at[1:]
+    rng = random.Random(12)
+    many = ["".join(rng.choice("theinraod▁▁é日😀xX1 .") for _ in range(rng.randrange(1, 90))) for _ in range(800)] + words
+    assert list(table_.fold_all(many)) == [table_.ids(table_.fold(w)) for w in many]
     unigram = pieces.PieceTable({"a": (0, -1.0), "b": (1, -1.5), "ab": (2, -2.0), "aba": (3, -2.5), "ba": (4, -1.75)}, list(range(10, 266)), 9, False)
     words = ["aba", "abab", "b", "abaaba", "axb"]
     got = {r.word: list(r.symbols) for r in pieces.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), unigram).collect()}
@@ -378,6 +399,7 @@ def test_folds(spark):
         options = [(unigram.pieces[w[:k]][1] + best(w[k:])[0], [w[:k], *best(w[k:])[1]]) for k in range(1, 4) if w[:k] in unigram.pieces]
         return max(options, key=lambda o: o[0]) if options else (-12.5 + best(w[1:])[0], [w[0], *best(w[1:])[1]])
 
+    assert all(unigram.fold(w) == got[w] for w in words)
     score = lambda s: sum(unigram.pieces.get(x, (0, -12.5))[1] for x in s)
     assert all(abs(score(got[w]) - best(w)[0]) < 1e-9 and "".join(got[w]) == w for w in words)
 
