@@ -92,6 +92,37 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running(values: Column, zero: Column, combine: Callable[[Column, Column], Column], block: int = 64) -> Column:
+    """The running fold of an array under an associative ``combine`` that keeps ``zero`` neutral.
+
+    Spark's aggregate copies the array it grows at every step; in blocks, and then over the blocks' totals, each element
+    is copied some ``block`` times only.
+    """
+
+    def grow(v: Column) -> Column:
+        return F.aggregate(v, F.array(zero), lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x))))
+
+    def joined(parts: Column) -> Column:
+        totals = grow(F.transform(parts, lambda p: F.element_at(p, -1)))
+        return let(totals, lambda t: F.flatten(F.transform(parts, lambda p, b: F.transform(F.slice(p, F.lit(2), F.size(p)), lambda x: combine(F.get(t, b), x)))))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / block).cast("int")), lambda b: grow(F.slice(values, b * block + 1, F.lit(block))))
+    return let(blocks, joined)
+
+
+def matches(text: Column, pattern: Column) -> Column:
+    """A struct of all matches of ``pattern`` in ``text``: the ``gaps`` before each and after the last, the ``hits``, and
+    the code point at which each hit ends."""
+    pair = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, pattern, 0).alias("hits"))
+
+    def placed(found: Column) -> Column:
+        sizes = F.transform(found["hits"], lambda h, i: F.length(F.get(found["gaps"], i)) + F.length(h))
+        ends = F.when(F.size(found["hits"]) == 0, F.array().cast("array<int>")).otherwise(let(sizes, lambda v: running(v, F.lit(0), lambda a, b: a + b)))
+        return F.struct(found["gaps"].alias("gaps"), found["hits"].alias("hits"), ends.alias("ends"))
+
+    return let(pair, placed)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER_ASCII, LOWER_ASCII)
 

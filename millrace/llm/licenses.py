@@ -1,9 +1,9 @@
 """License scans [native]: ordered signature rules behind a keyword prefilter.
 
-A text without any of the gate words is done after one look. In the others each rule whose keyword stands in the text
-runs its regular expression. Detections are intervals with the rule's priority; one that lies inside another of the
-same or a higher priority is suppressed. Base phrases are counted on words, apart from the rules. Everything is a
-DataFrame expression on one row: no shuffle, no Python.
+Each text is searched once for each distinct keyword of the rules; only rules whose keyword stands in it run their
+regular expression. Detections are intervals with the rule's priority; one that lies inside another of the same or a
+higher priority is suppressed. Base phrases are counted on words, apart from the rules. Everything is a DataFrame
+expression on one row: no shuffle, no Python, and the cost of a text is linear in its length and its detections.
 
 Defined results: null text is empty; texts without a phrase have null first_word and last_word, empty labels and
 score 0; repeated rows are judged separately; an empty table gives an empty result; other columns are ignored.
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let
+from .common import ascii_lower, let, matches, running
 
 #: Signs that stand between words: all of ASCII but letters and digits.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -24,9 +24,6 @@ BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
 BASE_PHRASES = ((("cc", "by"), "cc-by"), (("general", "public", "license"), "gpl"), (("all", "rights", "reserved"), "reserved"))
 
-#: A text with none of these, in lower case, has no base phrase and no detection.
-GATES = ("licen", "copyright", "right", "creative", "cc", "public domain", "spdx", "gpl", "granted", "redistribution", "warrant", "unlicense", "wtfpl")
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -147,8 +144,8 @@ def default_rules() -> tuple[Rule, ...]:
     leads = r"(?:(?:licen[cs]ed|released|distributed|available|provided|published|covered|governed)(?: to you)? (?:under|by)(?: the)?(?: terms(?: and conditions)? of(?: the)?)? )"
     for n, (label, keyword, name, tag) in enumerate(FAMILIES):
         rules.append(Rule(f"{tag}-tag", label, "spdx-license-identifier", rf"spdx-license-identifier:\s*{tag.replace('.', '[.]')}(?:-only|-or-later)?", 3))
-        rules.append(Rule(f"{tag}-reference-{n}", label, keyword, rf"{leads}{name}(?: licen[cs]e)?", 3))
-        rules.append(Rule(f"{tag}-name-{n}", label, keyword, rf"{name}(?: licen[cs]e)" if label in ("mit", "isc", "zlib") else name, 2))
+        rules.append(Rule(f"{tag}-reference-{n}", label, keyword, rf"\b{leads}{name}(?: licen[cs]e)?", 3))
+        rules.append(Rule(f"{tag}-name-{n}", label, keyword, rf"\b{name}(?: licen[cs]e)" if label in ("mit", "isc", "zlib") else rf"\b{name}", 2))
     for suffix, long_form in CC_ELEMENTS:
         short = suffix.replace("-", "[- ]")
         for version in CC_VERSIONS:
@@ -167,56 +164,57 @@ WEIGHTS = {1: 0.5, 2: 0.75, 3: 0.95}
 BASE_WEIGHT = 0.5
 
 
+DETECTIONS = "array<struct<start:int,minus_end:int,minus_priority:int,rule:string,label:string>>"
+
+
 def _places(text: Column, rule: Column) -> Column:
     """All matches of ``rule`` in ``text`` as structs, places in code points."""
 
     def located(found: Column) -> Column:
-        gaps, hits = found["gaps"], found["hits"]
-        ends = F.aggregate(
-            F.sequence(F.lit(1), F.size(hits)),
-            F.array(F.lit(0)),
-            lambda acc, i: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(F.get(gaps, i - 1)) + F.length(F.get(hits, i - 1)))),
-        )
         return F.transform(
-            hits,
+            found["hits"],
             lambda h, i: F.struct(
-                (F.get(ends, i + 1) - F.length(h)).alias("start"),
-                (-F.get(ends, i + 1)).alias("minus_end"),
+                (F.get(found["ends"], i) - F.length(h)).alias("start"),
+                (-F.get(found["ends"], i)).alias("minus_end"),
                 (-rule["priority"]).alias("minus_priority"),
                 rule["name"].alias("rule"),
                 rule["label"].alias("label"),
             ),
         )
 
-    pair = F.struct(F.split(text, rule["pattern"], -1).alias("gaps"), F.regexp_extract_all(text, rule["pattern"], 0).alias("hits"))
-    empty = F.array().cast("array<struct<start:int,minus_end:int,minus_priority:int,rule:string,label:string>>")
-    return let(pair, lambda found: F.when(F.size(found["hits"]) == 0, empty).otherwise(located(found)))
+    return let(matches(text, rule["pattern"]), located)
 
 
 def _suppressed(sorted_hits: Column) -> Column:
-    """The detections that no other of the same or a higher priority contains. A containing one always comes first."""
+    """The detections that no other of the same or a higher priority contains. A containing one always comes first.
 
-    def step(acc: Column, x: Column) -> Column:
-        p, end = -x["minus_priority"], -x["minus_end"]
-        reach = F.when(p == 1, acc["e1"]).when(p == 2, acc["e2"]).otherwise(acc["e3"])
-        keep = end > reach
-        return F.struct(
-            F.greatest(acc["e1"], end).alias("e1"),
-            F.when(p >= 2, F.greatest(acc["e2"], end)).otherwise(acc["e2"]).alias("e2"),
-            F.when(p >= 3, F.greatest(acc["e3"], end)).otherwise(acc["e3"]).alias("e3"),
-            F.when(keep, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"),
-        )
+    For each priority the farthest end of detections of at least that priority is carried along.
+    """
 
-    kind = "array<struct<start:int,minus_end:int,minus_priority:int,rule:string,label:string>>"
-    start = F.struct(F.lit(-1).alias("e1"), F.lit(-1).alias("e2"), F.lit(-1).alias("e3"), F.array().cast(kind).alias("kept"))
-    return F.aggregate(sorted_hits, start, step, lambda acc: acc["kept"])
+    def reach(hits: Column, least: int) -> Column:
+        ends = F.transform(hits, lambda x: F.when(x["minus_priority"] <= -least, -x["minus_end"]).otherwise(F.lit(-1)))
+        return let(ends, lambda e: running(e, F.lit(-1), F.greatest))
+
+    def kept(both: Column) -> Column:
+        def clear(x: Column, i: Column) -> Column:
+            before = F.when(x["minus_priority"] == -1, F.get(both["r1"], i - 1)).when(x["minus_priority"] == -2, F.get(both["r2"], i - 1)).otherwise(F.get(both["r3"], i - 1))
+            return -x["minus_end"] > F.coalesce(before, F.lit(-1))
+
+        return F.filter(both["hits"], clear)
+
+    return let(sorted_hits, lambda hits: let(F.struct(hits.alias("hits"), reach(hits, 1).alias("r1"), reach(hits, 2).alias("r2"), reach(hits, 3).alias("r3")), kept))
 
 
 def detections(lowered: Column, rules: tuple[Rule, ...] = DEFAULT_RULES) -> Column:
     """Detections in a lower-cased text, in order of their start."""
     table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in vars(r).items()]) for r in rules])
-    near = F.filter(table, lambda r: F.contains(lowered, r["keyword"]))
-    return _suppressed(F.sort_array(F.flatten(F.transform(near, lambda r: _places(lowered, r)))))
+    keywords = F.array(*[F.lit(k) for k in sorted({r.keyword for r in rules})])
+
+    def found(present: Column) -> Column:
+        near = F.filter(table, lambda r: F.array_contains(present, r["keyword"]))
+        return F.when(F.size(present) == 0, F.array().cast(DETECTIONS)).otherwise(_suppressed(F.sort_array(F.flatten(F.transform(near, lambda r: _places(lowered, r))))))
+
+    return let(F.filter(keywords, lambda k: F.contains(lowered, k)), found)
 
 
 def _base(words: Column) -> Column:
@@ -239,8 +237,13 @@ def scan(text: Column, rules: tuple[Rule, ...] = DEFAULT_RULES) -> Column:
     """A struct of all results for one text."""
     safe = F.coalesce(text, F.lit(""))
     no_base = F.array().cast("array<struct<at:int,label:string>>")
-    no_hits = F.array().cast("array<struct<start:int,minus_end:int,minus_priority:int,rule:string,label:string>>")
-    gate = let(F.lower(safe), lambda low: F.exists(F.array(*[F.lit(g) for g in GATES]), lambda g: F.contains(low, g)))
+
+    def gate(lowered: Column) -> Column:
+        """Every phrase holds its longest word."""
+        near = F.lit(False)
+        for phrase, _ in BASE_PHRASES:
+            near = near | F.contains(lowered, F.lit(max(phrase, key=len)))
+        return near
 
     def result(found: Column) -> Column:
         base, hits = found["base"], found["hits"]
@@ -258,18 +261,17 @@ def scan(text: Column, rules: tuple[Rule, ...] = DEFAULT_RULES) -> Column:
             F.array_join(F.transform(hits, lambda h: F.concat_ws(":", h["rule"], h["start"].cast("string"), (-h["minus_end"]).cast("string"))), ",").alias("detections"),
         )
 
-    def by_words(words: Column) -> Column:
-        lowered = ascii_lower(safe)
+    def by_words(words: Column, lowered: Column) -> Column:
         return let(
             F.struct(
                 F.size(words).alias("n"),
-                F.when(gate, let(F.transform(words, lambda w: ascii_lower(w)), _base)).otherwise(no_base).alias("base"),
-                F.when(gate, let(lowered, lambda low: detections(low, rules))).otherwise(no_hits).alias("hits"),
+                F.when(gate(lowered), _base(words)).otherwise(no_base).alias("base"),
+                detections(lowered, rules).alias("hits"),
             ),
             result,
         )
 
-    return let(F.filter(F.split(safe, BETWEEN_WORDS), lambda w: w != ""), by_words)
+    return let(ascii_lower(safe), lambda lowered: let(F.filter(F.split(lowered, BETWEEN_WORDS), lambda w: w != ""), lambda words: by_words(words, lowered)))
 
 
 def scan_documents(documents: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
