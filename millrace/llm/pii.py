@@ -1,10 +1,14 @@
 """PII [native]: base patterns, and identifiers found by bootstrapped contexts.
 
 Base spans come from four patterns with checks (address parts, Luhn, digit counts). Tokens that look like identifiers
-(four digits or more, or an at sign) are instances; the words before them are lexical patterns. Rounds alternate over
-the pattern-instance graph: a pattern scores the share of all its places in the corpus that known entities follow, an
+(four digits or more, an at sign, a key and its value) are instances; the words before them are lexical patterns. Known
+from the start are tokens that a base span covers, values of keys that name a secret, and numbers of a card's length
+whose check digit is wrong, as a slip in a card number does not make it public. Rounds alternate over the
+pattern-instance graph: a pattern scores the share of all its places in the corpus that known entities follow, an
 instance the best score of its patterns; instances of patterns that score high become known in the next round. Counts
-are taken over all documents; each grouping is combined map-side, so a frequent pattern costs one row per task.
+are taken over all documents, in one pass for every pattern that may ever be accepted; what a pattern needs is a number
+of known tokens and a share, both the same at every size. Groupings are combined map-side, so a frequent pattern costs
+one row per task.
 
 Only DataFrame functions are used. Defined results: null text is empty; texts without personal data have counts of 0
 and an empty span list; equal rows get equal results; rows that share a doc_id are told apart by their text; an empty
@@ -18,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize
+from .common import Scratch, let, matches, only_ids
 
 #: The base patterns in their order. Possessive runs and look-behinds give the leftmost matches without backtracking.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -27,9 +31,11 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone", "identifier")
 
-#: A token with an at sign or at least four digits.
-INSTANCE = r"(?<!\S)(?:(?=[^\s@]*@)|(?=[^\s0-9]*(?:[0-9][^\s0-9]*){4}))\S+"
+#: A token with an at sign, at least four digits, or a key and its value.
+INSTANCE = r"(?<!\S)(?:(?=[^\s@]*@)|(?=[^\s0-9]*(?:[0-9][^\s0-9]*){4})|(?=[A-Za-z][A-Za-z0-9_.-]{1,30}=[^\s=]))\S+"
 KEYED = r"^([A-Za-z][A-Za-z0-9_.-]{1,30}[=:]+)(?=.)"
+#: What stands around a value: opening signs, and closing ones up to the last sign that values end in.
+OPENING, CLOSING = r"^[\"'(\[{<]+", r"[^\p{L}\p{N}=_/+-]+$"
 
 #: Keys that name a secret or personal number; they are trusted from the start.
 TRUSTED_KEYS = (
@@ -37,34 +43,29 @@ TRUSTED_KEYS = (
     "password", "pin", "pwd", "secret", "secret_key", "ssn", "tax_id", "token", "username",
 )
 
+#: The value that such a key is given, with the signs between; and numbers as long as a card's.
+ASSIGNED = r"(?i)(?<![A-Za-z0-9_.-])(?:" + "|".join(sorted(TRUSTED_KEYS, key=len, reverse=True)) + r")[\"']?\s{0,3}[=:]+\s{0,3}\S+"
+ASSIGNMENT = r"(?i)^[a-z_]+[\"']?\s{0,3}[=:]+\s{0,3}"
+CARD_LENGTH = r"(?<![0-9A-Za-z._-])[0-9](?:[\x20-]?[0-9]){15,18}(?![0-9A-Za-z_-])"
+
 SPAN = "array<struct<start:int,end:int,hit:string>>"
 
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """A pattern needs ``min_support`` known tokens and ``min_share`` of all of them: what is rare by one measure in a
-    small corpus stays rare in a large one, so the patterns counted over the corpus do not multiply with it."""
+    """A pattern needs ``min_support`` different known tokens and ``min_score`` of all its places."""
 
     rounds: int = 2
     min_support: int = 3
-    min_share: float = 0.001
     min_score: float = 0.5
 
 
 def places(text: Column, pattern: str) -> Column:
     """All matches of ``pattern`` as structs (start, end, hit) in code points, end exclusive."""
-
-    def located(found: Column) -> Column:
-        gaps, hits = found["gaps"], found["hits"]
-        ends = F.aggregate(
-            F.sequence(F.lit(0), F.size(hits) - 1),
-            F.array(F.lit(0)),
-            lambda acc, i: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(F.get(gaps, i)) + F.length(F.get(hits, i)))),
-        )
-        return let(ends, lambda e: F.transform(hits, lambda h, i: F.struct((F.get(e, i + 1) - F.length(h)).alias("start"), F.get(e, i + 1).alias("end"), h.alias("hit"))))
-
-    pair = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("hits"))
-    return let(pair, lambda p: F.when(F.size(p["hits"]) == 0, F.array().cast(SPAN)).otherwise(located(p)))
+    return let(
+        matches(text, F.lit(pattern)),
+        lambda m: F.transform(m["hits"], lambda h, i: F.struct((F.get(m["ends"], i) - F.length(h)).alias("start"), F.get(m["ends"], i).alias("end"), h.alias("hit"))),
+    )
 
 
 def _valid_ip(hit: Column) -> Column:
@@ -100,59 +101,80 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _pattern(before: Column, hit: Column) -> Column:
-    """The lexical pattern of an instance: the key in front of the value, else the two words before it."""
-    words = F.regexp_extract(F.right(before, F.lit(80)), r"(?:^|\s)(\S+\s+\S+)\s+$", 1)
-    key = F.regexp_extract(hit, KEYED, 1)
-    return F.when(key != "", F.lower(key)).otherwise(F.lower(F.regexp_replace(words, r"\s+", " ")))
+INSTANCES = "array<struct<pattern:string,token:string,start:int,end:int,trusted:boolean>>"
 
 
-def instances(text: Column) -> Column:
-    """Identifier-like tokens as structs (pattern, token, start, end); a key in front belongs to the pattern."""
+def _instance(pattern: Column, value: Column, at: Column, trusted: Column) -> Column:
+    """A struct of an instance whose value, with signs around it, starts ``at``."""
 
-    def one(s: Column) -> Column:
-        key = F.length(F.regexp_extract(s["hit"], KEYED, 1))
-        token = F.regexp_replace(F.substr(s["hit"], key + 1), r"[.,;:!?)\]}\"']+$", "")
-        start = s["start"] + key
-        return F.struct(
-            _pattern(F.substring(text, F.greatest(s["start"] - 80, F.lit(0)) + 1, F.least(s["start"], F.lit(80))), s["hit"]).alias("pattern"),
-            token.alias("token"),
-            start.alias("start"),
-            (start + F.length(token)).alias("end"),
-        )
+    def trimmed(bare: Column) -> Column:
+        lead = F.length(value) - F.length(bare)
+        token = F.regexp_replace(bare, CLOSING, "")
+        return F.struct(pattern.alias("pattern"), token.alias("token"), (at + lead).alias("start"), (at + lead + F.length(token)).alias("end"), trusted.alias("trusted"))
 
-    found = F.transform(places(text, INSTANCE), one)
-    return F.when(text.rlike("[0-9@]"), F.filter(found, lambda x: x["token"] != "")).otherwise(F.array().cast("array<struct<pattern:string,token:string,start:int,end:int>>"))
+    return let(F.regexp_replace(value, OPENING, ""), trimmed)
 
 
-def _corpus_places(documents: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, total): places of each two-word pattern in all texts, whatever follows."""
-    words = F.split(F.lower(F.col("text")), r"\s+")
-    pairs = let(words, lambda w: F.transform(w, lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1))))
-    return documents.select(F.explode(pairs).alias("pattern")).join(patterns.select("pattern"), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
+def instances(text: Column) -> Column:
+    """Identifier-like tokens as structs (pattern, token, start, end, trusted); a key in front belongs to the pattern."""
+    none = F.array().cast(INSTANCES)
+    no, yes = F.lit(False), F.lit(True)
+
+    def by_words(m: Column) -> Column:
+        part = lambda name, i: F.coalesce(F.get(m[name], i), F.lit(""))
+
+        def one(h: Column, i: Column) -> Column:
+            # the two words before a hit lie in the gap and, where that is short, in the two hits before
+            before = F.concat(part("hits", i - 2), part("gaps", i - 1), part("hits", i - 1), part("gaps", i))
+            words = F.lower(F.regexp_replace(F.regexp_extract(before, r"(?:^|\s)(\S+\s+\S+)\s+$", 1), r"\s+", " "))
+            return let(
+                F.regexp_extract(h, KEYED, 1),
+                lambda key: _instance(F.when(key != "", F.lower(key)).otherwise(words), F.substr(h, F.length(key) + 1), F.get(m["ends"], i) - F.length(h) + F.length(key), no),
+            )
+
+        return F.transform(m["hits"], one)
+
+    def assigned(s: Column) -> Column:
+        return let(F.length(F.regexp_extract(s["hit"], ASSIGNMENT, 0)), lambda n: _instance(F.lit(""), F.substr(s["hit"], n + 1), s["start"] + n, yes))
+
+    found = F.concat(
+        F.when(text.rlike("[0-9@=]"), let(matches(text, F.lit(INSTANCE)), by_words)).otherwise(none),
+        F.when(text.rlike("[=:]"), F.transform(places(text, ASSIGNED), assigned)).otherwise(none),
+        F.when(text.rlike("[0-9](?:[\\x20-]?[0-9]){15}"), F.transform(places(text, CARD_LENGTH), lambda s: _instance(F.lit(""), s["hit"], s["start"], yes))).otherwise(none),
+    )
+    return F.filter(found, lambda x: x["token"] != "")
 
 
-def discover(documents: DataFrame, found: DataFrame, conf: Bootstrap = Bootstrap()) -> DataFrame:
-    """Instances to report: rows of ``found`` (doc_id, mark, pattern, token, start, end, known) that no base span touches."""
-    keys = [f"{k}{s}" for k in TRUSTED_KEYS for s in ("=", ":")]
-    edges = found.filter("pattern <> ''").groupBy("pattern", "token").agg(F.max("known").alias("known"), F.count("*").alias("n"))
-    edges = materialize(edges, "edges")
-    known = edges.filter("known").select("token").distinct()
-    accepted = None
+def _corpus_places(documents: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(mark, total): places of each two-word pattern, given by its hash, in all texts, whatever follows."""
+    words = F.split(F.lower(F.col("text")), r"\s+")
+    pairs = let(words, lambda w: F.transform(w, lambda x, i: F.xxhash64(F.concat_ws(" ", x, F.get(w, i + 1)))))
+    return only_ids(documents.select(F.explode(pairs).alias("mark")), patterns, "mark").groupBy("mark").agg(F.count("*").alias("total"))
+
+
+def discover(documents: DataFrame, found: DataFrame, scratch: Scratch, conf: Bootstrap = Bootstrap()) -> DataFrame:
+    """Instances to report: rows of ``found`` (doc_id, mark, pattern, token, start, end, trusted, known) that no base span touches."""
+    edges = found.filter("pattern <> ''").groupBy("pattern", "token").agg(F.max(F.col("known") | F.col("trusted")).alias("known"), F.count("*").alias("n"))
+    edges = scratch.keep(edges, "edges")
+    seeds = found.filter("known or trusted").select("token").distinct()
+    known = scratch.keep(seeds, "known")
+    eligible = edges.groupBy("pattern").agg(F.count("*").alias("tokens")).filter((F.col("tokens") >= conf.min_support) & F.contains("pattern", F.lit(" ")))
+    eligible = scratch.keep(eligible.select("pattern", F.xxhash64("pattern").alias("mark")), "eligible")
+    totals = eligible.select("pattern", F.lit(0).cast("bigint").alias("total"))
+    if eligible.limit(1).count():
+        totals = scratch.keep(_corpus_places(documents, eligible), "totals").join(eligible, "mark").select("pattern", "total")
     for _ in range(conf.rounds):
         scored = edges.join(known.withColumn("seed", F.lit(True)), "token", "left").groupBy("pattern").agg(
             F.sum(F.when(F.col("seed"), 1).otherwise(0)).alias("support"),
             F.sum(F.when(F.col("seed"), F.col("n")).otherwise(0)).alias("hits"),
             F.sum("n").alias("instances"),
         )
-        needed = max(conf.min_support, conf.min_share * known.count())
-        candidates = materialize(scored.filter(F.col("support") >= needed), "patterns")
-        worded = candidates.filter(F.contains("pattern", F.lit(" ")))
-        totals = _corpus_places(documents, worded) if worded.limit(1).count() else worded.select("pattern", F.col("instances").alias("total"))
-        accepted = candidates.join(totals, "pattern", "left").withColumn("score", F.col("hits") / F.greatest("instances", F.coalesce("total", "instances")))
-        accepted = materialize(accepted.filter(F.col("score") >= conf.min_score).select("pattern").unionByName(edges.filter(F.col("pattern").isin(keys)).select("pattern")).distinct(), "accepted")
-        known = materialize(known.unionByName(edges.join(accepted, "pattern", "left_semi").select("token")).distinct(), "known")
-    return found.filter(~F.col("known")).join(accepted, "pattern", "left_semi")
+        candidates = scored.filter(F.col("support") >= conf.min_support).join(totals, "pattern", "left")
+        score = F.col("hits") / F.greatest("instances", F.coalesce("total", "instances"))
+        accepted = scratch.keep(candidates.filter(score >= conf.min_score).select("pattern"), "accepted")
+        known = scratch.keep(known.unionByName(edges.join(accepted, "pattern", "left_semi").select("token")).distinct(), "known")
+    new = found.filter(~F.col("known")).join(accepted.withColumn("accepted", F.lit(True)), "pattern", "left")
+    return new.filter(F.col("trusted") | F.col("accepted"))
 
 
 def _touches(x: Column, spans: Column) -> Column:
@@ -160,24 +182,24 @@ def _touches(x: Column, spans: Column) -> Column:
 
 
 def analysed(documents: DataFrame) -> DataFrame:
-    """(doc_id, mark, base, seen): base spans and instances of each document, written to the shared folder."""
+    """(doc_id, mark, base, seen): base spans and instances of each document."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    seen = documents.select("doc_id", F.xxhash64(text).alias("mark"), let(text, base_spans).alias("base"), let(text, instances).alias("seen"))
-    return materialize(seen, "pii")
+    return documents.select("doc_id", F.xxhash64(text).alias("mark"), let(text, base_spans).alias("base"), let(text, instances).alias("seen"))
 
 
 def all_spans(documents: DataFrame, conf: Bootstrap = Bootstrap()) -> DataFrame:
     """One row per document: doc_id, mark, base (struct of base spans) and found (array of discovered spans)."""
-    seen = analysed(documents)
-    base = F.flatten(F.array(*[F.col(f"base.{k}") for k in KINDS[:4]]))
-    rows = seen.filter(F.size("seen") > 0).select("doc_id", "mark", base.alias("spans"), F.explode("seen").alias("x"))
-    found = rows.select("doc_id", "mark", "x.*", _touches(F.col("x"), F.col("spans")).alias("known"))
-    new = discover(documents.select(F.coalesce(F.col("text"), F.lit("")).alias("text")), found, conf)
-    lists = new.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("found"))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    a, b = seen.alias("a"), lists.alias("b")
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.mark") == F.col("b.mark"))
-    return a.join(b, same, "left").select("a.doc_id", "a.mark", "a.base", F.coalesce("b.found", empty).alias("found"))
+    with Scratch(documents.sparkSession) as scratch:
+        seen = scratch.keep(analysed(documents), "pii")
+        base = F.flatten(F.array(*[F.col(f"base.{k}") for k in KINDS[:4]]))
+        rows = seen.filter(F.size("seen") > 0).select("doc_id", "mark", base.alias("spans"), F.explode("seen").alias("x"))
+        found = rows.select("doc_id", "mark", "x.*", _touches(F.col("x"), F.col("spans")).alias("known"))
+        new = discover(documents.select(F.coalesce(F.col("text"), F.lit("")).alias("text")), found, scratch, conf)
+        lists = new.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("found"))
+        empty = F.array().cast("array<struct<start:int,end:int>>")
+        a, b = seen.alias("a"), lists.alias("b")
+        same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.mark") == F.col("b.mark"))
+        return scratch.result(a.join(b, same, "left").select("a.doc_id", "a.mark", "a.base", F.coalesce("b.found", empty).alias("found")), "spans")
 
 
 def _listed(kind: str, spans: Column) -> Column:
@@ -193,6 +215,7 @@ def find_pii(documents: DataFrame, conf: Bootstrap = Bootstrap()) -> DataFrame:
         F.sha2(F.array_join(F.concat(*base), ","), 256).alias("base_sha256"),
         F.array_join(F.concat(*base, _listed("identifier", F.col("found"))), ",").alias("spans"),
         F.size("found").cast("long").alias("n_identifier"),
+        (sum((F.size(f"base.{k}") for k in KINDS[:4]), F.size("found"))).cast("long").alias("n_spans"),
     )
 
 

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -165,13 +166,73 @@ def test_licenses(documents):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
+def example(pattern):
+    """A string that a rule's pattern matches: first alternatives, least repeats."""
+    out = []
+    for op, arg in pattern:
+        name = str(op)
+        if name == "LITERAL":
+            out.append(chr(arg))
+        elif name == "NOT_LITERAL":
+            out.append("q")
+        elif name == "ANY":
+            out.append("q")
+        elif name == "IN":
+            kind, value = arg[0]
+            out.append("q" if str(kind) == "NEGATE" else chr(value if str(kind) == "LITERAL" else value[0]) if str(kind) in ("LITERAL", "RANGE") else {"CATEGORY_DIGIT": "7", "CATEGORY_SPACE": " "}.get(str(value), "-"))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out.append(example(arg[2]) * arg[0])
+        elif name == "SUBPATTERN":
+            out.append(example(arg[3]))
+        elif name == "BRANCH":
+            out.append(example(arg[1][0]))
+        elif name == "ASSERT":
+            out.append(example(arg[1]))
+    return "".join(out)
+
+
+def test_every_license_rule_fires_alone(spark):
+    rows = [(k, "Xq. " + example(re._parser.parse(r.pattern)).replace("mit", "MIT") + " \nend") for k, r in enumerate(licenses.DEFAULT_RULES)]
+    got = table(licenses.scan_documents(spark.createDataFrame(rows, "doc_id int, text string")))
+    for k, r in enumerate(licenses.DEFAULT_RULES):
+        assert re.search(r.pattern, rows[k][1].lower()) and got[k].score > 0, r
+        ran = {d.split(":")[0] for d in got[k].detections.split(",")}
+        assert r.name in ran or any(x.priority >= r.priority and x.name in ran and re.search(x.pattern, rows[k][1].lower()) for x in licenses.DEFAULT_RULES), (r, rows[k], ran)
+    for k, t in enumerate(("permit license", "submit licence forms", "disc license", "occupied by", "plain text", "the apache helicopter", "creative people")):
+        assert licenses.scan_documents(spark.createDataFrame([(k, t)], "doc_id int, text string")).first().labels == "", t
+
+
+def brute_detections(text):
+    text = text.translate(LOWER)
+    found = [(m.start(), m.end(), r.priority, r.name, r.label) for r in licenses.DEFAULT_RULES for m in re.finditer(r.pattern, text)]
+    found.sort(key=lambda h: (h[0], -h[1], -h[2], h[3], h[4]))
+    return [x for k, x in enumerate(found) if not any(y[1] >= x[1] and y[2] >= x[2] for y in found[:k])]
+
+
 def test_license_rules(spark):
-    texts = ["Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: MIT", "plain text"]
+    texts = [
+        "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: MIT", "plain text",
+        "Simplified BSD, fair use, released under the MIT license. All rights reserved. Copyright (c) 2001-2003, 2004 by Some One", "é GPL v2 é LGPL 2.1 or AGPL-3 under the terms of the GNU General Public License as published by the free software foundation; either version 2",
+    ]
     got = table(licenses.scan_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")))
-    assert [got[k].labels for k in range(5)] == ["cc-by,cc-by-nc-4.0,licensed", "gpl,gpl-3.0", "apache-2.0", "mit", ""] or "gpl-3.0" in got[1].labels
+    for k, t in enumerate(texts):
+        want = brute_detections(t)
+        assert got[k].detections == ",".join(f"{x[3]}:{x[0]}:{x[1]}" for x in want), t
+        assert set(filter(None, got[k].labels.split(","))) == {x[4] for x in want} | set(filter(None, got[k].base_labels.split(",")))
+    assert [got[k].labels for k in range(5)] == ["cc-by,cc-by-nc-4.0,licensed", "gpl,gpl-3.0", "apache-2.0", "mit", ""]
     assert len(licenses.DEFAULT_RULES) > 200 and got[4].score == 0.0
 
 
+def test_many_detections_in_one_text(spark):
+    """Cost is linear in the detections: 128 KB of them, and as many numbers, in seconds."""
+    began = time.time()
+    text = "fair use license " * 8000
+    row = licenses.scan_documents(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
+    assert row.detections.count("fair-use") == 8000 and row.detections.split(",")[-1] == f"fair-use:{17 * 7999}:{17 * 7999 + 8}"
+    row = pii.find_pii(spark.createDataFrame([(1, "12.34 " * 20000 + "1.2.3.4 x")], "doc_id bigint, text string")).first()
+    assert row.spans.startswith("ip:120000:120007") and time.time() - began < 60
+
+
 # 3
 
 
@@ -360,6 +421,36 @@ def test_pii_bootstrap_and_mask(spark):
     assert clean[10].text == "some words here contact: [IDENTIFIER] ok" and clean[0].text == "some words here contact: [EMAIL] and the rest" and clean[13].text is None and clean[14].text == ""
 
 
+def test_pii_trusted_and_far_contexts(spark):
+    long = "y" * 300
+    rows = [
+        (0, 'Stti token = "04dbebab91ab85687d33" here'), (1, "PASSWORD: secretword, then"), (2, "api_key='k3y/v+a=' end"), (3, "no 9807915762804490 luhn"), (4, "my token of love: none"), (5, "code 123456789012345678901234567890 x"), (6, "tokens = 5"),
+        *((20 + k, f"{long} {long} u{k}@m.org end") for k in range(4)), (30, f"{long}\n {long}   handle987654 end"),
+    ]
+    got = table(pii.find_pii(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    values = {k: [t[int(a) : int(b)] for kind, a, b in (s.split(":") for s in got[k].spans.split(",") if s) if kind == "identifier"] for k, t in rows}
+    assert values[0] == ["04dbebab91ab85687d33"] and values[1] == ["secretword"] and values[2] == ["k3y/v+a="] and values[3] == ["9807915762804490"] and values[30] == ["handle987654"]
+    assert not (values[4] or values[5] or values[6]) and got[3].n_spans == 1
+
+
+def test_pii_planted_kinds_are_found(spark):
+    """Documents that hold one of the five planted kinds, in many contexts: at least 0.9 are found, clean ones are not."""
+    rng = random.Random(21)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    kinds = [lambda: f"a{number(3)}@mail{number(1)}.example.com", lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), lambda: f"+1 ({number(3)}) 555-{number(4)}", lambda: "4" + number(15), lambda: f'token = "{rng.randbytes(20).hex()}"']
+    rows = [(k, f"{_prose(rng, 30)} {rng.choice(kinds)()}{rng.choice(['', '.', '!!', '###'])} {_prose(rng, 20)}") for k in range(300)] + [(1000 + k, _prose(rng, 50) + f" in {1900 + k % 100} it was {k}") for k in range(300)]
+    got = table(pii.find_pii(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert sum(got[k].n_spans > 0 for k in range(300)) >= 0.9 * 300 and sum(got[1000 + k].n_spans > 0 for k in range(300)) <= 3
+
+
+def test_pii_accepts_alike_at_every_size(spark):
+    """Patterns accepted on a table are accepted on one with many more known tokens beside them."""
+    few = [(k, f"my contact: u{k}@m.org") for k in range(5)] + [(9, "my contact: handle987654")]
+    many = few + [(100 + k, f"w{k} v{k} x{k}@n.org") for k in range(8000)]
+    for rows in (few, many):
+        assert table(pii.find_pii(spark.createDataFrame(rows, "doc_id bigint, text string")))[9].n_identifier == 1
+
+
 # 9
 
 
