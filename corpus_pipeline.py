@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, read_table
-from millrace.llm.decontam import clean_documents
+from millrace.llm.common import materialize, only_ids, read_table
+from millrace.llm.decontam import clean_documents as without_items
 from millrace.llm.jaccard import JaccardJoin, jaccard_components
 from millrace.llm.pieces import encode_documents
 from millrace.llm.pii import masked
-from millrace.llm.quality import keep_documents
+from millrace.llm.quality import clean_documents
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -22,26 +22,33 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
 
 
+def sized(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules keep; null and empty texts go."""
-    return keep_documents(docs).select(*COLUMNS)
+    """Documents that the line-first rules keep, without their failing lines; null and empty texts go."""
+    return sized(clean_documents(docs.select(*COLUMNS)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one whose doc_id names it. Of rows that share a doc_id one stays."""
+    """One document of each component: the one whose doc_id names it. Rows that share a doc_id are kept or go together;
+    rows without one are no copies of anything that could be named, and stay."""
     found = jaccard_components(docs, JaccardJoin(size=5, num=80, den=100))
-    named = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(named, "doc_id", "left_semi").select(*COLUMNS)
+    other = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    named = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    return only_ids(docs, other.join(named, "doc_id", "left_anti"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return clean_documents(docs.select(*COLUMNS), read_table(spark, sf_dir, "benchmark"))
+    return without_items(docs.select(*COLUMNS), read_table(spark, sf_dir, "benchmark"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; n_chars follows the text."""
-    return masked(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return sized(masked(docs.select(*COLUMNS)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,10 +80,11 @@ class Scratch:
 BROADCAST_IDS = 1_000_000
 
 
-def only_ids(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """``rows`` whose ``column`` stands in the written table ``ids``; rows stay where they are if the ids are few."""
+def only_ids(rows: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+    """``rows`` whose ``column`` stands in the table ``ids`` (or does not, ``left_anti``); they stay where they are if the
+    ids are few."""
     ids = ids.select(column)
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, "left_semi")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, how)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -7,7 +7,7 @@ brute-force versions.
 
 from __future__ import annotations
 
-from .quality import BOILERPLATE, SUSPECT, SYMBOLS, LineRules
+from .quality import BOILERPLATE, MARKS, SEPARATORS, SYMBOLS, LineRules
 
 _R = LineRules()
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -40,13 +40,14 @@ FROM s LEFT JOIN c ON s.f = c.f LEFT JOIN m ON c.class_id = m.node""",
     "op5_quality_rules": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, t, {_words("t")} AS w FROM d),
   g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
   q AS (SELECT doc_id, count(DISTINCT p) AS n_repeat FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g) WHERE k > 1) GROUP BY doc_id),
-  l AS (SELECT doc_id, x, {_words("x")} AS v FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d)),
-  f AS (SELECT doc_id, x, len(v) AS n, len(list_filter(v, lambda z: regexp_matches(z, '[#*$%&|<>]'))) AS symbols, len(list_filter(v, lambda z: regexp_matches(z, '^[^\\p{{Ll}}]*\\p{{Lu}}[^\\p{{Ll}}]*\\p{{Lu}}[^\\p{{Ll}}]*$'))) AS caps,
-    len(list_filter(v, lambda z, i: i > 1 AND z = v[i - 1])) AS echo, len(list_filter(v, lambda z: z IN ('|', '»', '›', '•', '·', '>', '>>', '::'))) AS seps FROM l),
-  o AS (SELECT doc_id, sum(n) FILTER (WHERE {_share("symbols", _R.max_symbol_words_pct)} OR {_share("caps", _R.max_caps_words_pct)} OR {_share("echo", _R.max_echo_words_pct)} OR (seps >= {_R.min_separators} AND seps * 6 >= n) OR {_has_phrase("x")}) AS lost,
+  l AS (SELECT doc_id, ls[i] AS x, coalesce(ls[i + 1], '') AS y, {_words("ls[i]")} AS v FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM d))),
+  f AS (SELECT doc_id, x, y, len(v) AS n, len(list_filter(v, lambda z: regexp_matches(z, '[#*$%&|<>]'))) AS symbols, len(list_filter(v, lambda z: len(regexp_extract_all(z, '\\p{{Lu}}')) > 1 AND NOT regexp_matches(z, '\\p{{Ll}}'))) AS caps,
+    len(list_filter(v, lambda z, i: i > 1 AND z = v[i - 1])) AS echo, len(list_filter(v, lambda z: list_contains([{", ".join(f"'{p}'" for p in SEPARATORS)}], z))) AS seps FROM l),
+  o AS (SELECT doc_id, sum(n) FILTER (WHERE {_share("symbols", _R.max_symbol_words_pct)} OR {_share("caps", _R.max_caps_words_pct)} OR {_share("echo", _R.max_echo_words_pct)} OR (seps >= {_R.min_separators} AND seps * 6 >= n) OR {_has_phrase("x")}
+      OR (n >= {_R.min_unmarked_words} AND NOT regexp_matches(x, '[{MARKS}]') AND NOT regexp_matches(trim(y, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '^[\\p{{Ll}}\\p{{Lo}}]'))) AS lost,
     count(*) FILTER (WHERE n > 0) - count(DISTINCT x) FILTER (WHERE n > 0) AS dups FROM f GROUP BY doc_id),
-  a AS (SELECT w.doc_id, len(w) AS n, length(array_to_string(w, '')) AS chars, length(t) - length(regexp_replace(t, '[{SYMBOLS}]', '', 'g')) AS symbols, dups, coalesce(n_repeat, 0) AS n_repeat,
-    CASE WHEN coalesce(n_repeat, 0) > 0 OR regexp_matches(t, '{SUSPECT}') OR {_has_phrase("t")} THEN coalesce(lost, 0) ELSE 0 END AS lost FROM w LEFT JOIN q ON w.doc_id = q.doc_id LEFT JOIN o ON w.doc_id = o.doc_id)
+  a AS (SELECT w.doc_id, len(w) AS n, length(array_to_string(w, '')) AS chars, length(t) - length(regexp_replace(t, '[{SYMBOLS}]', '', 'g')) AS symbols, dups, coalesce(n_repeat, 0) AS n_repeat, coalesce(lost, 0) AS lost
+    FROM w LEFT JOIN q ON w.doc_id = q.doc_id LEFT JOIN o ON w.doc_id = o.doc_id)
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(chars AS BIGINT) AS word_chars, CAST(symbols AS BIGINT) AS n_symbols, CAST(dups AS BIGINT) AS n_dup_lines, CAST(n_repeat AS BIGINT) AS n_repeat_words,
   n < {_R.min_base_words} OR 100 * n_repeat > {_R.max_repeat_pct} * n AS base_failed, NOT (n < {_R.min_base_words} OR 100 * n_repeat > {_R.max_repeat_pct} * n) AND lost * 100 <= n * {_R.max_lost_pct} AS kept, CAST(lost AS BIGINT) AS n_lost_words FROM a""",
 }

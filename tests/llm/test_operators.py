@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 import time
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -311,10 +312,46 @@ def test_quality(documents):
         r = got[k]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)), repr(t)[:60]
         assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (r.base_failed and r.kept)
-    kept = table(quality.keep_documents(documents))
+    kept = table(quality.clean_documents(documents))
     assert set(kept) == {k for k, r in got.items() if r.kept} and 6 in kept
 
 
+def plain_line_fails(line, after):
+    w, r = word_list(line), quality.LineRules()
+    share = lambda hits, pct: len(w) >= r.min_rule_words and 100 * sum(hits) > len(w) * pct
+    upper, lower = (lambda x, c: sum(unicodedata.category(s) == c for s in x)), (lambda x: any(unicodedata.category(s) == "Ll" for s in x))
+    separators = sum(x in quality.SEPARATORS for x in w)
+    goes_on = word_list(after) and unicodedata.category(word_list(after)[0][0]) in ("Ll", "Lo")
+    return bool(
+        share([any(c in "#*$%&|<>" for c in x) for x in w], r.max_symbol_words_pct)
+        or share([upper(x, "Lu") > 1 and not lower(x) for x in w], r.max_caps_words_pct)
+        or share([k > 0 and w[k - 1] == x for k, x in enumerate(w)], r.max_echo_words_pct)
+        or (separators >= r.min_separators and 6 * separators >= len(w))
+        or (len(w) >= r.min_unmarked_words and not any(c in quality.MARKS for c in line) and not goes_on)
+        or any(p in line for p in quality.BOILERPLATE)
+    )
+
+
+def test_quality_lines(spark):
+    """The verdict and the cleaned text against a plain version of every line rule."""
+    rng = random.Random(17)
+    clean = lambda n: " ".join(rng.choice("ab cd ef gh ij kl mn op qr st uv".split()) + str(rng.randrange(99)) for _ in range(n))
+    lines = [
+        lambda: clean(rng.randrange(1, 20)) + ".", lambda: clean(rng.randrange(6, 20)), lambda: clean(14).capitalize(), lambda: "a a b b c c", lambda: "A.B C.D E.F G.H I.J", lambda: "home | about us | help", lambda: "x# y$ z% w& plain",
+        lambda: "SHOUT LOUD AND ÜBER ALLES", lambda: "Bitte klicken Sie hier", lambda: "Wir wollen alle Cookies akzeptieren", lambda: "", lambda: " \t ", lambda: "Aceptar todas las cookies", lambda: "日本 語 " * 6, lambda: "one :: two :: three", lambda: "No marks " * 7,
+    ]
+    texts = ["\n".join(rng.choice(lines)() if rng.random() < 0.3 else clean(12) + "." for _ in range(rng.randrange(1, 14))) for _ in range(250)] + ["a a b b c c " * 10 + clean(60), clean(60) + " A.B", clean(60) + " #"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got, cleaned = table(quality.quality_signals(frame)), table(quality.clean_documents(frame))
+    for k, t in enumerate(texts):
+        each = t.split("\n")
+        fails = [plain_line_fails(x, each[i + 1] if i + 1 < len(each) else "") for i, x in enumerate(each)]
+        lost, n = sum(len(word_list(x)) for x, f in zip(each, fails, strict=True) if f), len(word_list(t))
+        assert got[k].n_lost_words == lost and got[k].kept == (not got[k].base_failed and 100 * lost <= 30 * n), t
+        assert (k in cleaned) == got[k].kept and (k not in cleaned or cleaned[k].text == "\n".join(x for x, f in zip(each, fails, strict=True) if not f))
+    assert 20 < len(cleaned) < 240
+
+
 # 6
 
 
