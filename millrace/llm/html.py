@@ -1,9 +1,12 @@
 """HTML extraction: blocks, then two passes of rules over them.
 
-Pass one classifies each block from its own figures: link density, length, stop-word density, and the kind of element
-it stands in. Pass two gives short, undecided blocks the label of the nearest decided neighbours. Structure decides
-first where it can: menus, headers, footers, sidebars, forms, adverts, notices and comments are never main text, and
-where a page marks its article the search stays inside it.
+Structure decides first what it can: menus, headers, footers, sidebars, forms, adverts, notices and comments are never
+main text, and where a page marks its article the search stays inside it. Pass one classifies each block that is left
+from its own figures: link density, length and stop-word density make it good, bad or undecided. Pass two gives an
+undecided block the label of the nearest decided neighbour, the one before and the one after weighed by distance.
+
+Inside a marked article the evidence for main text is stronger, so single links and short lines are undecided there and
+only runs of linked entries, which are menus, are bad; an article without a decided block is main text.
 
 Pages are independent: the operator is one pass of ``mapInArrow`` without a shuffle, and memory is bounded by a page.
 
@@ -23,9 +26,9 @@ from pyspark.sql import DataFrame
 
 #: Elements by their part in a page.
 RAW = frozenset("script style noscript template svg math iframe object canvas textarea select button title head".split())
-FURNITURE = frozenset("nav footer aside form dialog menu fieldset figure audio video datalist header".split())
+FURNITURE = frozenset("nav footer aside form dialog menu fieldset figure audio video datalist header search".split())
 BLOCKS = frozenset(
-    "address article blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header html legend li main nav ol option p pre section summary table tbody td tfoot th thead tr ul aside".split()
+    "address article blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main nav ol option p pre search section summary table tbody td tfoot th thead tr ul aside".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class, id and role that mark furniture.
@@ -50,6 +53,8 @@ class BlockRules:
     stop_low: float = 0.05
     stop_high: float = 0.12
     short_words: int = 10
+    menu_density: float = 0.8
+    menu_run: int = 3
 
 
 class _Block:
@@ -78,6 +83,7 @@ def blocks_of(page: str) -> tuple[list[_Block], bool]:
     parts: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # element, whether it hides what it holds, whether it is the article
+    outer: list[str] = [""]  # the blocks among them
     opened: dict[str, int] = {}
     hidden = articles = links = 0
     seen_article = False
@@ -99,6 +105,8 @@ def blocks_of(page: str) -> tuple[list[_Block], bool]:
             articles -= main
             links -= name == "a"
             opened[name] -= 1
+            if name in BLOCKS:
+                outer.pop()
 
     while at < n:
         m = TAG.search(page, at)
@@ -115,7 +123,9 @@ def blocks_of(page: str) -> tuple[list[_Block], bool]:
             continue
         name = name.lower()
         if name in ("br", "hr", "wbr"):
-            if not hidden and name != "wbr":
+            if name == "hr":
+                flush()
+            elif name == "br" and not hidden:
                 parts.append(" ")
             continue
         closing = m[3] == "/"
@@ -127,7 +137,7 @@ def blocks_of(page: str) -> tuple[list[_Block], bool]:
                     if stack[k][0] == name:
                         pop(k)
                         break
-            tag = next((s[0] for s in reversed(stack) if s[0] in BLOCKS), "")
+            tag = outer[-1]
             continue
         if name in VOID:
             continue
@@ -156,54 +166,72 @@ def blocks_of(page: str) -> tuple[list[_Block], bool]:
         links += name == "a"
         if name in BLOCKS:
             tag = name
+            outer.append(name)
     flush()
     return found, seen_article
 
 
-def _own_class(b: _Block, rules: BlockRules) -> str:
-    """Pass one: good, bad or short."""
-    words = b.text.split()
-    density = b.linked / max(1, len(b.text))
-    if density > rules.max_link_density:
-        return "bad"
-    if re.match(r"(?:©|\(c\)\s|copyright\b)", b.text, re.I):
-        return "bad"
-    stops = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words) / len(words)
-    if len(words) >= rules.long_words:
-        return "good" if stops >= rules.stop_low or len(words) >= 2 * rules.long_words else "short"
-    if len(words) >= rules.short_words and stops >= rules.stop_high:
-        return "good"
-    return "short"
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+GOOD, BAD, UNDECIDED = "good", "bad", "undecided"
+
+
+def own_classes(blocks: list[_Block], marked: bool, rules: BlockRules) -> list[str]:
+    """Pass one: what each block's own figures say; ``marked``: all of them stand in a marked article."""
+    kinds = []
+    linked = 0  # linked entries in a row up to here
+    for b in blocks:
+        words = b.text.split()
+        density = b.linked / len(b.text)
+        stops = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words) / len(words)
+        linked = linked + 1 if density > rules.menu_density and b.tag != "p" and b.tag not in HEADINGS else 0
+        if density > rules.max_link_density:
+            kind = UNDECIDED if marked else BAD
+        elif not marked and re.match(r"(?:©|\(c\)\s|copyright\b)", b.text, re.I):
+            kind = BAD
+        elif len(words) >= rules.long_words:
+            kind = GOOD if stops >= rules.stop_low or len(words) >= 2 * rules.long_words else UNDECIDED
+        else:
+            kind = GOOD if len(words) >= rules.short_words and stops >= rules.stop_high else UNDECIDED
+        kinds.append(kind)
+        if linked == rules.menu_run:
+            kinds[-linked:] = [BAD] * linked
+        elif linked > rules.menu_run:
+            kinds[-1] = BAD
+    return kinds
+
+
+def settled(kinds: list[str], tags: list[str], marked: bool) -> list[str]:
+    """Pass two: undecided blocks get the label of the nearest decided neighbour.
+
+    Beyond the ends of a page lies furniture; beyond those of a marked article nothing speaks for either label. Of two
+    neighbours equally near the worse decides, but a heading belongs to what follows.
+    """
+    edge = (GOOD, 10**9) if marked else (BAD, 10**9)
+
+    def nearest(order: list[str]) -> list[tuple[str, int]]:
+        out, last, since = [], *edge
+        for k in order:
+            out.append((last, since))
+            last, since = (k, 1) if k != UNDECIDED else (last, since + 1)
+        return out
+
+    out = []
+    for k, tag, (left, dl), (right, dr) in zip(kinds, tags, nearest(kinds), nearest(kinds[::-1])[::-1], strict=True):
+        if k == UNDECIDED:
+            if tag in HEADINGS:
+                k = right if right == GOOD else left if dl < dr else BAD
+            else:
+                k = left if left == right or dl < dr else right if dr < dl else BAD
+        out.append(k)
+    return out
 
 
 def extract_text(page: str | None, rules: BlockRules = BlockRules()) -> str:
-    """The main text: blocks of the article joined by an empty line."""
+    """The main text: its blocks joined by an empty line."""
     blocks, marked = blocks_of(page or "")
-    if marked:
-        # the page says where its article is: inside it only lists of links are left out
-        return "\n\n".join(b.text for b in blocks if b.inside and (b.linked <= 0.8 * len(b.text) or b.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6")))
-    kinds = [_own_class(b, rules) for b in blocks]
-    before: list[tuple[str, int]] = []
-    last, since = "bad", 10**9
-    for k in kinds:
-        before.append((last, since))
-        last, since = (k, 1) if k != "short" else (last, since + 1)
-    after: list[tuple[str, int]] = []
-    last, since = "bad", 10**9
-    for k in reversed(kinds):
-        after.append((last, since))
-        last, since = (k, 1) if k != "short" else (last, since + 1)
-    after.reverse()
-    out = []
-    for b, k, (left, dl), (right, dr) in zip(blocks, kinds, before, after, strict=True):
-        if k == "short":  # pass two
-            if b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                k = right if right == "good" else left if left == "good" and dl < dr else "bad"
-            else:
-                k = left if left == right else (left if dl < dr else right if dr < dl else "bad")
-        if k == "good":
-            out.append(b.text)
-    return "\n\n".join(out)
+    blocks = [b for b in blocks if b.inside or not marked]
+    kinds = settled(own_classes(blocks, marked, rules), [b.tag for b in blocks], marked)
+    return "\n\n".join(b.text for b, k in zip(blocks, kinds, strict=True) if k == GOOD)
 
 
 def _run(batches: Iterator[pa.RecordBatch], rules: BlockRules) -> Iterator[pa.RecordBatch]:
