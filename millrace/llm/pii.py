@@ -5,10 +5,11 @@ Base spans come from four patterns with checks (address parts, Luhn, digit count
 from the start are tokens that a base span covers, values of keys that name a secret, and numbers of a card's length
 whose check digit is wrong, as a slip in a card number does not make it public. Rounds alternate over the
 pattern-instance graph: a pattern scores the share of all its places in the corpus that known entities follow, an
-instance the best score of its patterns; instances of patterns that score high become known in the next round. Counts
-are taken over all documents, in one pass for every pattern that may ever be accepted; what a pattern needs is a number
-of known tokens and a share, both the same at every size. Groupings are combined map-side, so a frequent pattern costs
-one row per task.
+instance the best score of its patterns; instances of patterns that score high become known in the next round. What a
+pattern needs is a number of known tokens and a share, both the same at every size. Places are counted over all
+documents, in one pass for every pattern that may ever be accepted: a pattern that some of the documents alone show in
+more places than its instances can make up for is out, since the others can only add to them. Groupings are combined
+map-side, so a frequent pattern costs one row per task.
 
 Only DataFrame functions are used. Defined results: null text is empty; texts without personal data have counts of 0
 and an empty span list; equal rows get equal results; rows that share a doc_id are told apart by their text; an empty
@@ -53,11 +54,13 @@ SPAN = "array<struct<start:int,end:int,hit:string>>"
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """A pattern needs ``min_support`` different known tokens and ``min_score`` of all its places."""
+    """A pattern needs ``min_support`` different known tokens and ``min_score`` of all its places; one document in
+    ``bound_sample`` gives the first bound on places."""
 
     rounds: int = 2
     min_support: int = 3
     min_score: float = 0.5
+    bound_sample: int = 32
 
 
 def places(text: Column, pattern: str) -> Column:
@@ -145,11 +148,15 @@ def instances(text: Column) -> Column:
     return F.filter(found, lambda x: x["token"] != "")
 
 
-def _corpus_places(documents: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(mark, total): places of each two-word pattern, given by its hash, in all texts, whatever follows."""
+def _word_pairs(documents: DataFrame) -> DataFrame:
+    """(mark): the hash of each two words in a row in all texts."""
     words = F.split(F.lower(F.col("text")), r"\s+")
     pairs = let(words, lambda w: F.transform(w, lambda x, i: F.xxhash64(F.concat_ws(" ", x, F.get(w, i + 1)))))
-    return only_ids(documents.select(F.explode(pairs).alias("mark")), patterns, "mark").groupBy("mark").agg(F.count("*").alias("total"))
+    return documents.select(F.explode(pairs).alias("mark"))
+
+
+def _counted(marks: DataFrame) -> DataFrame:
+    return marks.groupBy("mark").agg(F.count("*").alias("total"))
 
 
 def discover(documents: DataFrame, found: DataFrame, scratch: Scratch, conf: Bootstrap = Bootstrap()) -> DataFrame:
@@ -158,11 +165,13 @@ def discover(documents: DataFrame, found: DataFrame, scratch: Scratch, conf: Boo
     edges = scratch.keep(edges, "edges")
     seeds = found.filter("known or trusted").select("token").distinct()
     known = scratch.keep(seeds, "known")
-    eligible = edges.groupBy("pattern").agg(F.count("*").alias("tokens")).filter((F.col("tokens") >= conf.min_support) & F.contains("pattern", F.lit(" ")))
-    eligible = scratch.keep(eligible.select("pattern", F.xxhash64("pattern").alias("mark")), "eligible")
+    eligible = edges.groupBy("pattern").agg(F.count("*").alias("tokens"), F.sum("n").alias("instances"))
+    eligible = eligible.filter((F.col("tokens") >= conf.min_support) & F.contains("pattern", F.lit(" "))).withColumn("mark", F.xxhash64("pattern"))
+    some = _counted(_word_pairs(documents.filter(F.pmod(F.xxhash64("text"), F.lit(conf.bound_sample)) == 0)))
+    eligible = scratch.keep(eligible.join(some, "mark", "left").filter(F.coalesce("total", F.lit(0)) * conf.min_score <= F.col("instances")).select("pattern", "mark"), "eligible")
     totals = eligible.select("pattern", F.lit(0).cast("bigint").alias("total"))
     if eligible.limit(1).count():
-        totals = scratch.keep(_corpus_places(documents, eligible), "totals").join(eligible, "mark").select("pattern", "total")
+        totals = scratch.keep(_counted(only_ids(_word_pairs(documents), eligible, "mark")), "totals").join(eligible, "mark").select("pattern", "total")
     for _ in range(conf.rounds):
         scored = edges.join(known.withColumn("seed", F.lit(True)), "token", "left").groupBy("pattern").agg(
             F.sum(F.when(F.col("seed"), 1).otherwise(0)).alias("support"),
@@ -170,7 +179,9 @@ def discover(documents: DataFrame, found: DataFrame, scratch: Scratch, conf: Boo
             F.sum("n").alias("instances"),
         )
         candidates = scored.filter(F.col("support") >= conf.min_support).join(totals, "pattern", "left")
-        score = F.col("hits") / F.greatest("instances", F.coalesce("total", "instances"))
+        # patterns of a key have no places but their instances; a worded one that was not counted is out
+        counted = F.col("total").isNotNull() | ~F.contains("pattern", F.lit(" "))
+        score = F.when(counted, F.col("hits") / F.greatest("instances", F.coalesce("total", "instances"))).otherwise(0.0)
         accepted = scratch.keep(candidates.filter(score >= conf.min_score).select("pattern"), "accepted")
         known = scratch.keep(known.unionByName(edges.join(accepted, "pattern", "left_semi").select("token")).distinct(), "known")
     new = found.filter(~F.col("known")).join(accepted.withColumn("accepted", F.lit(True)), "pattern", "left")
