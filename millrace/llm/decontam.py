@@ -5,10 +5,12 @@ words inside a sentence) become typed placeholders, other words lose their case.
 and joined; matches that lie on one diagonal of a document and an item are one alignment. An alignment counts if its
 windows cover enough of the item and if its slots are consistent: one value of the item always meets the same value
 in the document and the other way round. So a question with other numbers and names is caught, and a text that only
-happens to share a frame of words is not.
+happens to share a frame of words is not. A window of placeholders with too few plain words says nothing as a template;
+items that have no other windows, such as rows of numbers, are joined by the words themselves.
 
-The benchmark is the broadcast side of the join. It goes in blocks of at most ``block_windows`` windows, each its own
-pass over the documents, so what is broadcast is bounded whatever the benchmark's size. Documents are not shuffled.
+The benchmark is the broadcast side of the join: sorted arrays of some 35 bytes a window. It goes in blocks of at most
+``block_windows`` windows, each its own pass over the documents, so what is broadcast is bounded whatever the
+benchmark's size. Documents are not shuffled.
 
 Defined results: null and empty texts match nothing; items with fewer words than a window are one window; equal items
 are one, under their least item_id; repeated documents give repeated rows; empty tables give an empty result; other
@@ -51,7 +53,7 @@ class TemplateRules:
     min_words: int = 4
     min_share: float = 0.5
     min_run: int = 20
-    block_windows: int = 2_000_000
+    block_windows: int = 1_000_000
 
 
 @dataclass
@@ -59,6 +61,7 @@ class Templates:
     """Template words of one batch of texts."""
 
     hashes: np.ndarray
+    literal: np.ndarray
     kinds: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
@@ -94,7 +97,7 @@ def templates(texts: list[bytes]) -> Templates:
     bounds = np.cumsum([len(t) + 1 for t in texts])
     if not len(starts):
         z = np.zeros(0, np.int64)
-        return Templates(z.astype(np.uint64), z, z, z, np.zeros(len(texts), np.int64), joined)
+        return Templates(z.astype(np.uint64), z.astype(np.uint64), z, z, z, np.zeros(len(texts), np.int64), joined)
     number = digit[starts]
     # a number goes on over one point or comma between digits
     glued = np.zeros(len(starts), bool)
@@ -117,8 +120,9 @@ def templates(texts: list[bytes]) -> Templates:
     upper = ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (second >= 0x80) & (second <= 0x9E))
     kinds[upper & ~opens & ~unit] = NAME
     slots = kinds != WORD
+    literal = hashes.copy()
     hashes[slots] = mix(kinds[slots].astype(np.uint64))
-    return Templates(hashes, kinds, starts, ends, np.diff(np.searchsorted(starts, bounds), prepend=0), joined)
+    return Templates(hashes, literal, kinds, starts, ends, np.diff(np.searchsorted(starts, bounds), prepend=0), joined)
 
 
 _units: np.ndarray | None = None
@@ -134,55 +138,73 @@ def _unit_hashes() -> np.ndarray:
     return _units
 
 
-def windows(hashes: np.ndarray, kinds: np.ndarray, rules: TemplateRules) -> tuple[np.ndarray, np.ndarray]:
-    """(window hashes, whether a window has enough plain words) of one text."""
-    n = len(hashes)
+def windows(t: Templates, first: int, n: int, rules: TemplateRules) -> tuple[np.ndarray, np.ndarray]:
+    """(window hashes, whether a window has enough plain words) of the text of ``n`` words from word ``first`` on.
+
+    Windows with enough plain words are hashed as templates, the others as they stand.
+    """
     if not n:
-        return hashes, np.zeros(0, bool)
+        return t.hashes[:0], np.zeros(0, bool)
     width = min(rules.window, n)
-    with np.errstate(over="ignore"):
-        h = np.full(n - width + 1, width, np.uint64)
-        for k in range(width):
-            h = mix(h * _BASE + hashes[k : n - width + 1 + k])
-    plain = np.concatenate([[0], np.cumsum(kinds == WORD)])
-    return h, plain[width:] - plain[: n - width + 1] >= min(rules.min_words, width)
+
+    def hashed(words: np.ndarray, start: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = np.full(n - width + 1, start, np.uint64)
+            for k in range(width):
+                h = mix(h * _BASE + words[first + k : first + n - width + 1 + k])
+        return h
+
+    plain = np.concatenate([[0], np.cumsum(t.kinds[first : first + n] == WORD)])
+    ok = plain[width:] - plain[: n - width + 1] >= min(rules.min_words, width)
+    h = hashed(t.hashes, width)
+    return (h if ok.all() else np.where(ok, h, hashed(t.literal, width + (1 << 32)))), ok
 
 
 class Index:
-    """The windows of a block of items, ready to be broadcast."""
+    """The windows of a block of items, ready to be broadcast: arrays only, in the order of their hashes."""
 
     def __init__(self, items: list[tuple[int, str]], rules: TemplateRules):
         self.rules = rules
         t = templates([x.encode("utf-8", "surrogatepass") for _, x in items])
-        self.ids: list[int] = []
-        self.values: list[list[bytes]] = []
-        self.kinds: list[np.ndarray] = []
-        self.totals: list[int] = []
-        self.widths: list[int] = []
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        at = 0
-        for (item, _), n in zip(items, t.counts.tolist(), strict=True):
-            h, ok = windows(t.hashes[at : at + n], t.kinds[at : at + n], rules)
-            if ok.any():
-                for p in np.flatnonzero(ok).tolist():
-                    self.places[int(h[p])].append((len(self.ids), p))
-                self.ids.append(item)
-                self.kinds.append(t.kinds[at : at + n])
-                self.values.append([t.value(k) for k in range(at, at + n)])
-                self.totals.append(int(ok.sum()))
-                self.widths.append(min(rules.window, n))
-            at += n
-        self.sorted = np.sort(np.fromiter(self.places, np.uint64, len(self.places)))
-        self.short = sorted({w for w in self.widths if w < rules.window})
+        self.ids = np.array([i for i, _ in items], np.int64)
+        self.begins = np.concatenate([[0], np.cumsum(t.counts)])
+        self.widths = np.minimum(rules.window, t.counts)
+        self.totals = np.zeros(len(items), np.int64)
+        self.kinds = t.kinds.astype(np.uint8)
+        lengths = t.ends - t.starts
+        self.value_ends = np.concatenate([[0], np.cumsum(lengths)])
+        self.values = b"".join(t.value(k) for k in range(len(t.starts)))
+        hashes, owners, places = [], [], []
+        for k, n in enumerate(t.counts.tolist()):
+            h, ok = windows(t, int(self.begins[k]), n, rules)
+            at = np.flatnonzero(ok) if ok.any() else np.arange(len(ok))
+            self.totals[k] = len(at)
+            hashes.append(h[at])
+            owners.append(np.full(len(at), k, np.int32))
+            places.append(at.astype(np.int32))
+        joined = np.concatenate([*hashes, np.zeros(0, np.uint64)])
+        order = np.argsort(joined, kind="stable")
+        self.hashes, self.owners, self.places = joined[order], np.concatenate([*owners, np.zeros(0, np.int32)])[order], np.concatenate([*places, np.zeros(0, np.int32)])[order]
+        self.short = sorted({int(w) for w in self.widths if 0 < w < rules.window})
         self.gate = np.zeros(1 << 22, bool)
-        self.gate[(self.sorted >> np.uint64(42)).astype(np.int64)] = True
+        self.gate[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
+
+    def kind(self, item: int, place: int) -> int:
+        return int(self.kinds[self.begins[item] + place])
+
+    def value(self, item: int, place: int) -> bytes:
+        k = self.begins[item] + place
+        return self.values[self.value_ends[k] : self.value_ends[k + 1]]
 
-    def hits(self, h: np.ndarray, ok: np.ndarray) -> np.ndarray:
-        near = np.flatnonzero(ok & self.gate[(h >> np.uint64(42)).astype(np.int64)])
-        if not len(near) or not len(self.sorted):
-            return near[:0]
-        slot = np.minimum(np.searchsorted(self.sorted, h[near]), len(self.sorted) - 1)
-        return near[self.sorted[slot] == h[near]]
+    def hits(self, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(place in the text, item, place in the item) of all windows that are equal."""
+        near = np.flatnonzero(self.gate[(h >> np.uint64(42)).astype(np.int64)])
+        if not len(near):
+            return
+        left, right = np.searchsorted(self.hashes, h[near]), np.searchsorted(self.hashes, h[near], side="right")
+        for p, a, b in zip(near.tolist(), left.tolist(), right.tolist(), strict=True):
+            for k in range(a, b):
+                yield p, int(self.owners[k]), int(self.places[k])
 
 
 def _consistent(index: Index, item: int, shift: int, runs: list[int], width: int, t: Templates, first: int) -> tuple[bool, bool]:
@@ -193,10 +215,10 @@ def _consistent(index: Index, item: int, shift: int, runs: list[int], width: int
     done = -1
     for p in runs:
         for k in range(max(p, done), p + width):
-            kind = index.kinds[item][k]
+            kind = index.kind(item, k)
             if kind == WORD:
                 continue
-            a, b = index.values[item][k], t.value(first + shift + k)
+            a, b = index.value(item, k), t.value(first + shift + k)
             same = same and a == b
             tag = bytes([kind])
             if there.setdefault(tag + a, b) != b or (kind == NAME and back.setdefault(tag + b, a) != a):
@@ -208,24 +230,19 @@ def _consistent(index: Index, item: int, shift: int, runs: list[int], width: int
 def matches(t: Templates, first: int, n: int, index: Index) -> list[tuple[int, int, float, bool, int, int]]:
     """(item_id, windows, share, same text, first word, last word) of the items that one text contains."""
     rules = index.rules
-    h, ok = windows(t.hashes[first : first + n], t.kinds[first : first + n], rules)
     diagonals: dict[tuple[int, int], list[int]] = defaultdict(list)
-    for p in index.hits(h, ok).tolist():
-        for item, q in index.places[int(h[p])]:
-            diagonals[item, p - q].append(q)
+    for p, item, q in index.hits(windows(t, first, n, rules)[0]):
+        diagonals[item, p - q].append(q)
     for width in index.short:  # items shorter than a window
         if width < n:
-            small = TemplateRules(width, rules.min_words)
-            h, ok = windows(t.hashes[first : first + n], t.kinds[first : first + n], small)
-            for p in index.hits(h, ok).tolist():
-                for item, q in index.places[int(h[p])]:
-                    if index.widths[item] == width:
-                        diagonals[item, p - q].append(q)
+            for p, item, q in index.hits(windows(t, first, n, TemplateRules(width, rules.min_words))[0]):
+                if index.widths[item] == width:
+                    diagonals[item, p - q].append(q)
     best: dict[int, tuple[int, int, float, bool, int, int]] = {}
     for (item, shift), runs in diagonals.items():
-        width = index.widths[item]
+        width = int(index.widths[item])
         runs = sorted(set(runs))
-        share = len(runs) / index.totals[item]
+        share = len(runs) / int(index.totals[item])
         longest = now = width
         for a, b in zip(runs, runs[1:], strict=False):
             now = now + b - a if b - a <= width else width
@@ -234,7 +251,7 @@ def matches(t: Templates, first: int, n: int, index: Index) -> list[tuple[int, i
             continue
         fits, same = _consistent(index, item, shift, runs, width, t, first)
         if fits and (item not in best or best[item][1] < len(runs)):
-            best[item] = (index.ids[item], len(runs), share, same, shift + runs[0], shift + runs[-1] + width - 1)
+            best[item] = (int(index.ids[item]), len(runs), share, same, shift + runs[0], shift + runs[-1] + width - 1)
     return list(best.values())
 
 
