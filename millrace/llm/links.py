@@ -2,9 +2,11 @@
 
 Two personalised PageRanks run over host edges: trust starts at hosts that rules allow and follows links, distrust
 starts at hosts that rules block (or whose labels hold a blocked term) and follows links backwards. A host whose
-share of distrust exceeds the threshold is blocked. Edges are summed per host pair before the first iteration, so
-the graph is as large as the number of linked host pairs, not the number of links; ranks live in tables written to
-the shared folder every few iterations.
+share of distrust exceeds the threshold is blocked. Both ranks are scaled to a sum of one: mass that reaches a host
+without links is lost in each iteration, and giving it back to the seeds would change the fixed point by a factor only.
+Edges are summed per host pair before the first iteration, so the graph is as large as the number of linked host pairs,
+not the number of links; ranks live in tables written to the shared folder every few iterations, which go on until a
+rank hardly changes.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and is allowed; repeated
 pages are judged separately; null html has no links; an empty table gives an empty result; other columns are ignored.
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import Scratch, ascii_lower
 
 #: Fixed values: (verdict, host, path) in the order in which they are given.
 DEFAULT_RULES = (
@@ -38,8 +40,9 @@ LITERAL_RULES = 500
 @dataclass(frozen=True)
 class Propagation:
     damping: float = 0.85
-    iterations: int = 8
-    keep_every: int = 4
+    iterations: int = 60
+    keep_every: int = 6
+    tolerance: float = 0.001
     block_share: float = 0.5
 
 
@@ -100,25 +103,34 @@ def host_edges(pages: DataFrame) -> DataFrame:
     )
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, conf: Propagation, name: str) -> DataFrame:
-    """(host, rank): mass starts at ``seeds`` (host, mass), follows ``edges`` and returns to the seeds.
+def _sum(df: DataFrame, value: Column) -> float:
+    return df.agg(F.sum(value)).first()[0] or 0.0
 
-    Each iteration is one join by source host and one sum by target host; mass of hosts without outgoing edges
-    is simply not passed on, which lowers all ranks alike.
+
+def personalised_rank(edges: DataFrame, seeds: DataFrame, conf: Propagation, scratch: Scratch) -> DataFrame:
+    """(host, rank): mass starts at ``seeds`` (host, mass), follows ``edges`` and returns to the seeds; ranks add up to one.
+
+    Each iteration is one join by source host and one sum by target host. Every ``keep_every`` iterations the ranks are
+    written, and the change since the last time is compared with the tolerance.
     """
     shares = edges.join(edges.groupBy("src").agg(F.sum("weight").alias("_total")), "src").select("src", "dst", (F.col("weight") / F.col("_total")).alias("share"))
-    shares = materialize(shares, f"{name}-shares")
+    shares = scratch.keep(shares, "shares")
     base = seeds.select("host", (F.col("mass") * (1 - conf.damping)).alias("rank"))
-    rank = base
-    for step in range(conf.iterations):
+    rank = kept = base
+    total = _sum(base, F.col("rank"))
+    for step in range(1, conf.iterations + 1):
         passed = rank.join(shares, rank["host"] == shares["src"]).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * conf.damping).alias("rank"))
         rank = base.unionByName(passed).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if (step + 1) % conf.keep_every == 0 and step + 1 < conf.iterations:
-            rank = materialize(rank, f"{name}-rank")
-    return rank
+        if step % conf.keep_every == 0 or step == conf.iterations:
+            rank = scratch.keep(rank, "rank")
+            both = rank.join(kept.withColumnRenamed("rank", "before"), "host", "full").na.fill(0.0, ["rank", "before"])
+            changed, total, kept = _sum(both, F.abs(F.col("rank") - F.col("before"))), _sum(rank, F.col("rank")), rank
+            if changed <= conf.tolerance * total:
+                break
+    return rank.withColumn("rank", F.col("rank") / F.lit(total or 1.0))
 
 
-def host_verdicts(ruled: DataFrame, edges: DataFrame, conf: Propagation = Propagation(), blocked_terms: tuple = BLOCKED_TERMS) -> DataFrame:
+def host_verdicts(ruled: DataFrame, edges: DataFrame, scratch: Scratch, conf: Propagation = Propagation(), blocked_terms: tuple = BLOCKED_TERMS) -> DataFrame:
     """(host, trust, distrust, host_verdict) for every host that rules, terms or links reach."""
     term = r"(^|[.-])(" + "|".join(blocked_terms) + r")([.-]|$)"
     seen = ruled.filter(F.col("host") != "").groupBy("host").agg(
@@ -126,17 +138,16 @@ def host_verdicts(ruled: DataFrame, edges: DataFrame, conf: Propagation = Propag
         F.sum(F.when(F.col("rule_verdict") == "allow", 1).otherwise(0)).alias("allowed"),
         F.sum(F.when(F.col("rule_verdict") == "block", 1).otherwise(0)).alias("blocked"),
     )
-    seen = materialize(seen.withColumn("marked", F.col("host").rlike(term)), "hosts")
+    seen = scratch.keep(seen.withColumn("marked", F.col("host").rlike(term)), "hosts")
 
     def seeds(good: bool) -> DataFrame:
         mass = F.when(F.col("marked"), F.lit(0.0 if good else 1.0)).otherwise((F.col("allowed") if good else F.col("blocked")) / F.col("n"))
         raw = seen.select("host", mass.alias("mass")).filter(F.col("mass") > 0)
-        total = raw.agg(F.sum("mass").alias("total"))
-        return materialize(raw.join(F.broadcast(total)).select("host", (F.col("mass") / F.col("total")).alias("mass")), "seeds")
+        return scratch.keep(raw.withColumn("mass", F.col("mass") / F.lit(_sum(raw, F.col("mass")) or 1.0)), "seeds")
 
     backwards = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    trust = personalised_rank(edges, seeds(True), conf, "trust").select("host", F.col("rank").alias("trust"))
-    distrust = personalised_rank(backwards, seeds(False), conf, "distrust").select("host", F.col("rank").alias("distrust"))
+    trust = personalised_rank(edges, seeds(True), conf, scratch).select("host", F.col("rank").alias("trust"))
+    distrust = personalised_rank(backwards, seeds(False), conf, scratch).select("host", F.col("rank").alias("distrust"))
     both = trust.join(distrust, "host", "full").na.fill(0.0, ["trust", "distrust"])
     bad = F.col("distrust") > conf.block_share * (F.col("trust") + F.col("distrust"))
     return both.withColumn("host_verdict", F.when(bad, "block").otherwise("allow"))
@@ -145,8 +156,9 @@ def host_verdicts(ruled: DataFrame, edges: DataFrame, conf: Propagation = Propag
 def filter_urls(pages: DataFrame, rules: tuple = DEFAULT_RULES, conf: Propagation = Propagation(), blocked_terms: tuple = BLOCKED_TERMS) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, and the host's trust and distrust (null if unreached)."""
     ruled = apply_rules(pages.select("page_id", "url"), rules)
-    edges = materialize(host_edges(pages.select("url", "html")), "edges")
-    hosts = materialize(host_verdicts(ruled, edges, conf, blocked_terms), "verdicts")
+    with Scratch(pages.sparkSession) as scratch:
+        edges = scratch.keep(host_edges(pages.select("url", "html")), "edges")
+        hosts = scratch.result(host_verdicts(ruled, edges, scratch, conf, blocked_terms), "verdicts")
     return ruled.join(hosts, "host", "left").select(
         "page_id",
         "host",

@@ -443,9 +443,9 @@ def brute_repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("batch", [10**6, 9, 4])
-def test_suffix(documents, batch):
-    got = table(suffix.remove_repeats(documents, suffix.RepeatRules(batch_documents=batch)))
+@pytest.mark.parametrize("batches", [1, 4, 7])
+def test_suffix(documents, batches):
+    got = table(suffix.remove_repeats(documents, suffix.RepeatRules(batches=batches, hot_sample=2)))
     assert {k: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for k, r in got.items()} == brute_repeats(dict(enumerate(awkward_texts())))
 
 
@@ -453,8 +453,43 @@ def test_suffix_runs(spark):
     rng = random.Random(2)
     pool = ["".join(rng.choice("ab") for _ in range(rng.randrange(60, 260))) for _ in range(5)] + ["a" * 230, "ab" * 130]
     texts = {k: "".join(rng.choice(pool) for _ in range(rng.randrange(1, 4))) for k in range(30)}
-    got = table(suffix.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")))
-    assert {k: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for k, r in got.items()} == brute_repeats(texts)
+    for hot in (1, 10**9):  # all prefixes hot, none
+        got = table(suffix.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), suffix.RepeatRules(hot_sample=hot)))
+        assert {k: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for k, r in got.items()} == brute_repeats(texts)
+
+
+def test_suffix_chunks(spark, monkeypatch):
+    """Texts longer than a chunk, and than places have bits for: matches across chunks and at any distance are found."""
+    rng = random.Random(6)
+    fresh = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    monkeypatch.setattr(suffix, "CHUNK", 700)
+    one = fresh(3000)
+    texts = {0: one, 1: fresh(500) + one[200:1700] + fresh(400), 2: one[2900:] + one, 3: fresh(50)}
+    rules = suffix.RepeatRules()
+    rows = {}
+    for k, t in texts.items():
+        for start, end in suffix.chunks(len(t), rules.length):
+            for prefix, segment, lo, count in zip(*(suffix.anchors([t[start:end].encode()], rules)[i] for i in (4, 5, 2, 3)), strict=True):
+                rows.setdefault(k, []).append((prefix, segment, lo + start, count))
+        assert sorted(s + i for _, _, s, c in rows.get(k, []) for i in range(c)) == list(range(max(0, len(t) - 99)))
+        places = np.arange(0, max(0, len(t) - 99), 3)
+        hashes = suffix.window_hashes(t.encode(), places, rules)
+        monkeypatch.setattr(suffix, "CHUNK", 10**6)
+        assert (hashes == suffix.window_hashes(t.encode(), places, rules)).all()
+        monkeypatch.setattr(suffix, "CHUNK", 700)
+    monkeypatch.undo()
+    piece = fresh(600)
+    long = fresh(1000) + piece + "".join(rng.choices("abcdefgh ", k=17_500_000)) + piece + fresh(10)
+    got = table(suffix.remove_repeats(spark.createDataFrame([(1, long), (2, "x" + piece)], "doc_id bigint, text string"), suffix.RepeatRules(batches=1)))
+    assert (got[1].n_removed, got[1].n_spans, got[2].n_removed) == (600, 1, 600)
+
+
+def test_suffix_rows_that_share_ids(spark):
+    rng = random.Random(7)
+    a, b = ("".join(rng.choices("abcdefgh ", k=400)) for _ in range(2))
+    rows = [(5, a), (5, a), (None, b), (5, b), (3, "short"), (3, "short"), (None, None)]
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(0, 0, 0), (0, 400, 0), (3, 5, 0), (3, 5, 0), (5, 400, 0), (5, 400, 400), (5, 400, 400)]
 
 
 # 7
@@ -486,6 +521,68 @@ def test_decontamination(spark, documents, empty):
     assert decontam.contaminations(empty, bench).count() == decontam.contaminations(documents, bench.limit(0)).count() == 0
 
 
+def plain_template(text):
+    """(kind, value) of the words of a text, told by a plain loop."""
+    words, after = [], True
+    units, upper = set(decontam.UNITS), re.compile("[A-ZÀ-Þ]")
+    for m in re.finditer(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+|[.!?:\n]", text):
+        if m[0] in ".!?:\n":
+            after = True
+            continue
+        number = words and words[-1][0] == "number"
+        kind = "number" if m[0][0].isdigit() else "unit" if number and m[0].lower() in units else "name" if upper.match(m[0]) and not after else "word"
+        words.append((kind, m[0].lower()))
+        after = False
+    return words
+
+
+def plain_contaminated(text, item, rules):
+    """Whether an alignment of windows of the item's template in the text is long enough and has consistent slots."""
+    d, i = plain_template(text), plain_template(item)
+    width = min(rules.window, len(i))
+    if not width:
+        return False
+    windowed = lambda w, k: w[k : k + width]
+    rich = lambda w: sum(kind == "word" for kind, _ in w) >= min(rules.min_words, width)
+    places = [q for q in range(len(i) - width + 1) if rich(windowed(i, q))]
+    literal = not places
+    places = places or list(range(len(i) - width + 1))
+    same = lambda a, b: a == b if literal else all(x[0] == y[0] and (x[0] != "word" or x[1] == y[1]) for x, y in zip(a, b, strict=True))
+    for shift in range(-len(i), len(d)):
+        runs = [q for q in places if 0 <= q + shift <= len(d) - width and same(windowed(i, q), windowed(d, q + shift))]
+        if not runs:
+            continue
+        longest = now = width
+        for a, b in zip(runs, runs[1:], strict=False):
+            now = now + b - a if b - a <= width else width
+            longest = max(longest, now)
+        slots = [(i[k], d[k + shift]) for k in sorted({k for q in runs for k in range(q, q + width)}) if i[k][0] != "word"]
+        forth, back = {}, {}
+        fits = all(forth.setdefault(a, b) == b and (a[0] != "name" or back.setdefault(b, a) == a) for a, b in slots)
+        if fits and (len(runs) >= rules.min_share * len(places) or longest >= rules.min_run):
+            return True
+    return False
+
+
+def test_decontamination_against_plain_windows(spark):
+    rng = random.Random(41)
+    rules = decontam.TemplateRules()
+    pick = lambda n: " ".join(rng.choice("Tom Ann Oslo Rome 3 12 4.5 km apples buys then and the of to walks reads home. Why? every".split()) for _ in range(n))
+    items = {k: pick(rng.choice([3, 6, 9, 14, 25, 40])) for k in range(25)} | {100: "3 5 8 13 21 34 55 89 144 233", 101: "17 4", 102: "Ann Bob 3 4 Carl Dora 5 6 Eve Finn"}
+    texts = []
+    for item in list(items.values()) * 6:
+        words = item.split()
+        for k in range(len(words)):
+            if rng.random() < 0.04:
+                words[k] = pick(1)
+        swap = dict(zip(["Tom", "Ann", "3", "12"], rng.choice([["Tom", "Ann", "3", "12"], ["Bob", "Eve", "7", "9"], ["Bob", "Bob", "7", "7"]]), strict=True))
+        texts.append(" ".join([pick(rng.randrange(12)), *(swap.get(w, w) for w in words[rng.randrange(3) :]), pick(rng.randrange(12))]))
+    texts += ["and 3 5 8 13 21 34 55 89 144 233 then", "3 5 8 13 21 34 55 89 145 233 1 2 3", "x Ann Bob 3 4 Carl Dora 5 6 Eve Finn y"]
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminations(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), spark.createDataFrame(list(items.items()), "item_id bigint, text string"), rules).collect()}
+    want = {(k, i) for k, t in enumerate(texts) for i, item in items.items() if plain_contaminated(t, item, rules)}
+    assert got == want and len(want) > 60 and {i for _, i in want} >= {100}
+
+
 # 8
 
 
@@ -627,6 +724,45 @@ def test_urls(spark):
     assert {(r.page_id, r.rule) for r in again} == {(r.page_id, r.rule) for r in got}
 
 
+def test_ranks_against_power_iteration(spark):
+    rng = random.Random(51)
+    hosts = [f"h{k}.org" for k in range(20)] + ["a.com", "b.com", "c.net", "my.casino.org"]
+    pages = []
+    for k in range(200):
+        src, links_to = rng.choice(hosts), [rng.choice(hosts) for _ in range(rng.randrange(4))]
+        pages.append((k, f"https://{src}/es/{k}", "".join(f'<a href="http://{x}/y">' for x in links_to if not src.endswith("7.org"))))
+    frame = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    got = {r.host: r for r in links.filter_urls(frame, conf=links.Propagation(tolerance=1e-7)).collect()}
+    weight, mass = Counter(), {True: Counter(), False: Counter()}
+    for _, url, page in pages:
+        src = url.split("/")[2]
+        weight.update((src, x) for x in re.findall("http://([^/]+)/", page) if x != src)
+        for good in (True, False):
+            mass[good][src] = float(src.endswith(".com")) if good else float(src.endswith(".net") or "casino" in src)
+
+    def rank(edges, seeds):
+        out = Counter()
+        for (a, _), w in edges.items():
+            out[a] += w
+        total = sum(seeds.values())
+        start = {h: m / total for h, m in seeds.items()}
+        now = dict(start)
+        for _ in range(300):
+            moved = Counter()
+            for (a, b), w in edges.items():
+                moved[b] += 0.85 * now.get(a, 0) * w / out[a]
+            back = 1 - sum(moved.values())  # what is not passed on returns to the seeds
+            now = {h: moved[h] + back * start.get(h, 0) for h in {*moved, *start}}
+        return now
+
+    trust, distrust = rank(weight, mass[True]), rank({(b, a): w for (a, b), w in weight.items()}, mass[False])
+    for h, r in got.items():
+        assert abs((r.trust or 0) - trust.get(h, 0)) < 1e-4 and abs((r.distrust or 0) - distrust.get(h, 0)) < 1e-4, h
+        if not r.rule and abs(distrust.get(h, 0) - trust.get(h, 0)) > 1e-3:
+            assert r.verdict == ("block" if distrust.get(h, 0) > trust.get(h, 0) else "allow")
+    assert {r.verdict for r in got.values() if not r.rule} == {"allow", "block"}
+
+
 # All
 
 
@@ -639,7 +775,8 @@ def test_empty_tables(empty, spark):
 
 
 def test_native_plans_hold_no_python(documents):
-    for frame in (quality.quality_signals(documents), licenses.scan_documents(documents), pii.find_pii(documents)):
+    pages = documents.selectExpr("doc_id page_id", "text url", "text html")
+    for frame in (quality.quality_signals(documents), licenses.scan_documents(documents), pii.find_pii(documents), links.filter_urls(pages)):
         assert not re.search("Python|Arrow|Pandas", frame._jdf.queryExecution().optimizedPlan().toString())
 
 
