@@ -305,7 +305,8 @@ def may_link(far, m, n, join: JaccardJoin):
 
 
 def possible(pairs: DataFrame, contents: DataFrame, join: JaccardJoin) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches leave a link possible; far smaller rows than the sets decide most."""
+    """The pairs (a, b) whose sizes and sketches (set_id, n, cells) leave a link possible; far smaller rows than the sets
+    decide most."""
 
     def distance(x: bytes, y: bytes) -> int:
         size = min(len(x), len(y))
@@ -340,8 +341,16 @@ def verified(pairs: DataFrame, features: DataFrame, join: JaccardJoin) -> DataFr
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def open_pairs(members: DataFrame, join: JaccardJoin, block_members: int = BLOCK_MEMBERS) -> DataFrame:
-    """(a, b): members (sig, set_id, root, n, sketch) of one signature in different components that may still link.
+def open_members(rooted: DataFrame, block_members: int = BLOCK_MEMBERS) -> DataFrame:
+    """The rows of ``rooted`` (sig, set_id, root) whose signature has several roots, with its most frequent one (main) and
+    the number of blocks it is dealt to."""
+    per_root = rooted.groupBy("sig", "root").agg(F.count("*").alias("n"))
+    mixed = per_root.groupBy("sig").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("total"), F.count("*").alias("roots")).filter("roots > 1")
+    return rooted.join(mixed.select("sig", "main", F.ceil(F.col("total") / block_members).cast("int").alias("blocks")), "sig")
+
+
+def open_pairs(members: DataFrame, join: JaccardJoin) -> DataFrame:
+    """(a, b): members (sig, set_id, root, main, blocks, n, sketch) of one signature in different components that may still link.
 
     Every such pair has a member outside the signature's largest component. Those members go to all blocks of the
     signature, the others to one; a task holds one block and sees the travelling members as they pass.
@@ -378,13 +387,9 @@ def open_pairs(members: DataFrame, join: JaccardJoin, block_members: int = BLOCK
                     yield from compare(held[0], part)
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    per_root = members.groupBy("sig", "root").agg(F.count("*").alias("n"))
-    mixed = per_root.groupBy("sig").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("total"), F.count("*").alias("roots")).filter("roots > 1")
-    mixed = mixed.select("sig", "main", F.ceil(F.col("total") / block_members).cast("int").alias("blocks"))
-    rows = members.join(mixed, "sig")
     columns = ["sig", "block", "travels", "set_id", "root", "n", "sketch"]
-    stay = rows.withColumns({"block": F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"), "travels": F.lit(False)}).select(columns)
-    travel = rows.filter("root <> main").withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "travels": F.lit(True)}).select(columns)
+    stay = members.withColumns({"block": F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"), "travels": F.lit(False)}).select(columns)
+    travel = members.filter("root <> main").withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "travels": F.lit(True)}).select(columns)
     dealt = stay.unionByName(travel).repartition(n, "sig", "block").sortWithinPartitions("sig", "block", "travels")
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -401,21 +406,24 @@ def jaccard_components(documents: DataFrame, join: JaccardJoin = JaccardJoin())
         if classes.filter("low <> high").limit(1).count():
             raise RuntimeError("two different sets have one 64-bit id; change the seed of set_ids")
         members = scratch.keep(shared_signatures(signature_rows(narrow, join)), "members")
-        wanted = members.select("set_id").distinct().join(classes, "set_id").select("set_id", F.col("class_id").alias("doc_id"))
-        contents = sets.join(wanted, ["set_id", "doc_id"], "left_semi").dropDuplicates(["set_id"])
-        contents = scratch.keep(contents.select("set_id", F.col("n_shingles").alias("n"), "sketch", "cells"), "contents")
+        contents = sets.select("set_id", F.col("n_shingles").alias("n"), "sketch", "cells").join(members.select("set_id").distinct(), "set_id", "left_semi")
+        contents = scratch.keep(contents.dropDuplicates(["set_id"]), "contents")
 
         def linked(pairs: DataFrame) -> DataFrame:
-            pairs = scratch.keep(possible(pairs, contents, join), "pairs")
+            for name in ("sketch", "cells"):
+                near = only_ids(contents, scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "ends"), "set_id")
+                pairs = scratch.keep(possible(pairs, near.select("set_id", "n", F.col(name).alias("cells")), join), "pairs")
             ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(classes, "set_id")
             features = set_contents(only_ids(narrow, scratch.keep(ends.select(F.col("class_id").alias("doc_id")).distinct(), "ends"), "doc_id"), join)
             features = scratch.keep(features.dropDuplicates(["set_id"]), "features")
             return scratch.keep(verified(pairs, features, join), "links")
 
-        links = linked(members.filter("set_id <> hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct())
+        star = members.filter("set_id <> hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
+        links = linked(scratch.keep(star, "star"))
         roots = scratch.keep(components(links), "roots")
         rooted = members.select("sig", "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-        more = linked(open_pairs(rooted.join(contents.select("set_id", "n", "sketch"), "set_id"), join))
+        left = scratch.keep(open_members(scratch.keep(rooted, "rooted")), "open")
+        more = linked(scratch.keep(open_pairs(left.join(contents.select("set_id", "n", "sketch"), "set_id"), join), "open-pairs"))
         roots = components(links.unionByName(more)).withColumnRenamed("node", "set_id")
         rooted = scratch.keep(classes.join(roots, "set_id", "left").select("set_id", "class_id", F.coalesce("root", "set_id").alias("root")), "rooted")
         named = rooted.groupBy("root").agg(F.min("class_id").alias("component_id"))

@@ -45,7 +45,7 @@ CACHE_WORDS = 100_000
 LATTICE_SIGNS, LONG_WORD = 200_000, 64
 NEVER = 2**31 - 1
 #: Text is encoded in pieces of whole documents of about so many bytes.
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 
 
 @dataclass(frozen=True)
