@@ -49,6 +49,9 @@ ASSIGNED = r"(?i)(?<![A-Za-z0-9_.-])(?:" + "|".join(sorted(TRUSTED_KEYS, key=len
 ASSIGNMENT = r"(?i)^[a-z_]+[\"']?\s{0,3}[=:]+\s{0,3}"
 CARD_LENGTH = r"(?<![0-9A-Za-z._-])[0-9](?:[\x20-]?[0-9]){15,18}(?![0-9A-Za-z_-])"
 
+#: Spans, and twice the documents that hold some, up to which they are sent to every executor.
+BROADCAST_SPANS = 1_000_000
+
 SPAN = "array<struct<start:int,end:int,hit:string>>"
 
 
@@ -239,6 +242,9 @@ def masked(documents: DataFrame, conf: Bootstrap = Bootstrap()) -> DataFrame:
                      F.transform(F.col("found"), lambda s: F.struct(s["start"].alias("start"), F.lit(4).alias("kind"), s["end"].alias("end"))))
     spans = all_spans(documents.select("doc_id", "text"), conf).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.sort_array(kinds).alias("_spans"))
     spans = spans.filter(F.size("_spans") > 0).dropDuplicates(["_doc", "_mark"])
+    # texts stay where they are while the spans take some 20 MB at most
+    if (spans.agg(F.sum(F.size("_spans") + 2)).first()[0] or 0) <= BROADCAST_SPANS:
+        spans = F.broadcast(spans)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def step(acc: Column, s: Column) -> Column:
