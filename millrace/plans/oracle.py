@@ -78,6 +78,7 @@ ORACLE_SQL: dict[str, str] = {
     "iban_valid": f"SELECT msg_id, {_iban('text')} AS has_iban FROM {inline.MESSAGES} AS m",
     "pii_kinds": f"SELECT doc_id, {_kinds('text', _HELP)} AS kinds FROM documents",
     "verdict_precedence": f"SELECT msg_id, verdict, CASE WHEN verdict IS NOT NULL THEN {_case('verdict', taxonomy.CATEGORY_OF, 'uncategorized')} END AS category, kinds, pattern, verdict IS NOT NULL AS has_reply FROM {_screened(inline.MESSAGES, 60)} AS s",
+    "stream_screen": f"SELECT conv_id, turn, verdict, CASE WHEN verdict IS NOT NULL THEN {_case('verdict', taxonomy.CATEGORY_OF, 'uncategorized')} END AS category FROM {_screened(_USER, 200)} AS s",
     "output_replace": f"""WITH a AS (SELECT CAST(msg_id AS BIGINT) AS conv_id, CAST(0 AS BIGINT) AS turn, text FROM {inline.MESSAGES} AS m UNION ALL SELECT * FROM {_SAID} AS u),
         k AS (SELECT *, {_kinds("text", _HELP)} <> '' AS bad FROM a)
         SELECT conv_id, turn, CASE WHEN bad THEN 'output_personal_data' END AS verdict, CASE WHEN bad THEN '{_reply("output_personal_data")}' ELSE text END AS text,
