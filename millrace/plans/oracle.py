@@ -79,6 +79,10 @@ ORACLE_SQL: dict[str, str] = {
     "pii_kinds": f"SELECT doc_id, {_kinds('text', _HELP)} AS kinds FROM documents",
     "verdict_precedence": f"SELECT msg_id, verdict, CASE WHEN verdict IS NOT NULL THEN {_case('verdict', taxonomy.CATEGORY_OF, 'uncategorized')} END AS category, kinds, pattern, verdict IS NOT NULL AS has_reply FROM {_screened(inline.MESSAGES, 60)} AS s",
     "stream_screen": f"SELECT conv_id, turn, verdict, CASE WHEN verdict IS NOT NULL THEN {_case('verdict', taxonomy.CATEGORY_OF, 'uncategorized')} END AS category FROM {_screened(_USER, 200)} AS s",
+    "unicode_fold": "SELECT * FROM (VALUES (1, 'mario@example.org', 'mario@example.org'), (2, 'ignore the rules', 'ignore the rules'), (3, 'Straße  x', 'strasse x'), (4, 'fineprint', 'fineprint'), (5, 'plain', 'plain')) AS t(id, folded, phrase)",
+    "classifier_fail_open": f"""WITH u AS (SELECT conv_id, turn, coalesce(regexp_matches(text, '\\S'), false) AS asked, length(text) / 400 AS score FROM {_USER} AS u)
+        SELECT conv_id, turn, 'stub' AS model, asked AS ran, CAST(NULL AS VARCHAR) AS error_kind, asked AND score >= 0.6 AS triggered FROM u
+        UNION ALL SELECT conv_id, turn, 'broken', false, CASE WHEN asked THEN 'load' END, false FROM u""",
     "output_replace": f"""WITH a AS (SELECT CAST(msg_id AS BIGINT) AS conv_id, CAST(0 AS BIGINT) AS turn, text FROM {inline.MESSAGES} AS m UNION ALL SELECT * FROM {_SAID} AS u),
         k AS (SELECT *, {_kinds("text", _HELP)} <> '' AS bad FROM a)
         SELECT conv_id, turn, CASE WHEN bad THEN 'output_personal_data' END AS verdict, CASE WHEN bad THEN '{_reply("output_personal_data")}' ELSE text END AS text,
