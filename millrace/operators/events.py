@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import base36, threshold_text
+from ..functions.text import base36, redact, remediation, threshold_text
+from ..sources.policy import DEVICES, Policy, access_token
+from . import scoring
 
 EVENT_COLUMNS = ("kind", "level", "stage", "category", "verdict", "detail", "checks", "turn")
 
@@ -87,21 +89,108 @@ def coverage(policies: DataFrame) -> DataFrame:
     )
 
 
-def guard_events(screened: DataFrame, stage: str, checks: Column | str, turn: Column | None = None) -> DataFrame:
-    """One row per screened message. The schema holds no message text."""
+def guard_events(screened: DataFrame, stage: str, checks: Column | str | None = None, turn: Column | None = None) -> DataFrame:
+    """One row per screened message. The schema holds no message text. Without ``checks``, those that ran."""
     blocked = F.col("verdict").isNotNull()
+    ran = F.array_join("checks", "+") if checks is None else checks if isinstance(checks, Column) else F.lit(checks)
+    source = F.when(F.col("answered"), "reply=elsewhere").otherwise("") if "answered" in screened.columns else F.lit("")
     return screened.select(
         F.when(blocked, f"{stage}_blocked").otherwise(f"{stage}_allowed").alias("kind"),
         F.lit("INFO").alias("level"),
         F.lit(stage).alias("stage"),
         "category",
         "verdict",
-        F.when(blocked, F.col("detail")).otherwise("").alias("detail"),
-        F.when(blocked, F.lit(None).cast("string")).otherwise(checks if isinstance(checks, Column) else F.lit(checks or "none")).alias("checks"),
+        F.when(blocked, F.col("detail")).otherwise(source).alias("detail"),
+        F.when(blocked, F.lit(None).cast("string")).otherwise(F.coalesce(F.nullif(ran, F.lit("")), F.lit("none"))).alias("checks"),
         turn_or_none(turn if turn is not None else F.lit(None).cast("string")).alias("turn"),
     )
 
 
+def _event_rows(rows: DataFrame, kind: Column, level: Column, detail: Column, stage: str | None = None, category: Column | None = None, verdict: Column | None = None) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return rows.select(
+        kind.alias("kind"), level.alias("level"), F.lit(stage).cast("string").alias("stage"), (category if category is not None else none).alias("category"), (verdict if verdict is not None else none).alias("verdict"),
+        detail.alias("detail"), none.alias("checks"), F.lit("none").alias("turn"),
+    )
+
+
+def classifier_warnings(screened: DataFrame, policy: Policy) -> DataFrame:
+    """Classifiers that could not look, each failure once, and what is left of their guard.
+
+    Distinct failures are combined map-side, so a model that fails on every message costs a row per task.
+    """
+    seen = screened.select(F.explode("failures").alias("f")).select("f.*").distinct()
+    loading = F.col("error_kind") == "load"
+    left = F.when(F.col("guard") == "offensive", "no guard covers tone").otherwise("patterns go on" if policy.detect_prompt_injection_custom else "no guard covers security")
+    kind = F.when(loading, F.concat("guard", F.lit("_unavailable"))).otherwise("inference_failed")
+    detail = F.concat_ws(", ", F.concat(F.lit("guard="), F.col("guard")), F.concat(F.lit("model="), F.col("model")), F.concat(F.lit("error="), redact(F.col("error"))), F.when(loading, left))
+    return _event_rows(seen, kind, F.lit("WARNING"), detail, "input")
+
+
+def missing_replies(screened: DataFrame, stage: str) -> DataFrame:
+    """Verdicts that no reply is configured for: one row per message, as each went on unanswered."""
+    silent = screened.filter(F.col("silent_verdict").isNotNull())
+    return _event_rows(silent, F.lit("no_reply_configured"), F.lit("WARNING"), F.lit(""), stage, None, F.col("silent_verdict"))
+
+
+def active_guards(policies: DataFrame, order: str = "policy_id") -> DataFrame:
+    """guards_active each time the summary of the policies in force changes."""
+    rows = changes(coverage(policies), "summary", order)
+    open_ = F.col("uncovered") != ""
+    detail = F.concat(F.col("summary"), F.when(open_, F.concat(F.lit("; no guard covers: "), F.col("uncovered"))).otherwise(""))
+    return _event_rows(rows, F.lit("guards_active"), F.col("level"), detail)
+
+
+def settings_fallbacks(loads: DataFrame, order: str = "seq", token: Column | None = None) -> DataFrame:
+    """loads (seq, reason; null where the policy was read) → settings_fallback, armed again by a success."""
+    return _event_rows(rearmed(loads, "reason", order), F.lit("settings_fallback"), F.lit("WARNING"), F.concat(F.lit("reason="), redact(F.col("reason"), token)))
+
+
+def label_warnings(declared: DataFrame, scores: DataFrame, labels: DataFrame) -> DataFrame:
+    """Models whose declared labels can never block, and labels met that have no meaning."""
+    bad = scoring.label_reachability(declared, labels).filter(~F.col("reachable"))
+    expected = labels.filter("blocks").groupBy("guard", "model").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("guard") == "injection", F.col("raw_label")).otherwise(F.upper("semantic")))), ",").alias("expected"))
+    mismatch = bad.join(F.broadcast(expected), ["guard", "model"], "left")
+    detail = F.concat_ws(", ", F.concat(F.lit("model="), F.col("model")), F.concat(F.lit("declared="), F.col("declared")), F.concat(F.lit("expected="), F.col("expected")))
+    unmapped = scoring.unmapped_labels(scores, labels)
+    met = _event_rows(unmapped, F.lit("injection_label_unmapped"), F.lit("WARNING"), F.concat(F.lit("model="), F.col("model"), F.lit(", label="), F.col("raw_label")))
+    return _event_rows(mismatch, F.concat("guard", F.lit("_label_mismatch")), F.lit("WARNING"), detail).unionByName(met)
+
+
+def runtime_events(log: DataFrame) -> DataFrame:
+    """log (kind, model, detail) of ``scoring.runtime_log`` as events; failed loads get advice where access is missing."""
+    failed = F.col("kind").isin("model_load_failed", "model_warm_skipped")
+    advice = F.when(F.col("kind") == "model_load_failed", F.nullif(remediation(F.col("model"), F.col("detail")), F.lit("")))
+    detail = F.concat_ws(", ", F.concat(F.lit("model="), F.col("model")), F.when(failed, F.concat(F.lit("error="), redact(F.col("detail")))).otherwise(F.nullif(F.col("detail"), F.lit(""))), advice)
+    return _event_rows(log, F.col("kind"), F.when(failed, "WARNING").otherwise("INFO"), detail)
+
+
+_warmed: set[tuple] = set()
+
+
+def activate(policy: Policy, load: scoring.Loader) -> list[tuple[str, str, str]]:
+    """Start of an engine: (kind, model, detail) of what it announces. Models are warmed in this process where the policy
+
+    asks for it, once per device and models; one that fails to warm is tried again with the first message.
+    """
+    rows = [("plugin_activated", "", "stages=input+output")]
+    if not policy.preload_classifiers_on_activation:
+        return rows
+    device = DEVICES[policy.classifier_device]
+    wanted = list(dict.fromkeys(getattr(policy, f"{p}_classifier_model") for p in ("prompt_injection", "offensive_input") if getattr(policy, f"detect_{p}_classifier")))
+    signature = (device, tuple(sorted(wanted)))
+    if signature in _warmed:
+        return rows
+    _warmed.add(signature)
+    rows.append(("warmup_requested", "", f"models={len(wanted)}"))
+    for model in wanted:
+        try:
+            scoring.model_of(model if device < 0 else f"{model}::device={device}", load, access_token(policy) or "", warming=True)
+        except scoring.ScorerUnavailable as e:
+            rows.append(("warmup_skipped", model, f"error={e}"))
+    return rows
+
+
 def render_event() -> Column:
     """An event row as one line."""
     return F.concat_ws(

@@ -3,6 +3,7 @@
 This stands in for a full numbering-plan library: per region the country code, trunk prefix, national lengths and the
 leading digits of mobiles. Grouping is checked in one respect, which keeps dates out: digits parted by points or
 hyphens alone need an international or trunk prefix, or a first group of two digits and more with at least six after.
+Countries without a plan here are found in international form, as type unknown; a policy may name them as its region.
 """
 
 from __future__ import annotations
@@ -34,10 +35,10 @@ DATE_LIKE = r"^[0-9]{1,4}([./-])[0-9]{1,2}\1[0-9]{1,4}$"
 def _national(digits: Column, international: Column, region: str) -> Column:
     """(country code, national number, kind) of a candidate, or null where no plan fits."""
     out = None
-    order = [region, *[r for r in PLANS if r != region]]
-    for k, name in enumerate(order):
+    order = [*[r for r in (region,) if r in PLANS], *[r for r in PLANS if r != region]]
+    for name in order:
         code, _, trunk, low, high, mobile, fixed = PLANS[name]
-        for abroad in (True, False) if k == 0 else (True,):
+        for abroad in (True, False) if name == region else (True,):
             if abroad:
                 rest = F.substring(digits, F.lit(len(code) + 1), F.length(digits))
                 here = international & digits.startswith(code)
@@ -49,7 +50,9 @@ def _national(digits: Column, international: Column, region: str) -> Column:
             row = F.struct(F.concat(F.lit("+" + code), rest).alias("e164"), kind.alias("kind"))
             cond = fits & kind.isNotNull()
             out = F.when(cond, row) if out is None else out.when(cond, row)
-    return out
+    planned = F.exists(F.array(*[F.lit(c) for c in sorted({p[0] for p in PLANS.values()})]), lambda c: digits.startswith(c))
+    elsewhere = international & ~planned & digits.rlike("^[2-9][0-9]{7,14}$")
+    return out.when(elsewhere, F.struct(F.concat(F.lit("+"), digits).alias("e164"), F.lit("unknown").alias("kind")))
 
 
 def numbers(folded: Column, region: str) -> Column:

@@ -3,51 +3,78 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_label
+from ..functions.text import clean_label, redact_plain
 
 SCORES = "array<struct<label:string,score:double>>"
-_lock = threading.Lock()
+RUN = f"ran boolean, error_kind string, error string, scores {SCORES}"
+#: A task waits this long for another one that loads the same model, then passes its messages on.
+LOAD_WAIT_SECONDS = 5.0
+_guard = threading.Lock()
+_locks: dict[str, threading.Lock] = {}
 _models: dict[str, object] = {}
 _failures: dict[str, str] = {}
+#: What happened to models in this process, the latest thousand: (kind, model, detail).
+_log: deque[tuple[str, str, str]] = deque(maxlen=1000)
 
 #: Loads a model: key → a function from texts to one result per text, in any of the accepted shapes.
 Loader = Callable[[str], Callable[[list[str]], list]]
 
 
 class ScorerUnavailable(RuntimeError):
-    """A model that failed to load before and is not tried again in this process."""
+    """A model that failed to load, or that another task is still loading."""
 
 
 def normalize_scores(result) -> list[tuple[str, float]]:
-    """One dict, a list of dicts, or a list that holds one list of dicts, as a flat list."""
+    """One dict, a list of dicts, or a list of lists of dicts (the first counts), as a flat list."""
     if isinstance(result, dict):
         result = [result]
-    if len(result) == 1 and isinstance(result[0], list):
+    if len(result) and isinstance(result[0], list):
         result = result[0]
     return [(str(x["label"]), float(x["score"])) for x in result]
 
 
-def model_of(key: str, load: Loader):
-    """The model of this process: loaded once, and a failure is remembered."""
+def model_of(key: str, load: Loader, token: str = "", warming: bool = False):
+    """The model of this process: loaded once under a lock of its own; a failure is remembered, unless it was a warm-up."""
+    name = key.split("::device=")[0]
     if key in _models:
+        _log.append(("model_cache_hit", name, ""))
         return _models[key]
-    with _lock:
+    if key in _failures:
+        raise ScorerUnavailable(_failures[key])
+    with _guard:
+        lock = _locks.setdefault(key, threading.Lock())
+    if not lock.acquire(timeout=LOAD_WAIT_SECONDS):
+        raise ScorerUnavailable(f"{name} is still being loaded after {LOAD_WAIT_SECONDS:g} seconds")
+    try:
         if key in _models:
+            _log.append(("model_cache_hit", name, ""))
             return _models[key]
         if key in _failures:
             raise ScorerUnavailable(_failures[key])
+        _log.append(("model_warming" if warming else "model_loading", name, ""))
         try:
             _models[key] = load(key)
         except Exception as e:
-            _failures[key] = f"{type(e).__name__}: {e}"
-            raise ScorerUnavailable(_failures[key]) from e
-    return _models[key]
+            why = redact_plain(f"{type(e).__name__}: {e}", token)
+            if not warming:
+                _failures[key] = why
+            _log.append(("model_warm_skipped" if warming else "model_load_failed", name, why))
+            raise ScorerUnavailable(why) from None
+        _log.append(("model_warmed" if warming else "model_loaded", name, ""))
+        return _models[key]
+    finally:
+        lock.release()
+
+
+def runtime_log() -> list[tuple[str, str, str]]:
+    return list(_log)
 
 
 def release_models(active: set[str]) -> list[str]:
@@ -55,34 +82,62 @@ def release_models(active: set[str]) -> list[str]:
     gone = sorted(set(_models) - active)
     for key in gone:
         del _models[key]
+        name, _, device = key.partition("::device=")
+        _log.append(("model_released", name, f"device={device or 'cpu'}"))
     return gone
 
 
+def _run_texts(texts: list[str | None], key: str, load: Loader, token: str = "") -> list[tuple]:
+    """(ran, error_kind, error, scores) of each text. Null texts were not asked about; blank ones need no model.
+
+    The model gets all texts at once. If that fails, each is tried alone, so that one message does not cost the others
+    their check; of a model's own failure only the class is kept, as its text may quote the message.
+    """
+    out: list[tuple] = [(t is not None, None, None, []) for t in texts]
+    asked = [n for n, t in enumerate(texts) if t is not None and t.strip()]
+    if not asked:
+        return out
+    try:
+        model = model_of(key, load, token)
+    except ScorerUnavailable as e:
+        for n in asked:
+            out[n] = (False, "load", str(e), [])
+        return out
+
+    def one(result) -> list[dict]:
+        return [{"label": a, "score": b} for a, b in normalize_scores(result)]
+
+    try:
+        results = list(model([texts[n] for n in asked]))
+        if len(results) != len(asked):
+            raise ValueError("a result for each text is needed")
+        got = [(True, None, None, one(r)) for r in results]
+    except Exception:  # noqa: BLE001  found out text by text
+        got = []
+        for n in asked:
+            try:
+                got.append((True, None, None, one(model([texts[n]])[0])))
+            except Exception as e:  # noqa: BLE001  a model's own failure passes the message on
+                got.append((False, "inference", type(e).__name__, []))
+    for n, g in zip(asked, got, strict=True):
+        out[n] = g
+    return out
+
+
+def score_column(text: Column, key: str, load: Loader, token: str = "") -> Column:
+    """struct(ran, error_kind, error, scores) of a text; null texts never reach the model."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = _run_texts([None if t is None else str(t) for t in texts], key, load, token)
+        return pd.DataFrame(rows, columns=["ran", "error_kind", "error", "scores"])
+
+    return F.pandas_udf(run, RUN)(text)
+
+
 def score_messages(messages: DataFrame, key: str, load: Loader, text: str = "text") -> DataFrame:
-    """Adds ran, error_kind (load or inference) and scores. Blank texts are not scored; errors never stop a row."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ran, kinds, scores = [], [], []
-            for t in batch[text]:
-                blank = t is None or not str(t).strip()
-                try:
-                    value = [] if blank else normalize_scores(model_of(key, load)([t])[0])
-                    ran.append(not blank)
-                    kinds.append(None)
-                except ScorerUnavailable:
-                    value = []
-                    ran.append(False)
-                    kinds.append("load")
-                except Exception:  # noqa: BLE001  a model's own failure passes the message on
-                    value = []
-                    ran.append(False)
-                    kinds.append("inference")
-                scores.append([{"label": a, "score": b} for a, b in value])
-            yield batch.assign(ran=ran, error_kind=kinds, scores=scores)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in messages.schema)
-    return messages.mapInPandas(run, f"{fields}, ran boolean, error_kind string, scores {SCORES}")
+    """Adds ran, error_kind (load or inference) and scores. Errors never stop a row."""
+    scored = messages.withColumn("_run", score_column(F.col(text), key, load))
+    return scored.select(*messages.columns, "_run.ran", "_run.error_kind", "_run.scores")
 
 
 def injection_decision(scores: DataFrame, labels: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -126,6 +181,23 @@ def decide_row(scores: Column, blocking: list[str], meaning: dict[str, str], thr
     return F.struct((out["total"] >= threshold).alias("triggered"), out["label"].alias("label"), out["total"].alias("score"))
 
 
+def first_row(scores: Column, meaning: dict[str, str], threshold: float) -> Column:
+    """The injection decision on one row's scores: the first score; a label without a meaning never triggers."""
+    names = F.create_map(*[F.lit(x) for kv in meaning.items() for x in kv])
+    top = F.get(scores, F.lit(0))
+    raw = clean_label(top["label"])
+    known = F.element_at(names, raw)
+    hit = F.coalesce((known == "MALICIOUS") & (top["score"] >= threshold), F.lit(False))
+    return F.struct(hit.alias("triggered"), F.coalesce(known, raw).alias("label"), F.coalesce(top["score"], F.lit(0.0)).alias("score"))
+
+
+def unmapped_labels(scores: DataFrame, labels: DataFrame) -> DataFrame:
+    """scores (model, ord, label) → the first labels of injection models that have no meaning, once per model and label."""
+    known = labels.filter("guard = 'injection'")
+    top = scores.filter(F.col("ord") == 0).join(F.broadcast(known.select("model").distinct()), "model", "left_semi").select("model", clean_label(F.col("label")).alias("raw_label")).distinct()
+    return top.join(F.broadcast(known.select("model", "raw_label")), ["model", "raw_label"], "left_anti")
+
+
 def label_reachability(declared: DataFrame, labels: DataFrame) -> DataFrame:
     """declared (guard, model, idx, label) → per model whether its declared labels can block at all.
 

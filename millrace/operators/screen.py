@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import allowed_addresses, extract_text, fold_text, parse_contacts, render
-from ..plans.taxonomy import OUTPUT_PERSONAL_DATA, PERSONAL_DATA, category_of, stage_of
-from ..sources.policy import REPLY_FIELD, Policy
-from . import detect, phone
+from ..plans.taxonomy import LABELS, OFFENSIVE_INPUT, OUTPUT_PERSONAL_DATA, PERSONAL_DATA, PROMPT_INJECTION, blocking_labels, category_of, stage_of
+from ..sources.policy import DEVICES, REPLY_FIELD, Policy, access_token
+from . import detect, phone, scoring
 
 #: A check takes the policy and gives a verdict column over the prepared columns text, folded, phrase, kinds.
 Check = Callable[[Policy], Column]
@@ -22,6 +22,11 @@ INPUT_CHECKS: tuple[tuple[str, Check], ...] = (
 )
 
 
+#: The classifiers after the checks, in order: (guard, policy fields, verdict, name among the checks that ran).
+CLASSIFIERS = (("injection", "prompt_injection", PROMPT_INJECTION, "injection_classifier"), ("offensive", "offensive_input", OFFENSIVE_INPUT, "offensive_input"))
+FAILURES = "array<struct<guard:string,model:string,error_kind:string,error:string>>"
+
+
 def first_verdict(verdicts: list[Column]) -> Column:
     return F.coalesce(*verdicts)
 
@@ -52,7 +57,8 @@ def reply(verdict: Column, policy: Policy) -> Column:
     """The rendered reply of a verdict; null where none is configured, and then the row stays allowed."""
     out = None
     for name, setting in REPLY_FIELD.items():
-        value = render(getattr(policy, setting), policy.help_desk_email)
+        text = getattr(policy, setting)
+        value = render(text, policy.help_desk_email) if text.strip() else F.lit(None).cast("string")
         out = F.when(verdict == name, value) if out is None else out.when(verdict == name, value)
     return out
 
@@ -69,25 +75,79 @@ def detail(policy: Policy) -> Column:
 
 
 def _finish(checked: DataFrame, policy: Policy, keep: list[str]) -> DataFrame:
-    replied = checked.withColumn("reply", reply(F.col("verdict"), policy)).withColumn("verdict", F.when(F.col("reply").isNotNull(), F.col("verdict")))
+    """The columns of a screened table. ``silent_verdict``: a verdict without a reply, whose message went on."""
+    replied = checked.withColumn("reply", reply(F.col("verdict"), policy)).withColumn("_found", F.col("verdict")).withColumn("verdict", F.when(F.col("reply").isNotNull(), F.col("verdict")))
+    blocked = F.col("verdict").isNotNull()
     return replied.select(
-        *keep, "verdict", F.when(F.col("verdict").isNotNull(), stage_of(F.col("verdict"))).alias("verdict_stage"),
-        F.when(F.col("verdict").isNotNull(), category_of(F.col("verdict"))).alias("category"), "kinds", "phone_types", "pattern", detail(policy).alias("detail"), "reply",
+        *keep, "verdict", F.when(blocked, stage_of(F.col("verdict"))).alias("verdict_stage"), F.when(blocked, category_of(F.col("verdict"))).alias("category"), "kinds", "phone_types", "pattern",
+        F.when(blocked, F.col("detail")).otherwise("").alias("detail"), "reply", "checks", "failures", "answered", F.when(~blocked, F.col("_found")).alias("silent_verdict"),
     )
 
 
-def screen_input(messages: DataFrame, policy: Policy = Policy(), checks: tuple[tuple[str, Check], ...] = INPUT_CHECKS) -> DataFrame:
-    """One row per message with its verdict. Row by row, no shuffle; one Arrow hop for folding."""
+def checks_of(policy: Policy, stage: str) -> list[str]:
+    """What looks at every message of a stage, whatever it holds."""
+    kinds = [k for k, on in zip(detect.KINDS, _toggles(policy, stage), strict=True) if on]
+    if stage == "output":
+        return kinds
+    named = (("length", policy.max_message_chars > 0), ("injection_patterns", policy.detect_prompt_injection_custom), ("personal_data", bool(kinds)))
+    return [name for name, on in named if on]
+
+
+def _unavailable(key: str):
+    raise RuntimeError(f"no scorer is installed for {key}")
+
+
+def classified(checked: DataFrame, policy: Policy, load: scoring.Loader | None = None) -> DataFrame:
+    """The classifiers over messages without a verdict that nobody else answered; a failure lets the message on.
+
+    An Arrow hop for each classifier that the policy turns on; other rows send null and cost no inference.
+    """
+    device = DEVICES[policy.classifier_device]
+    out = checked
+    for guard, prefix, verdict, name in CLASSIFIERS:
+        if not getattr(policy, f"detect_{prefix}_classifier"):
+            continue
+        model, threshold = getattr(policy, f"{prefix}_classifier_model"), getattr(policy, f"{prefix}_classifier_threshold")
+        meaning = {r[2]: r[3] for r in LABELS if r[0] == guard and r[1] == model}
+        asked = F.when(F.col("verdict").isNull() & ~F.col("answered"), F.col("_text"))
+        key = model if device < 0 else f"{model}::device={device}"
+        out = out.withColumn("_run", scoring.score_column(asked, key, load or _unavailable, access_token(policy) or ""))
+        scores = F.col("_run.scores")
+        decision = scoring.first_row(scores, meaning, threshold) if guard == "injection" else scoring.decide_row(scores, list(blocking_labels(guard, model)), meaning, threshold)
+        out = out.withColumn("_decision", decision)
+        hit = F.col("_run.ran") & F.col("_decision.triggered")
+        failure = F.struct(F.lit(guard).alias("guard"), F.lit(model).alias("model"), F.col("_run.error_kind").alias("error_kind"), F.col("_run.error").alias("error"))
+        told = F.format_string(f"detector=classifier, model={model}, label=%s, score=%.3f, threshold={threshold:.2f}", F.col("_decision.label"), F.col("_decision.score"))
+        out = out.withColumns(
+            {
+                "verdict": F.coalesce("verdict", F.when(hit, verdict)),
+                "detail": F.when(hit, told).otherwise(F.col("detail")),
+                "checks": F.when(F.col("_run.ran"), F.concat("checks", F.array(F.lit(name)))).otherwise(F.col("checks")),
+                "failures": F.when(F.col("_run.error_kind").isNotNull(), F.concat("failures", F.array(failure))).otherwise(F.col("failures")),
+            }
+        )
+    return out
+
+
+def screen_input(messages: DataFrame, policy: Policy = Policy(), checks: tuple[tuple[str, Check], ...] = INPUT_CHECKS, load: scoring.Loader | None = None, answered: Column | None = None) -> DataFrame:
+    """One row per message with its verdict: the checks, then the classifiers that the policy turns on.
+
+    Row by row, no shuffle; one Arrow hop for folding and one per classifier. ``load`` gives the scorers (without one
+    they count as unavailable), ``answered`` says whether another part has replied already, and then they are spared.
+    """
     ready = prepared(messages, policy, "input")
-    checked = ready.withColumn("verdict", first_verdict([c(policy) for _, c in checks]))
-    return _finish(checked, policy, messages.columns)
+    checked = ready.withColumn("verdict", first_verdict([c(policy) for _, c in checks])).withColumn("detail", detail(policy))
+    names = F.array(*[F.lit(n) for n in checks_of(policy, "input")]).cast("array<string>")
+    checked = checked.withColumns({"checks": names, "failures": F.array().cast(FAILURES), "answered": F.coalesce(answered, F.lit(False)) if answered is not None else F.lit(False)})
+    return _finish(classified(checked, policy, load), policy, messages.columns)
 
 
 def screen_output(messages: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Answers: only personal data is looked for."""
     ready = prepared(messages, policy, "output")
-    checked = ready.withColumn("verdict", detect.personal_data_verdict(F.col("kinds"), OUTPUT_PERSONAL_DATA))
-    return _finish(checked, policy, messages.columns)
+    checked = ready.withColumn("verdict", detect.personal_data_verdict(F.col("kinds"), OUTPUT_PERSONAL_DATA)).withColumn("detail", detail(policy))
+    names = F.array(*[F.lit(n) for n in checks_of(policy, "output")]).cast("array<string>")
+    return _finish(checked.withColumns({"checks": names, "failures": F.array().cast(FAILURES), "answered": F.lit(False)}), policy, messages.columns)
 
 
 def replace_refused(screened: DataFrame) -> DataFrame:

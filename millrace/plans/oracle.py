@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from . import inline, taxonomy
-from ..operators.detect import EMAIL, INJECTION_PHRASES, ODD_DIGITS, ODD_LETTERS, injection_regex
+from ..operators.detect import INJECTION_PHRASES, ODD_DIGITS, ODD_LETTERS
 from ..sources.policy import REPLY_FIELD, Policy
 
+_EMAIL = r"[[:alnum:]._%+-]{1,64}@[ \t]{0,3}[[:alnum:].-]{1,255}[.][[:alpha:]]{2,24}"
 _D = "[0-9LMNPQRSTUVlmnpqrstuv]"
 _FISCAL = rf"\b[A-Za-z]{{6}}{_D}{{2}}[ABCDEHLMPRSTabcdehlmprst]{_D}{{2}}[A-Za-z]{_D}{{3}}[A-Za-z]\b"
 _IBAN = r"\b[A-Za-z]{2}[0-9]{2}(?:[ \x{A0}]?[A-Za-z0-9]){11,30}\b"
@@ -15,12 +16,13 @@ _SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}
 def _pattern(text: str) -> str:
     """The first injection phrase of a text without format characters."""
     phrase = f"trim(regexp_replace(lower({text}), '{_SPACE}', ' ', 'g'))"
-    whens = " ".join(f"WHEN regexp_matches({phrase}, '{injection_regex(v, o)}') THEN '{n}'" for n, v, o in INJECTION_PHRASES)
+    group = lambda words: "(" + "|".join(words) + ")"
+    whens = " ".join(f"WHEN regexp_matches({phrase}, '\\b{group(v)}\\b{'.{0,40}' + chr(92) + 'b' + group(o) + chr(92) + 'b' if o else ''}') THEN '{n}'" for n, v, o in INJECTION_PHRASES)
     return f"CASE {whens} END"
 
 
 def _addresses(text: str) -> str:
-    return f"[regexp_replace(lower(a), '[ \\t]', '', 'g') for a in regexp_extract_all({text}, '{EMAIL}')]"
+    return f"[regexp_replace(lower(a), '[ \\t]', '', 'g') for a in regexp_extract_all({text}, '{_EMAIL}')]"
 
 
 def _private(text: str, allowed: str) -> str:
@@ -80,9 +82,9 @@ ORACLE_SQL: dict[str, str] = {
     "verdict_precedence": f"SELECT msg_id, verdict, CASE WHEN verdict IS NOT NULL THEN {_case('verdict', taxonomy.CATEGORY_OF, 'uncategorized')} END AS category, kinds, pattern, verdict IS NOT NULL AS has_reply FROM {_screened(inline.MESSAGES, 60)} AS s",
     "stream_screen": f"SELECT conv_id, turn, verdict, CASE WHEN verdict IS NOT NULL THEN {_case('verdict', taxonomy.CATEGORY_OF, 'uncategorized')} END AS category FROM {_screened(_USER, 200)} AS s",
     "unicode_fold": "SELECT * FROM (VALUES (1, 'mario@example.org', 'mario@example.org'), (2, 'ignore the rules', 'ignore the rules'), (3, 'Straße  x', 'strasse x'), (4, 'fineprint', 'fineprint'), (5, 'plain', 'plain')) AS t(id, folded, phrase)",
-    "classifier_fail_open": f"""WITH u AS (SELECT conv_id, turn, coalesce(regexp_matches(text, '\\S'), false) AS asked, length(text) / 400 AS score FROM {_USER} AS u)
-        SELECT conv_id, turn, 'stub' AS model, asked AS ran, CAST(NULL AS VARCHAR) AS error_kind, asked AND score >= 0.6 AS triggered FROM u
-        UNION ALL SELECT conv_id, turn, 'broken', false, CASE WHEN asked THEN 'load' END, false FROM u""",
+    "classifier_fail_open": f"""WITH u AS (SELECT conv_id, turn, text, coalesce(regexp_matches(text, '\\S'), false) AS asked, length(text) / 400 AS score FROM {_USER} AS u)
+        SELECT conv_id, turn, 'stub' AS model, text IS NOT NULL AS ran, CAST(NULL AS VARCHAR) AS error_kind, asked AND score >= 0.6 AS triggered FROM u
+        UNION ALL SELECT conv_id, turn, 'broken', text IS NOT NULL AND NOT asked, CASE WHEN asked THEN 'load' END, false FROM u""",
     "output_replace": f"""WITH a AS (SELECT CAST(msg_id AS BIGINT) AS conv_id, CAST(0 AS BIGINT) AS turn, text FROM {inline.MESSAGES} AS m UNION ALL SELECT * FROM {_SAID} AS u),
         k AS (SELECT *, {_kinds("text", _HELP)} <> '' AS bad FROM a)
         SELECT conv_id, turn, CASE WHEN bad THEN 'output_personal_data' END AS verdict, CASE WHEN bad THEN '{_reply("output_personal_data")}' ELSE text END AS text,
@@ -107,7 +109,7 @@ ORACLE_SQL: dict[str, str] = {
     "rearm": f"SELECT seq, reason FROM (SELECT *, lag(reason) OVER (ORDER BY seq) AS b FROM {inline.LOG} AS q) AS t WHERE reason IS NOT NULL AND reason IS DISTINCT FROM b",
     "turn_tokens": """WITH n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) % 1679616 AS k FROM conversations), a AS (SELECT '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS d)
         SELECT conv_id, turn, d[k // 46656 % 36 + 1] || d[k // 1296 % 36 + 1] || d[k // 36 % 36 + 1] || d[k % 36 + 1] AS turn_token FROM n, a""",
-    "redact": f"SELECT id, regexp_replace(CASE WHEN token = '' THEN error ELSE replace(error, token, '***redacted***') END, 'hf_[A-Za-z0-9]{{8,}}', 'hf_***redacted***', 'g') AS error FROM {inline.ERRORS} AS e",
+    "redact": f"SELECT id, regexp_replace(CASE WHEN token = '' THEN error ELSE replace(error, token, '[masked]') END, 'hf_[A-Za-z0-9]{{8,}}', '[masked]', 'g') AS error FROM {inline.ERRORS} AS e",
     "access_marker": f"SELECT id, regexp_matches(lower(error), '401|403|gated|awaiting a review|not authorized|restricted|authenticated|access to model') AS access, regexp_matches(lower(error), '401|403|gated|awaiting a review|not authorized|restricted|authenticated|access to model') AS advised FROM {inline.ERRORS} AS e",
     "cache_keys": f"""WITH k AS (SELECT *, CASE WHEN device = -1 THEN model ELSE model || '::device=' || device END AS key FROM {inline.ERRORS} AS e)
         SELECT id, key, model, device, CASE WHEN key IN ('m/a', 'm/b') THEN '' ELSE key END AS stale FROM k""",
