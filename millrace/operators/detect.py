@@ -76,7 +76,7 @@ def addresses(folded: Column) -> Column:
     """
 
     def meet(seen: Column, part: Column) -> Column:
-        name = F.regexp_extract(F.right(seen["left"], F.lit(MAX_NAME)), NAME_SIGNS + "+$", 0)
+        name = F.regexp_extract(F.right(seen["left"], F.lit(MAX_NAME)), NAME_SIGNS + r"+\z", 0)
         host = F.when(name != "", F.regexp_extract(part, HOST_AHEAD, 0)).otherwise("")
         hit = host != ""
         return F.struct(

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import threading
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.text import clean_label, redact_plain
 
@@ -124,20 +125,28 @@ def _run_texts(texts: list[str | None], key: str, load: Loader, token: str = "")
     return out
 
 
-def score_column(text: Column, key: str, load: Loader, token: str = "") -> Column:
-    """struct(ran, error_kind, error, scores) of a text; null texts never reach the model."""
+def scored(frame: DataFrame, text: Column, key: str, load: Loader, token: str = "") -> DataFrame:
+    """Adds _run: struct(ran, error_kind, error, scores) of a text; null texts never reach the model.
 
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = _run_texts([None if t is None else str(t) for t in texts], key, load, token)
-        return pd.DataFrame(rows, columns=["ran", "error_kind", "error", "scores"])
+    The other columns pass through as Arrow batches, unread.
+    """
+    columns = frame.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.struct([("ran", pa.bool_()), ("error_kind", pa.string()), ("error", pa.string()), ("scores", pa.list_(pa.struct([("label", pa.string()), ("score", pa.float64())])))])
+        names = [f.name for f in kind]
+        for batch in batches:
+            rows = _run_texts(batch.column(len(columns)).to_pylist(), key, load, token)
+            found = pa.array([dict(zip(names, r, strict=True)) for r in rows], kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*columns, "_run"])
 
-    return F.pandas_udf(run, RUN)(text)
+    asked = frame.withColumn("_asked", text)
+    return asked.mapInArrow(run, StructType([*frame.schema.fields, StructField("_run", StructType.fromDDL(RUN))]))
 
 
 def score_messages(messages: DataFrame, key: str, load: Loader, text: str = "text") -> DataFrame:
     """Adds ran, error_kind (load or inference) and scores. Errors never stop a row."""
-    scored = messages.withColumn("_run", score_column(F.col(text), key, load))
-    return scored.select(*messages.columns, "_run.ran", "_run.error_kind", "_run.scores")
+    return scored(messages, F.col(text), key, load).select(*messages.columns, "_run.ran", "_run.error_kind", "_run.scores")
 
 
 def injection_decision(scores: DataFrame, labels: DataFrame, threshold: float = 0.85) -> DataFrame:

@@ -100,7 +100,7 @@ def _unavailable(key: str):
 def classified(checked: DataFrame, policy: Policy, load: scoring.Loader | None = None) -> DataFrame:
     """The classifiers over messages without a verdict that nobody else answered; a failure lets the message on.
 
-    An Arrow hop for each classifier that the policy turns on; other rows send null and cost no inference.
+    An Arrow pass for each classifier that the policy turns on; rows that it is not asked about cost no inference.
     """
     device = DEVICES[policy.classifier_device]
     out = checked
@@ -111,7 +111,7 @@ def classified(checked: DataFrame, policy: Policy, load: scoring.Loader | None =
         meaning = {r[2]: r[3] for r in LABELS if r[0] == guard and r[1] == model}
         asked = F.when(F.col("verdict").isNull() & ~F.col("answered"), F.col("_text"))
         key = model if device < 0 else f"{model}::device={device}"
-        out = out.withColumn("_run", scoring.score_column(asked, key, load or _unavailable, access_token(policy) or ""))
+        out = scoring.scored(out.drop("_run", "_decision"), asked, key, load or _unavailable, access_token(policy) or "")
         scores = F.col("_run.scores")
         decision = scoring.first_row(scores, meaning, threshold) if guard == "injection" else scoring.decide_row(scores, list(blocking_labels(guard, model)), meaning, threshold)
         out = out.withColumn("_decision", decision)
@@ -132,7 +132,7 @@ def classified(checked: DataFrame, policy: Policy, load: scoring.Loader | None =
 def screen_input(messages: DataFrame, policy: Policy = Policy(), checks: tuple[tuple[str, Check], ...] = INPUT_CHECKS, load: scoring.Loader | None = None, answered: Column | None = None) -> DataFrame:
     """One row per message with its verdict: the checks, then the classifiers that the policy turns on.
 
-    Row by row, no shuffle; one Arrow hop for folding and one per classifier. ``load`` gives the scorers (without one
+    Row by row, no shuffle; one Arrow hop for folding and one pass per classifier. ``load`` gives the scorers (without one
     they count as unavailable), ``answered`` says whether another part has replied already, and then they are spared.
     """
     ready = prepared(messages, policy, "input")

@@ -141,3 +141,38 @@ ORACLE_SQL: dict[str, str] = {
         SELECT CAST(threshold AS DOUBLE) AS threshold, count(*) FILTER (WHERE score >= threshold AND truth = 1) AS true_refusals, count(*) FILTER (WHERE score >= threshold AND truth = 0) AS false_refusals,
         count(*) FILTER (WHERE score < threshold AND truth = 1) AS missed FROM s, t GROUP BY threshold""",
 }
+
+_COVERAGE = ORACLE_SQL["coverage_summary"]
+_GUARD, _TONE = "meta-llama/Llama-Prompt-Guard-2-86M", "IMSyPP/hate_speech_multilingual"
+_GATED, _FRAIL = "deepset/deberta-v3-base-injection", "textdetox/bert-multilingual-toxicity-classifier"
+
+ORACLE_SQL |= {
+    "classifier_verdicts": f"""WITH s AS (SELECT *, verdict IS NULL AND turn % 4 <> 0 AS asked, regexp_matches(text, '\\S') AS written, length(text) AS n FROM {_screened(_USER, 200)} AS q),
+        i AS (SELECT *, asked AND written AND n % 5 = 0 AS bad FROM s),
+        o AS (SELECT *, asked AND NOT bad AS tone, asked AND NOT bad AND written AND n % 10 / 16 + 0.125 >= 0.6 AS rude FROM i),
+        v AS (SELECT *, CASE WHEN verdict IS NOT NULL THEN verdict WHEN bad THEN 'prompt_injection' WHEN rude THEN 'offensive_input' END AS final FROM o)
+        SELECT conv_id, turn, final AS verdict, CASE WHEN final IS NOT NULL THEN {_case("final", taxonomy.CATEGORY_OF, "uncategorized")} END AS category,
+        CASE WHEN verdict = 'message_length' THEN 'length=' || n || ' chars (limit 200)' WHEN verdict = 'prompt_injection' THEN 'detector=custom, pattern=' || pattern WHEN verdict = 'personal_data' THEN 'detected=' || kinds
+          WHEN bad THEN 'detector=classifier, model={_GUARD}, label=MALICIOUS, score=0.875, threshold=0.85'
+          WHEN rude THEN 'detector=classifier, model={_TONE}, label=offensive, score=' || printf('%.3f', CAST(n % 10 / 16 + 0.125 AS DOUBLE)) || ', threshold=0.60' ELSE '' END AS detail,
+        'length+injection_patterns+personal_data' || CASE WHEN asked THEN '+injection_classifier' ELSE '' END || CASE WHEN tone THEN '+offensive_input' ELSE '' END AS checks FROM v""",
+    "output_log": f"""WITH k AS (SELECT {_kinds("text", _HELP)} AS kinds FROM {_SAID} AS a)
+        SELECT CASE WHEN kinds <> '' THEN 'output_blocked' ELSE 'output_allowed' END AS kind, CASE WHEN kinds <> '' THEN 'privacy' END AS category, CASE WHEN kinds <> '' THEN 'output_personal_data' END AS verdict,
+        CASE WHEN kinds <> '' THEN 'detected=' || kinds ELSE '' END AS detail, CASE WHEN kinds = '' THEN 'email+codice_fiscale+iban' END AS checks, count(*) AS n FROM k GROUP BY ALL""",
+    "guard_announcements": f"""WITH w AS (SELECT verdict FROM {_screened(_USER, 200)} AS q),
+        c AS (SELECT *, lag(summary) OVER (ORDER BY policy_id) AS b FROM ({_COVERAGE}) AS q),
+        r AS ({ORACLE_SQL["rearm"]}),
+        e AS (SELECT * FROM (VALUES
+          ('injection_unavailable', 'WARNING', 'input', 'guard=injection, model={_GATED}, error=RuntimeError: 401 gated [masked], patterns go on'),
+          ('inference_failed', 'WARNING', 'input', 'guard=offensive, model={_FRAIL}, error=ValueError'),
+          ('injection_label_mismatch', 'WARNING', NULL, 'model={_GATED}, declared=LABEL_0,LABEL_1, expected=INJECTION'),
+          ('offensive_label_mismatch', 'WARNING', NULL, 'model={_TONE}, declared=LABEL_0,LABEL_1, expected=OFFENSIVE,VIOLENT'),
+          ('injection_label_unmapped', 'WARNING', NULL, 'model={_GUARD}, label=MALICIOUS'),
+          ('model_loading', 'INFO', NULL, 'model=m/a'), ('model_cache_hit', 'INFO', NULL, 'model=m/b'), ('model_released', 'INFO', NULL, 'model=m/b, device=cpu'),
+          ('model_load_failed', 'WARNING', NULL, 'model=m/a, error=RuntimeError: 401 gated [masked], Access to this model has to be granted: accept its terms at https://huggingface.co/m/a, set an access token in the policy and restart; or choose a model without access control.')
+        ) AS v(kind, level, stage, detail))
+        SELECT kind, level, stage, CAST(NULL AS VARCHAR) AS verdict, detail, CAST(1 AS BIGINT) AS n FROM e
+        UNION ALL SELECT 'no_reply_configured', 'WARNING', 'input', 'message_length', '', count(*) FROM w WHERE verdict = 'message_length' HAVING count(*) > 0
+        UNION ALL SELECT 'guards_active', level, NULL, NULL, summary || CASE WHEN uncovered <> '' THEN '; no guard covers: ' || uncovered ELSE '' END, count(*) FROM c WHERE b IS NULL OR b <> summary GROUP BY ALL
+        UNION ALL SELECT 'settings_fallback', 'WARNING', NULL, NULL, 'reason=' || reason, count(*) FROM r GROUP BY ALL""",
+}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -197,6 +198,54 @@ def classifier_fail_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+GUARD, TONE = "meta-llama/Llama-Prompt-Guard-2-86M", "IMSyPP/hate_speech_multilingual"
+GATED, FRAIL = "deepset/deberta-v3-base-injection", "textdetox/bert-multilingual-toxicity-classifier"
+
+
+def _stand_in(key: str) -> Callable[[list[str]], list]:
+    """Scores from lengths alone, for tests of the plumbing. One model fails to load, one fails on every text."""
+
+    def tone(texts: list[str]) -> list:
+        return [[{"label": "LABEL_2", "score": len(t) % 10 / 16}, {"label": "LABEL_3", "score": 0.125}] for t in texts]
+
+    def frail(texts: list[str]) -> list:
+        raise ValueError(f"cannot read {texts[0]}")
+
+    if key == GATED:
+        raise RuntimeError("401 gated hf_abcdefgh12345678")
+    return {GUARD: lambda texts: [{"label": "LABEL_1", "score": 0.875 if len(t) % 5 == 0 else 0.5} for t in texts], TONE: tone, FRAIL: frail}[key]
+
+
+def classifier_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All input verdicts, the classifiers' too; turns divisible by four were answered by another part."""
+    policy = replace(NO_PHONE, max_message_chars=200, detect_prompt_injection_classifier=True, detect_offensive_input_classifier=True)
+    out = screen.screen_input(_turns(spark, sf_dir, "user"), policy, load=_stand_in, answered=F.col("turn") % 4 == 0)
+    return out.select("conv_id", "turn", "verdict", "category", "detail", F.array_join("checks", "+").alias("checks"))
+
+
+def guard_announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind of warning and announcement, counted."""
+    turns = _turns(spark, sf_dir, "user")
+    failing = replace(NO_PHONE, max_message_chars=200, detect_prompt_injection_classifier=True, prompt_injection_classifier_model=GATED, detect_offensive_input_classifier=True, offensive_input_classifier_model=FRAIL)
+    silent = replace(NO_PHONE, max_message_chars=200, message_too_long=" ")
+    log = [("model_loading", "m/a", ""), ("model_load_failed", "m/a", "RuntimeError: 401 gated hf_abcdefgh99"), ("model_cache_hit", "m/b", ""), ("model_released", "m/b", "device=cpu")]
+    labels = taxonomy.label_map(spark)
+    parts = [
+        events.classifier_warnings(screen.screen_input(turns, failing, load=_stand_in), failing),
+        events.missing_replies(screen.screen_input(turns, silent), "input"),
+        events.active_guards(policy_frame(spark, POLICIES)),
+        events.settings_fallbacks(_rows(spark, inline.LOG)),
+        events.label_warnings(_rows(spark, inline.DECLARED), _rows(spark, inline.SCORES), labels),
+        events.runtime_events(spark.createDataFrame(log, "kind string, model string, detail string")),
+    ]
+    return reduce(DataFrame.unionByName, parts).groupBy("kind", "level", "stage", "verdict", "detail").agg(F.count("*").alias("n"))
+
+
+def output_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = screen.screen_output(_turns(spark, sf_dir, "assistant"), NO_PHONE)
+    return events.guard_events(events.turn_tokens(out, ("turn",), ("conv_id",)), "output", turn=F.col("turn_token")).groupBy("kind", "category", "verdict", "detail", "checks").agg(F.count("*").alias("n"))
+
+
 def stream_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a pattern, as a stream takes a single file only by one
     path, state = shared_folder(spark, "stream"), shared_folder(spark, "state")
@@ -217,5 +266,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         length_guard, email_kinds, email_allowlist, injection_pattern, fiscal_code_valid, iban_valid, pii_kinds, verdict_precedence, output_replace, taxonomy_counts,
         offensive_sum, injection_top, label_reachability, blocking_classes, summary_changes, once_per_key, rearm, turn_tokens, redact, access_marker, cache_keys,
         contacts_parse, policy_checks, coverage_summary, guard_log, unicode_fold, phone_kinds, classifier_fail_open, stream_screen, threshold_sweep,
+        classifier_verdicts, guard_announcements, output_log,
     )
 }
