@@ -36,17 +36,19 @@ def _toggles(policy: Policy, stage: str) -> tuple[bool, bool, bool, bool]:
 
 
 def prepared(messages: DataFrame, policy: Policy, stage: str) -> DataFrame:
-    """Adds _text, _forms (one hop to Python for both forms), pattern, kinds and phone_types."""
+    """Adds _text, _folded, _phrase (one hop to Python for both), pattern, kinds and phone_types."""
     region = getattr(policy, f"{stage}_phone_region")
     toggles = _toggles(policy, stage)
     content = F.col("content") if "content" in messages.columns else F.lit(None).cast("string")
     contacts = parse_contacts(F.lit(policy.public_service_contacts))
-    folded = F.col("_forms.folded")
+    folded = F.col("_folded")
     private = phone.private_numbers(folded, region, phone.allowed_numbers(contacts, region)) if toggles[3] else F.array().cast("array<struct<raw:string,e164:string,kind:string>>")
-    out = messages.withColumn("_text", extract_text(F.col("text"), content)).withColumn("_forms", fold_text("_text")).withColumn("_phones", private)
+    out = messages.withColumn("_text", extract_text(F.col("text"), content)).withColumn("_forms", fold_text("_text"))
+    # columns of their own: fields of a struct would be worked out anew at each use
+    out = out.withColumns({"_folded": F.col("_forms.folded"), "_phrase": F.col("_forms.phrase")}).withColumn("_phones", private)
     return out.withColumns(
         {
-            "pattern": detect.injection_pattern(F.col("_forms.phrase"), policy.detect_prompt_injection_custom and stage == "input"),
+            "pattern": detect.injection_pattern(F.col("_phrase"), policy.detect_prompt_injection_custom and stage == "input"),
             "kinds": detect.personal_data_kinds(folded, allowed_addresses(F.lit(policy.help_desk_email), contacts), F.size("_phones") > 0, toggles),
             "phone_types": phone.number_types(F.col("_phones")),
         }

@@ -61,7 +61,7 @@ def email_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 def injection_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _rows(spark, inline.MESSAGES).select(F.col("msg_id").cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), "text")
     both = own.unionByName(_turns(spark, sf_dir, "user"))
-    return both.withColumn("_f", T.fold_text("text")).select("conv_id", "turn", detect.injection_pattern(F.col("_f.phrase")).alias("pattern"))
+    return both.withColumn("_f", T.fold_text("text")).withColumn("_p", F.col("_f.phrase")).select("conv_id", "turn", detect.injection_pattern(F.col("_p")).alias("pattern"))
 
 
 def fiscal_code_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
