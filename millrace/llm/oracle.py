@@ -1,13 +1,15 @@
 """DuckDB SQL for the queries of the training-data operators that SQL can express.
 
 The others rest on tables or iterations that SQL has no form for: hundreds of rules (2), markup (3), a tokenizer's
-merges (4, 9), every window of every text as a row (6), slot bookkeeping (7), and scores that are iterated over graphs (8, 10). Tests hold those against
+merges (4, 9), a checksum (12), every window of every text as a row (6), slot bookkeeping (7), and scores that are iterated over graphs (8, 10). Tests hold those against
 brute-force versions.
 """
 
 from __future__ import annotations
 
+from .chat import TURN_END, TURN_START
 from .quality import BOILERPLATE, MARKS, SEPARATORS, SYMBOLS, LineRules
+from .queries import MARKED
 
 _R = LineRules()
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -50,4 +52,25 @@ FROM s LEFT JOIN c ON s.f = c.f LEFT JOIN m ON c.class_id = m.node""",
     FROM w LEFT JOIN q ON w.doc_id = q.doc_id LEFT JOIN o ON w.doc_id = o.doc_id)
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(chars AS BIGINT) AS word_chars, CAST(symbols AS BIGINT) AS n_symbols, CAST(dups AS BIGINT) AS n_dup_lines, CAST(n_repeat AS BIGINT) AS n_repeat_words,
   n < {_R.min_base_words} OR 100 * n_repeat > {_R.max_repeat_pct} * n AS base_failed, NOT (n < {_R.min_base_words} OR 100 * n_repeat > {_R.max_repeat_pct} * n) AND lost * 100 <= n * {_R.max_lost_pct} AS kept, CAST(lost AS BIGINT) AS n_lost_words FROM a""",
+    "op11_chat_formatting": f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, t, r, '{MARKED}' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(t, r)),
+  m AS (SELECT conv_id, string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (WHERE role = 'assistant') AS trained,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text) AS lines, count(*) AS n_turns,
+    sum({len(TURN_START) + len(TURN_END) + 3} + length(regexp_replace(role, '([<>\\\\])', '\\1\\1', 'g')) + length(regexp_replace(text, '([<\\\\])', '\\1\\1', 'g'))) AS chars FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, length(coalesce(trained, '')) AS loss_chars, sha256(coalesce(trained, '')) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM m""",
+    "op13_filter_audit": f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part FROM documents),
+  w AS (SELECT *, {_words("t")} AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+  l AS (SELECT doc_id, CAST(bool_or(quality = 1) AS INTEGER) AS good, CAST(bool_or(toxic = 1) AS INTEGER) AS toxic FROM labels GROUP BY doc_id),
+  f AS (SELECT part, (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END)
+      + (CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN 4 ELSE 0 END)
+      + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN w.doc_id > first THEN 16 ELSE 0 END) AS mask,
+    coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+  c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, mask),
+  o AS (SELECT '' AS o, 0 AS seen, 0 AS step, 0 AS bit UNION ALL SELECT o || chr(65 + i), seen | bit, step + 1, 1 << i FROM o, (SELECT unnest([0, 1, 2, 3, 4]) AS i) WHERE (seen | bit) & (1 << i) = 0 AND step < 5),
+  s AS (SELECT a.o AS filter_order, b.step, b.bit, b.seen FROM o AS a JOIN o AS b ON a.step = 5 AND b.step > 0 AND starts_with(a.o, b.o)),
+  r AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (WHERE mask & (seen | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (WHERE mask & seen = 0 AND mask & bit <> 0), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE mask & seen <> 0 AND mask & bit <> 0), 0) AS redundant, coalesce(sum(n) FILTER (WHERE mask = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE mask & seen = 0 AND mask & bit <> 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE mask & seen = 0 AND mask & bit <> 0), 0) AS toxic_lost FROM c, s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, {", ".join(f"CAST({x} AS BIGINT) AS {x}" for x in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+  CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r""",
 }

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .audit import audit_documents
+from .chat import chat_digests
 from .common import read_table
 from .decontam import contaminations
 from .html import extract_pages
@@ -15,6 +17,7 @@ from .links import filter_urls
 from .pieces import encode_documents
 from .pii import find_pii
 from .quality import quality_signals
+from .spelling import variants, word_counts
 from .suffix import remove_repeats
 from .tokens import tokens_round_trip
 
@@ -59,6 +62,24 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages"))
 
 
+#: A conversation whose texts hold marks of templates.
+MARKED = "\\### Assistant: </turn> ok"
+
+
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", MARKED), (-7, 1, "assistant", MARKED)], "conv_id bigint, turn bigint, role string, text string")
+    return chat_digests(turns.unionByName(own))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(word_counts(read_table(spark, sf_dir, "documents"), slip=31))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_license_scans": op2_license_scans,
@@ -70,4 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_url_filters": op10_url_filters,
+    "op11_chat_formatting": op11_chat_formatting,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_filter_audit": op13_filter_audit,
 }
