@@ -22,12 +22,12 @@ MAX_GAP = 40
 
 #: An address has up to 64 signs before the at sign, up to three blanks after it, a host of up to 255 signs
 #: and a last label of 2 to 24 letters.
-NAME_SIGNS, MAX_NAME = "[A-Za-z0-9._%+-]", 64
-HOST_AHEAD = r"^[ \t]{0,3}[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,24}"
+ADDRESS = r"[\p{Alnum}._%+-]{1,64}@[ \t]{0,3}[\p{Alnum}.-]{1,255}[.]\p{Alpha}{2,24}"
 
-#: A fiscal code has 16 signs; these places hold digits, or the letters that may stand for them.
-DIGIT_PLACES, DIGIT_SIGNS = (7, 8, 10, 11, 13, 14, 15), "0123456789LMNPQRSTUV"
-MONTH_PLACE, MONTH_SIGNS = 9, "ABCDEHLMPRST"
+#: A fiscal code is six letters, the year, the month's letter, the day, a letter and three digits for the
+#: place, and a check letter; letters from L to V without O may stand for digits.
+_DIGIT, _MONTH = "[0-9L-NP-V]", "[A-EHLMPR-T]"
+FISCAL_CODE = rf"(?i)\b[A-Z]{{6}}{_DIGIT}{{2}}{_MONTH}{_DIGIT}{{2}}[A-Z]{_DIGIT}{{3}}[A-Z]\b"
 #: Country, two check digits, 11 to 30 signs that single blanks may part.
 IBAN = r"\b[A-Za-z]{2}[0-9]{2}(?:[ \u00A0]?[A-Za-z0-9]){11,30}\b"
 
@@ -70,23 +70,8 @@ def _all(text: Column, pattern: str) -> Column:
 
 
 def addresses(folded: Column) -> Column:
-    """Addresses found, lower-cased and without inner spaces; texts without an at sign are not looked at.
-
-    The text is cut at its at signs. Before each sign stands a name, after it a host; what a host took is no name any more.
-    """
-
-    def meet(seen: Column, part: Column) -> Column:
-        name = F.regexp_extract(F.right(seen["left"], F.lit(MAX_NAME)), NAME_SIGNS + r"+\z", 0)
-        host = F.when(name != "", F.regexp_extract(part, HOST_AHEAD, 0)).otherwise("")
-        hit = host != ""
-        return F.struct(
-            F.when(hit, F.concat(seen["found"], F.array(F.concat(name, F.lit("@"), F.translate(host, " \t", ""))))).otherwise(seen["found"]).alias("found"),
-            F.when(hit, F.substring(part, F.length(host) + 1, F.length(part))).otherwise(part).alias("left"),
-        )
-
-    parts = F.split(folded, "@")
-    start = F.struct(F.array().cast("array<string>").alias("found"), F.get(parts, F.lit(0)).alias("left"))
-    found = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, meet, lambda s: F.transform(s["found"], F.lower))
+    """Addresses found, lower-cased and without inner spaces; texts without an at sign are not looked at."""
+    found = F.transform(_all(folded, ADDRESS), lambda a: F.lower(F.translate(a, " \t", "")))
     return F.when(F.contains(folded, F.lit("@")), found).otherwise(F.array().cast("array<string>"))
 
 
@@ -122,18 +107,8 @@ def valid_iban(candidate: Column) -> Column:
     return F.length(c).between(15, 34) & (rest == 1)
 
 
-def shaped_fiscal_code(candidate: Column) -> Column:
-    """Letters, digits and the month letter at their places, in a word of 16 signs."""
-    up = F.upper(candidate)
-    sign = lambda n: F.substring(up, n, 1)
-    letters = F.concat(*[sign(n) for n in range(1, 17) if n not in DIGIT_PLACES and n != MONTH_PLACE])
-    numbers = F.concat(*[sign(n) for n in DIGIT_PLACES])
-    return letters.rlike("^[A-Z]+$") & numbers.rlike(f"^[{DIGIT_SIGNS}]+$") & F.contains(F.lit(MONTH_SIGNS), sign(MONTH_PLACE))
-
-
 def has_fiscal_code(folded: Column) -> Column:
-    words = _all(folded, r"\b[A-Za-z0-9]{16}\b")
-    return F.exists(words, lambda w: shaped_fiscal_code(w) & valid_fiscal_code(w))
+    return F.exists(_all(folded, FISCAL_CODE), valid_fiscal_code)
 
 
 def has_iban(folded: Column) -> Column:

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.text import base36, redact, remediation, threshold_text
 from ..sources.policy import DEVICES, Policy, access_token
 from . import scoring
+from .scans import differs, scanned
 
 EVENT_COLUMNS = ("kind", "level", "stage", "category", "verdict", "detail", "checks", "turn")
 
 
-def changes(log: DataFrame, value: str = "summary", order: str = "seq", by: tuple[str, ...] = ()) -> DataFrame:
-    """Rows whose value differs from the one before (the first row counts). ``by`` keeps sources apart, and their windows small."""
-    w = Window.partitionBy(*by).orderBy(order)
-    return log.withColumn("_before", F.lag(value).over(w)).withColumn("_n", F.row_number().over(w)).filter((F.col("_n") == 1) | ~F.col(value).eqNullSafe(F.col("_before"))).drop("_before", "_n")
+def changes(log: DataFrame, value: str = "summary", order: tuple[str, ...] = ("seq",), by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose value differs from the one before of their source (the first row counts): A, B, A gives three."""
+    scan = scanned(log, order, by, value=value)
+    return scan.filter(differs(scan, value)).select(*log.columns)
 
 
 def once_per_key(log: DataFrame, keys: tuple[str, ...], order: str = "seq") -> DataFrame:
@@ -24,16 +25,20 @@ def once_per_key(log: DataFrame, keys: tuple[str, ...], order: str = "seq") -> D
     return log.join(first, [*keys, order], "left_semi")
 
 
-def rearmed(log: DataFrame, reason: str = "reason", order: str = "seq", by: tuple[str, ...] = ()) -> DataFrame:
+def rearmed(log: DataFrame, reason: str = "reason", order: tuple[str, ...] = ("seq",), by: tuple[str, ...] = ()) -> DataFrame:
     """Failures that differ from the state before; a success (null) in between arms the warning again."""
-    w = Window.partitionBy(*by).orderBy(order)
-    return log.withColumn("_before", F.lag(reason).over(w)).filter(F.col(reason).isNotNull() & ~F.col(reason).eqNullSafe(F.col("_before"))).drop("_before")
+    scan = scanned(log, order, by, value=reason)
+    return scan.filter(F.col(reason).isNotNull() & ~F.col(reason).eqNullSafe(F.col("before"))).select(*log.columns)
 
 
-def turn_tokens(turns: DataFrame, order: tuple[str, ...], by: tuple[str, ...]) -> DataFrame:
-    """Adds turn_token: a base-36 counter per ``by``, from 0001, that starts over after 36**4 turns."""
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return turns.withColumn("turn_token", base36(n))
+def turn_tokens(turns: DataFrame, order: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds turn_token: a base-36 counter over the whole table, or per ``by``, from 0001, that starts over after 36**4 turns.
+
+    Counters per key run as one window, as a key is a session here; one over the whole table is an ordered scan.
+    """
+    if by:
+        return turns.withColumn("turn_token", base36(F.row_number().over(Window.partitionBy(*by).orderBy(*order))))
+    return scanned(turns, order).select(*turns.columns, base36(F.col("n")).alias("turn_token"))
 
 
 def turn_or_none(token: Column) -> Column:
@@ -133,17 +138,18 @@ def missing_replies(screened: DataFrame, stage: str) -> DataFrame:
     return _event_rows(silent, F.lit("no_reply_configured"), F.lit("WARNING"), F.lit(""), stage, None, F.col("silent_verdict"))
 
 
-def active_guards(policies: DataFrame, order: str = "policy_id") -> DataFrame:
+def active_guards(policies: DataFrame, order: tuple[str, ...] = ("policy_id",), by: tuple[str, ...] = ()) -> DataFrame:
     """guards_active each time the summary of the policies in force changes."""
-    rows = changes(coverage(policies), "summary", order)
+    told = policies.select(*dict.fromkeys([*by, *order])).join(coverage(policies), "policy_id") if order != ("policy_id",) else coverage(policies)
+    rows = changes(told, "summary", order, by)
     open_ = F.col("uncovered") != ""
     detail = F.concat(F.col("summary"), F.when(open_, F.concat(F.lit("; no guard covers: "), F.col("uncovered"))).otherwise(""))
     return _event_rows(rows, F.lit("guards_active"), F.col("level"), detail)
 
 
-def settings_fallbacks(loads: DataFrame, order: str = "seq", token: Column | None = None) -> DataFrame:
+def settings_fallbacks(loads: DataFrame, order: tuple[str, ...] = ("seq",), by: tuple[str, ...] = (), token: Column | None = None) -> DataFrame:
     """loads (seq, reason; null where the policy was read) → settings_fallback, armed again by a success."""
-    return _event_rows(rearmed(loads, "reason", order), F.lit("settings_fallback"), F.lit("WARNING"), F.concat(F.lit("reason="), redact(F.col("reason"), token)))
+    return _event_rows(rearmed(loads, "reason", order, by), F.lit("settings_fallback"), F.lit("WARNING"), F.concat(F.lit("reason="), redact(F.col("reason"), token)))
 
 
 def label_warnings(declared: DataFrame, scores: DataFrame, labels: DataFrame) -> DataFrame:

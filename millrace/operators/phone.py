@@ -1,77 +1,92 @@
-"""Phone numbers: candidates in Catalyst, then a small numbering-plan table.
+"""Phone numbers in text: candidates, the numbering plan that accepts them, their E.164 form and kind, all in the JVM.
 
-This stands in for a full numbering-plan library: per region the country code, trunk prefix, national lengths and the
-leading digits of mobiles. Grouping is checked in one respect, which keeps dates out: digits parted by points or
-hyphens alone need an international or trunk prefix, or a first group of two digits and more with at least six after.
-Countries without a plan here are found in international form, as type unknown; a policy may name them as its region.
+A candidate is a run of digits parted by at most two blanks or marks. Its separators become ``-``, and one expression
+per kind of number, compiled from the plans, tests leading digits, length and grouping together: separators may stand only
+where the plan ends a group, so a group is never split, while groups may run together; where a trunk prefix exists, the
+first group stands apart or no group does. That keeps out dates and numbers such as 01.02.2026, 01.02.03.04 or 06.123.456
+and finds 06 1234567. A candidate that no plan accepts is tried in pieces, as when two numbers stand side by side.
+
+Numbers start with a plus sign or the region's prefix for calls abroad and a country code, or are national numbers of the
+region, with its trunk prefix. An unknown region has no national numbers. A null text has none at all.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Region → (country code, trunk prefix kept in national form, trunk prefix dropped, least and most
-#: national digits, pattern of mobiles, pattern of fixed lines).
-PLANS = {
-    "IT": ("39", "", "", 6, 11, "3[0-9]{8,9}", "0[0-9]{5,10}"),
-    "FR": ("33", "", "0", 9, 9, "[67][0-9]{8}", "[1-59][0-9]{8}"),
-    "DE": ("49", "", "0", 6, 11, "1[5-7][0-9]{8,9}", "[2-9][0-9]{5,10}"),
-    "ES": ("34", "", "", 9, 9, "[67][0-9]{8}", "[89][0-9]{8}"),
-    "GB": ("44", "", "0", 9, 10, "7[1-9][0-9]{8}", "[12][0-9]{8,9}"),
-    "US": ("1", "", "1", 10, 10, "x", "[2-9][0-9]{2}[2-9][0-9]{6}"),
-    "CA": ("1", "", "1", 10, 10, "x", "[2-9][0-9]{2}[2-9][0-9]{6}"),
-    "CH": ("41", "", "0", 9, 9, "7[5-9][0-9]{7}", "[2-6][0-9]{8}"),
-    "AT": ("43", "", "0", 6, 12, "6[5-9][0-9]{7,10}", "[1-57][0-9]{5,10}"),
-    "BE": ("32", "", "0", 8, 9, "4[5-9][0-9]{7}", "[1-9][0-9]{7}"),
-    "NL": ("31", "", "0", 9, 9, "6[1-9][0-9]{7}", "[1-57][0-9]{8}"),
-    "PT": ("351", "", "", 9, 9, "9[1-36][0-9]{7}", "2[0-9]{8}"),
-}
-
-CANDIDATE = r"(?<![0-9A-Za-z])\+?[(]?[0-9](?:[ \u00A0./()-]{0,2}[0-9]){5,14}(?![0-9A-Za-z])"
-DATE_LIKE = r"^[0-9]{1,4}([./-])[0-9]{1,2}\1[0-9]{1,4}$"
-
-
-def _national(digits: Column, international: Column, region: str) -> Column:
-    """(country code, national number, kind) of a candidate, or null where no plan fits."""
-    out = None
-    order = [*[r for r in (region,) if r in PLANS], *[r for r in PLANS if r != region]]
-    for name in order:
-        code, _, trunk, low, high, mobile, fixed = PLANS[name]
-        for abroad in (True, False) if name == region else (True,):
-            if abroad:
-                rest = F.substring(digits, F.lit(len(code) + 1), F.length(digits))
-                here = international & digits.startswith(code)
-            else:
-                rest = F.regexp_replace(digits, f"^{trunk}", "") if trunk else digits
-                here = ~international & (digits.startswith(trunk) if trunk and name not in ("US", "CA") else F.lit(True))
-            fits = here & F.length(rest).between(low, high)
-            kind = F.when(rest.rlike(f"^(?:{mobile})$"), "mobile").when(rest.rlike(f"^(?:{fixed})$"), "fixed_line_or_mobile" if code == "1" else "fixed_line")
-            row = F.struct(F.concat(F.lit("+" + code), rest).alias("e164"), kind.alias("kind"))
-            cond = fits & kind.isNotNull()
-            out = F.when(cond, row) if out is None else out.when(cond, row)
-    planned = F.exists(F.array(*[F.lit(c) for c in sorted({p[0] for p in PLANS.values()})]), lambda c: digits.startswith(c))
-    elsewhere = international & ~planned & digits.rlike("^[2-9][0-9]{7,14}$")
-    return out.when(elsewhere, F.struct(F.concat(F.lit("+"), digits).alias("e164"), F.lit("unknown").alias("kind")))
+from ..sources.numbering import abroad_prefix, codes_pattern, international, national, plan_of_region, trunk_cuts
+
+NUMBERS = "array<struct<raw:string,e164:string,kind:string>>"
+#: Blanks and marks that may part digits, two at most in a row.
+BLANK = r" \u00A0"
+#: A letter that touches a run of digits is taken along, and rules it out.
+CANDIDATE = rf"[A-Za-z]?\+?[(]?[0-9](?:[{BLANK}./()-]{{0,2}}[0-9])*[A-Za-z]?"
+#: Digits of a number, a prefix for calls abroad included.
+LEAST_DIGITS, MOST_DIGITS = 5, 19
+#: Where a run may hold several numbers: at clear breaks, or else at every blank.
+BREAKS = (rf"/| - |[{BLANK}]{{2}}|[.] ", f"[{BLANK}]")
+
+
+def _let(value: Column, body) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _kind(groups: Column, table: tuple[tuple[str, str], ...]) -> Column:
+    none = F.lit(None).cast("string")
+    return F.coalesce(none, *[F.when(groups.rlike(p), k) for k, p in table])
+
+
+def _without_trunk(code: Column, rest: Column) -> Column:
+    return reduce(lambda done, cut: F.when(code.rlike(f"^(?:{'|'.join(cut[1])})$"), F.regexp_replace(rest, cut[0], "")).otherwise(done), trunk_cuts().items(), rest)
+
+
+def parsed(raw: Column, region: str, grouped: bool = True) -> Column:
+    """struct(raw, e164, kind) of a number as written; e164 and kind are null where no plan accepts it."""
+    plan = plan_of_region().get(region)
+    own = plan.code if plan else ""
+    apart = f"^(?:{abroad_prefix(region)})-?(?=[1-9])"
+
+    def judge(groups: Column) -> Column:
+        abroad = F.when(raw.contains("+"), groups).when(groups.rlike(apart), F.regexp_replace(groups, apart, ""))
+        home = F.when(abroad.isNull(), _kind(groups, national(region)))
+        # a national number may carry its own country code without a plus sign, if it is none as it stands
+        full = F.coalesce(abroad, F.when(home.isNull() & groups.startswith(own), groups)) if own else abroad
+        return _let(_let(F.struct(home.alias("home"), full.alias("full")), told), lambda f: F.struct(raw.alias("raw"), F.when(f["kind"].isNotNull(), e164(groups, f["full"])).alias("e164"), f["kind"].alias("kind")))
+
+    def told(f: Column) -> Column:
+        return F.struct(f["full"].alias("full"), F.coalesce(f["home"], _kind(f["full"], international())).alias("kind"))
+
+    def e164(groups: Column, full: Column) -> Column:
+        digits = F.translate(full, "-", "")
+        code = F.regexp_extract(digits, f"^{codes_pattern()}", 0)
+        there = F.concat(F.lit("+"), code, _without_trunk(code, F.substring(digits, F.length(code) + 1, F.length(digits))))
+        here = F.concat(F.lit("+" + own), _without_trunk(F.lit(own), F.translate(groups, "-", "")))
+        return F.when(full.isNotNull(), there).otherwise(here)
+
+    dashes = F.regexp_replace(F.regexp_replace(raw, "[^0-9]+", "-"), "^-|-$", "")
+    return _let(dashes if grouped else F.translate(dashes, "-", ""), judge)
 
 
 def numbers(folded: Column, region: str) -> Column:
-    """Numbers found as structs (raw, e164, kind)."""
+    """Numbers found as structs (raw, e164, kind), in order."""
+    sized = lambda x: F.length(F.regexp_replace(x, "[^0-9]", "")).between(LEAST_DIGITS, MOST_DIGITS)
+    accepted = lambda pieces: F.filter(F.transform(F.filter(pieces, sized), lambda x: parsed(F.trim(x), region)), lambda n: n["e164"].isNotNull())
 
-    def one(raw: Column) -> Column:
-        digits = F.regexp_replace(raw, "[^0-9]", "")
-        plan = _national(digits, raw.startswith("+"), region)
-        return F.struct(raw.alias("raw"), plan["e164"].alias("e164"), plan["kind"].alias("kind"))
+    def of_run(run: Column) -> Column:
+        levels = F.array(F.array(run), F.split(run, BREAKS[0]), F.split(run, BREAKS[1]))
+        return F.coalesce(F.get(F.filter(F.transform(levels, accepted), lambda found: F.size(found) > 0), F.lit(0)), F.array().cast(NUMBERS))
 
-    found = F.transform(F.regexp_extract_all(folded, F.lit(CANDIDATE), 0), one)
-    kept = F.filter(found, lambda x: x["e164"].isNotNull() & ~x["raw"].rlike(DATE_LIKE))
-    return F.when(folded.rlike("[0-9]"), kept).otherwise(F.array().cast("array<struct<raw:string,e164:string,kind:string>>"))
+    runs = F.filter(F.regexp_extract_all(folded, F.lit(CANDIDATE), 0), lambda x: ~x.rlike("^[A-Za-z]|[A-Za-z]$"))
+    return F.when(folded.rlike(r"[0-9](?:[  ./()-]{0,2}[0-9]){4}"), F.flatten(F.transform(runs, of_run))).otherwise(F.array().cast(NUMBERS))
 
 
 def allowed_numbers(contacts: Column, region: str) -> Column:
-    """E.164 forms of the listed numbers; addresses and entries without a plan are dropped."""
+    """E.164 forms of the listed numbers, however they are grouped; addresses and entries that no plan accepts are dropped."""
     plain = F.filter(contacts, lambda c: ~c.contains("@"))
-    return F.array_distinct(F.flatten(F.transform(plain, lambda c: F.transform(numbers(c, region), lambda x: x["e164"]))))
+    return F.array_distinct(F.array_compact(F.transform(plain, lambda c: parsed(c, region, grouped=False)["e164"])))
 
 
 def private_numbers(folded: Column, region: str, allowed: Column) -> Column:

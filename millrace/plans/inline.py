@@ -22,6 +22,14 @@ SCORES = """(SELECT msg_id, model, ord, label, CAST(score AS DOUBLE) AS score FR
  (9, 'meta-llama/Llama-Prompt-Guard-2-86M', 0, 'MALICIOUS', 0.99), (10, 'deepset/deberta-v3-base-injection', 0, ' injection', 0.85), (11, 'meta-llama/Llama-Prompt-Guard-2-22M', 0, 'LABEL_0', 0.30), (11, 'meta-llama/Llama-Prompt-Guard-2-22M', 1, 'LABEL_1', 0.70)
 ) AS v(msg_id, model, ord, label, score))"""
 
+#: Models whose label spaces the tone of a document is spelled out in: (label, a, b) scores a + b * tone.
+SEEN_MODEL = "patriciacarla/HS-multilingual-DNR"
+SHARES = {
+    "textdetox/bert-multilingual-toxicity-classifier": (("LABEL_1", 0.0, 1.0), ("LABEL_0", 1.0, -1.0)),
+    "meta-llama/Llama-Prompt-Guard-2-22M": (("LABEL_1", 0.0, 1.0), ("LABEL_0", 1.0, -1.0)),
+    SEEN_MODEL: (("LABEL_0", 1.0, -1.0), ("LABEL_1", 0.0, 0.25), ("LABEL_2", 0.0, 0.5), ("LABEL_3", 0.0, 0.25)),
+}
+
 DECLARED = """(SELECT * FROM (VALUES
  ('injection', 'meta-llama/Llama-Prompt-Guard-2-86M', 0, 'LABEL_0'), ('injection', 'meta-llama/Llama-Prompt-Guard-2-86M', 1, 'label_1'),
  ('injection', 'deepset/deberta-v3-base-injection', 0, 'LABEL_0'), ('injection', 'deepset/deberta-v3-base-injection', 1, 'LABEL_1'),
@@ -29,10 +37,6 @@ DECLARED = """(SELECT * FROM (VALUES
  ('offensive', 'textdetox/bert-multilingual-toxicity-classifier', 0, 'neutral'), ('offensive', 'textdetox/bert-multilingual-toxicity-classifier', 1, 'toxic')
 ) AS v(guard, model, idx, label))"""
 
-LOG = """(SELECT * FROM (VALUES
- (1, 'a', 'm1', 'x'), (2, 'a', 'm1', 'x'), (3, 'b', 'm2', NULL), (4, 'a', 'm1', 'x'), (5, 'a', 'm2', 'y'), (6, 'c', 'm3', 'y'), (7, 'c', 'm1', NULL), (8, 'c', 'm3', 'y')
-) AS v(seq, summary, model, reason))"""
-
 ERRORS = """(SELECT * FROM (VALUES
  (1, 'm/a', 0, '401 Client Error: hf_abcdefgh12345678 is not allowed', 'tok1'), (2, 'm/b', -1, 'disk full', 'tok1'), (3, 'm/a', 1, 'Access to model m/a is Restricted', ''), (4, 'm/c', -1, 'bad token tok1 and hf_short', 'tok1')
 ) AS v(id, model, device, error, token))"""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import inline, taxonomy
+from . import inline, phone_sql, taxonomy
+from .queries import STARTS
 from ..operators.detect import INJECTION_PHRASES, ODD_DIGITS, ODD_LETTERS
-from ..sources.policy import REPLY_FIELD, Policy
+from ..sources.policy import REPLY_FIELD, Policy, regions
 
 _EMAIL = r"[[:alnum:]._%+-]{1,64}@[ \t]{0,3}[[:alnum:].-]{1,255}[.][[:alpha:]]{2,24}"
 _D = "[0-9LMNPQRSTUVlmnpqrstuv]"
@@ -69,19 +70,120 @@ def _reply(verdict: str) -> str:
 
 
 _LABELS = inline.label_rows()
+_TEXTS = f"(SELECT CAST(-msg_id AS BIGINT) AS doc_id, text FROM {inline.MESSAGES} AS m UNION ALL SELECT doc_id, text FROM documents)"
+_ASKED = f"(SELECT CAST(-msg_id AS BIGINT) AS conv_id, CAST(0 AS BIGINT) AS turn, text FROM {inline.MESSAGES} AS m UNION ALL SELECT * FROM {_USER} AS u)"
+_LOG = "(SELECT event_id AS seq, event_type AS summary, user_id AS source, CASE WHEN event_type = 'error' THEN 'error ' || user_id % 3 END AS reason FROM events)"
+_ERRORS = f"(SELECT CAST(-id AS BIGINT) AS doc_id, model, error, token FROM {inline.ERRORS} AS e UNION ALL SELECT doc_id, 'm/a', coalesce(text, ''), '' FROM documents)"
+_STARTS = f"(SELECT conv_id * 1000 + turn AS k, policy_id FROM (VALUES {', '.join(map(str, STARTS))}) AS v(conv_id, turn, policy_id))"
+
+#: Weights of toxic words from the documents outside each fold (-1: all), and held-out tones of the labelled documents.
+_TONE_WORDS = """(WITH d AS (SELECT d.doc_id, toxic, d.doc_id % 5 AS own, list_distinct(regexp_extract_all(lower(text), '[a-zà-öø-ÿ]+')) AS words FROM documents AS d JOIN labels AS l ON d.doc_id = l.doc_id),
+  w AS (SELECT own, toxic, unnest(words) AS word FROM d), f AS (SELECT unnest([0, 1, 2, 3, 4, -1]) AS fold),
+  z AS (SELECT fold, count(*) FILTER (WHERE toxic = 1) AS d1, count(*) FILTER (WHERE toxic = 0) AS d0 FROM f JOIN d ON own <> fold GROUP BY fold),
+  c AS (SELECT fold, word, count(*) FILTER (WHERE toxic = 1) AS n1, count(*) FILTER (WHERE toxic = 0) AS n0 FROM f JOIN w ON own <> fold GROUP BY fold, word),
+  k AS (SELECT c.fold, word, CAST(round(1000 * (ln((n1 + 1) / (d1 + 2)) - ln((n0 + 1) / (d0 + 2)) - 2 * sqrt(1 / (n1 + 1) + 1 / (n0 + 1)))) AS BIGINT) AS weight FROM c JOIN z ON c.fold = z.fold WHERE n1 + n0 >= 3)
+  SELECT CAST(fold AS BIGINT) AS fold, word, weight FROM k WHERE weight >= 2000)"""
+_TONE = f"""(WITH d AS (SELECT d.doc_id, CAST(toxic AS BIGINT) AS toxic, d.doc_id % 5 AS fold, list_distinct(regexp_extract_all(lower(text), '[a-zà-öø-ÿ]+')) AS words FROM documents AS d JOIN labels AS l ON d.doc_id = l.doc_id),
+  p AS (SELECT doc_id, sum(weight) AS points FROM (SELECT doc_id, fold, unnest(words) AS word FROM d) AS w JOIN {_TONE_WORDS} AS t ON w.fold = t.fold AND w.word = t.word GROUP BY doc_id)
+  SELECT d.doc_id, toxic, coalesce(points, 0) / (coalesce(points, 0) + 3000) AS score FROM d LEFT JOIN p ON d.doc_id = p.doc_id)"""
+_SHARES = ", ".join(f"({m}, '{model}', {n}, '{label}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for m, (model, shares) in enumerate(inline.SHARES.items()) for n, (label, a, b) in enumerate(shares))
+_SCORES = f"(SELECT CAST(-msg_id AS BIGINT) AS msg_id, model, ord, label, score FROM {inline.SCORES} AS x UNION ALL SELECT doc_id * 4 + m, model, ord, label, a + b * score FROM {_TONE} AS t, (VALUES {_SHARES}) AS v(m, model, ord, label, a, b))"
+
+
+def _coverage(rows: list[tuple]) -> str:
+    """Summaries of policies (policy_id, limit, input detectors, output detectors, patterns, injection and tone classifier, region,
+    device)."""
+    text = lambda x: str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else f"'{x}'"
+    values = ", ".join(f"({', '.join(map(text, r))})" for r in rows)
+    return f"""WITH p AS (SELECT *, i <> '' AS has_i, o <> '' AS has_o FROM (VALUES {values}) AS v(policy_id, lim, i, o, pat, ci, co, region, device)),
+        d AS (SELECT '{taxonomy.models("injection")[0]}' AS mi, '{taxonomy.models("offensive")[0]}' AS mo)
+        SELECT CAST(policy_id AS BIGINT) AS policy_id,
+          concat_ws(', ', CASE WHEN lim > 0 THEN 'limits(max ' || lim || ' chars)' ELSE 'limits(disabled)' END,
+            CASE WHEN has_i OR has_o THEN 'privacy(' || CASE WHEN has_i THEN 'input=' || i || ', input_region=' || region ELSE 'input=disabled' END || ', ' || CASE WHEN has_o THEN 'output=' || o || ', output_region=IT' ELSE 'output=disabled' END || ')' ELSE 'privacy(disabled)' END,
+            CASE WHEN pat OR ci THEN 'security(' || concat_ws('+', CASE WHEN pat THEN 'patterns' END, CASE WHEN ci THEN 'classifier ' || mi || '@0.85' END) || ')' ELSE 'security(disabled)' END,
+            CASE WHEN co THEN 'tone(classifier ' || mo || '@0.60)' ELSE 'tone(disabled)' END) AS summary,
+          concat_ws(', ', CASE WHEN lim = 0 THEN 'limits' END, CASE WHEN NOT has_i AND NOT has_o THEN 'privacy' END, CASE WHEN NOT has_i AND has_o THEN 'privacy(input)' END, CASE WHEN has_i AND NOT has_o THEN 'privacy(output)' END, CASE WHEN NOT pat AND NOT ci THEN 'security' END) AS uncovered,
+          CASE WHEN lim = 0 OR NOT has_i OR NOT has_o OR NOT (pat OR ci) THEN 'WARNING' ELSE 'INFO' END AS level,
+          concat_ws('+', CASE WHEN lim > 0 THEN 'length' END, CASE WHEN pat THEN 'injection_patterns' END, CASE WHEN has_i THEN 'personal_data' END) AS checks,
+          concat_ws(',', CASE WHEN ci THEN mi END, CASE WHEN co THEN mo END) AS models,
+          device || '|' || concat_ws(',', CASE WHEN co THEN mo END, CASE WHEN ci THEN mi END) AS signature FROM p, d"""
+
+
+_ALL, _MOST = "email+codice_fiscale+iban+phone", "email+codice_fiscale+iban"
+_COVERAGE = _coverage(
+    [
+        (0, 1000, _ALL, _ALL, True, False, False, "IT", "cpu"), (1, 0, _ALL, "", True, False, False, "IT", "cpu"), (2, 1000, "", "", True, False, False, "IT", "cpu"),
+        (3, 1000, "", _ALL, False, False, True, "IT", "cpu"), (4, 1000, _ALL, _ALL, True, True, True, "FR", "gpu0"), (5, 1000, _ALL, _ALL, False, False, False, "IT", "cpu"),
+    ]
+)
+_VERSIONS = _coverage(
+    [
+        (0, 60, _MOST, _MOST, True, False, False, "IT", "cpu"), (1, 200, _MOST, _MOST, True, False, False, "IT", "cpu"), (2, 1000, _ALL, _ALL, True, False, False, "IT", "cpu"),
+        (3, 100, _MOST, _MOST, False, False, False, "FR", "cpu"), (4, 1000, _ALL, _ALL, True, False, False, "IT", "cpu"), (5, 0, _MOST, _MOST, True, False, False, "IT", "cpu"),
+    ]
+)
+
+
+def _changes(table: str, value: str, order: str, by: str = "") -> str:
+    """Rows whose value differs from the one before; the first differs."""
+    w = f"({f'PARTITION BY {by} ' if by else ''}ORDER BY {order})"
+    return f"(SELECT * FROM (SELECT *, lag({value}) OVER {w} AS b, row_number() OVER {w} AS n FROM {table} AS q) AS t WHERE n = 1 OR {value} IS DISTINCT FROM b)"
+
+
+def _rearmed(table: str, order: str) -> str:
+    return f"(SELECT * FROM (SELECT *, lag(reason) OVER (ORDER BY {order}) AS b FROM {table} AS q) AS t WHERE reason IS NOT NULL AND reason IS DISTINCT FROM b)"
+
+
+_SIGNS = "'0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+
+
+def _token(n: str) -> str:
+    return " || ".join(f"{_SIGNS}[CAST({n} % 1679616 // {36**k} % 36 + 1 AS BIGINT)]" for k in (3, 2, 1, 0))
+
+
+def _in_force() -> str:
+    """The first user turns and cases under each version: limit, patterns, addresses that are allowed, replies."""
+    default = Policy()
+    reply = lambda f, desk: getattr(default, f).replace("{help_desk_email}", desk)
+    desk = default.help_desk_email
+    rows = []
+    for n, limit, patterns, allowed, own in ((0, 60, True, desk, {}), (1, 200, True, "info@agency.gov", {"message_too_long": "Too long, write to info@agency.gov."}), (2, 1000, True, desk, {}), (3, 100, False, f"a@b.org,{desk}", {}), (4, 1000, True, desk, {}), (5, 0, True, desk, {"personal_data_detected": "No private data, please."})):
+        told = [own.get(f, reply(f, allowed.split(",")[-1])) for f in ("message_too_long", "prompt_injection_detected", "personal_data_detected")]
+        rows.append(f"({n}, {limit}, {str(patterns).lower()}, string_split('{allowed}', ','), {', '.join(repr(t) for t in told)})")
+    return f"""WITH a AS (SELECT CASE WHEN conv_id < 0 THEN conv_id + 50 ELSE conv_id END AS conv_id, turn, text FROM {_ASKED} AS q),
+        h AS (SELECT a.*, s.policy_id FROM (SELECT *, conv_id * 1000 + turn AS k FROM a) AS a ASOF JOIN {_STARTS} AS s ON a.k >= s.k),
+        k AS (SELECT *, {_kinds("text", "allowed")} AS kinds, CASE WHEN patterns THEN {_pattern("text")} END AS pattern FROM h JOIN (VALUES {", ".join(rows)}) AS v(id, lim, patterns, allowed, r_length, r_injection, r_personal) ON h.policy_id = v.id),
+        w AS (SELECT *, CASE WHEN lim > 0 AND length(text) > lim THEN 'message_length' WHEN pattern IS NOT NULL THEN 'prompt_injection' WHEN kinds <> '' THEN 'personal_data' END AS verdict FROM k)
+        SELECT conv_id, turn, CAST(policy_id AS BIGINT) AS policy_id, verdict, CASE WHEN verdict IS NOT NULL THEN {_case("verdict", taxonomy.CATEGORY_OF, "uncategorized")} END AS category, kinds,
+        CASE verdict WHEN 'message_length' THEN 'length=' || length(text) || ' chars (limit ' || lim || ')' WHEN 'prompt_injection' THEN 'detector=custom, pattern=' || pattern WHEN 'personal_data' THEN 'detected=' || kinds ELSE '' END AS detail,
+        CASE verdict WHEN 'message_length' THEN r_length WHEN 'prompt_injection' THEN r_injection WHEN 'personal_data' THEN r_personal END AS reply FROM w"""
+
+
+def _policy_checks() -> str:
+    listed = ", ".join(f"'{r}'" for r in sorted(regions()))
+    digits = lambda x: f"length(regexp_replace({x}, '[^0-9]', '', 'g'))"
+    return f"""WITH e AS (SELECT event_id, event_type AS kind, user_id AS u, value FROM events)
+        SELECT event_id, concat_ws(',', CASE WHEN u % 4 IN (2, 3) THEN 'classifier_device' END, CASE WHEN u % 2 <> 0 THEN 'help_desk_email' END, CASE WHEN upper(kind[1:2]) NOT IN ({listed}) THEN 'input_phone_region' END,
+          CASE WHEN floor(value) < 3 THEN 'max_message_chars' END, CASE WHEN kind = 'view' THEN 'message_too_long' END, CASE WHEN u % 3 = 1 THEN 'offensive_input_classifier_model' END,
+          CASE WHEN value / 16 NOT BETWEEN 0 AND 1 THEN 'prompt_injection_classifier_threshold' END, CASE WHEN {digits("CAST(u * 100 AS VARCHAR)")} < 5 OR (kind <> 'error' AND u % 5 = 0) THEN 'public_service_contacts' END) AS bad_fields FROM e"""
+
+
+_MARKERS = "401|403|gated|awaiting a review|not authorized|restricted|authenticated|access to model"
+_US = phone_sql.found_numbers("(SELECT doc_id, text FROM documents)", "US")
 
 ORACLE_SQL: dict[str, str] = {
     "length_guard": f"""SELECT conv_id, turn, length(text) AS n_chars, CASE WHEN length(text) > 200 THEN 'message_length' END AS at_200,
         CASE WHEN length(text) > 1000 THEN 'message_length' END AS at_1000, CAST(NULL AS VARCHAR) AS at_0 FROM {_USER} AS u""",
     "email_kinds": f"SELECT doc_id, CAST(len({_addresses('text')}) AS BIGINT) AS n_addresses, array_to_string({_addresses('text')}, ',') AS addresses FROM documents",
-    "email_allowlist": f"SELECT msg_id, {_private('text', chr(91) + chr(39) + 'a@b.org' + chr(39) + ', ' + chr(39) + 'helpdesk@example.org' + chr(39) + chr(93))} AS private FROM {inline.MESSAGES} AS m",
-    "injection_pattern": f"""SELECT conv_id, turn, {_pattern("text")} AS pattern FROM (SELECT CAST(msg_id AS BIGINT) AS conv_id, CAST(0 AS BIGINT) AS turn, text FROM {inline.MESSAGES} AS m UNION ALL SELECT * FROM {_USER} AS u) AS t""",
-    "fiscal_code_valid": f"SELECT msg_id, {_fiscal('text')} AS has_code FROM {inline.MESSAGES} AS m",
-    "iban_valid": f"SELECT msg_id, {_iban('text')} AS has_iban FROM {inline.MESSAGES} AS m",
+    "email_allowlist": f"SELECT doc_id, {_private('text', chr(91) + chr(39) + 'a@b.org' + chr(39) + ', ' + chr(39) + 'helpdesk@example.org' + chr(39) + chr(93))} AS private FROM {_TEXTS} AS m",
+    "injection_pattern": f"SELECT conv_id, turn, {_pattern('text')} AS pattern FROM (SELECT CAST(msg_id AS BIGINT) AS conv_id, CAST(0 AS BIGINT) AS turn, text FROM {inline.MESSAGES} AS m UNION ALL SELECT * FROM {_USER} AS u) AS t",
+    "fiscal_code_valid": f"SELECT doc_id, {_fiscal('text')} AS has_code FROM {_TEXTS} AS m",
+    "iban_valid": f"SELECT doc_id, {_iban('text')} AS has_iban FROM {_TEXTS} AS m",
     "pii_kinds": f"SELECT doc_id, {_kinds('text', _HELP)} AS kinds FROM documents",
-    "verdict_precedence": f"SELECT msg_id, verdict, CASE WHEN verdict IS NOT NULL THEN {_case('verdict', taxonomy.CATEGORY_OF, 'uncategorized')} END AS category, kinds, pattern, verdict IS NOT NULL AS has_reply FROM {_screened(inline.MESSAGES, 60)} AS s",
+    "verdict_precedence": f"SELECT conv_id, turn, verdict, CASE WHEN verdict IS NOT NULL THEN {_case('verdict', taxonomy.CATEGORY_OF, 'uncategorized')} END AS category, kinds, pattern, verdict IS NOT NULL AS has_reply FROM {_screened(_ASKED, 60)} AS s",
     "stream_screen": f"SELECT conv_id, turn, verdict, CASE WHEN verdict IS NOT NULL THEN {_case('verdict', taxonomy.CATEGORY_OF, 'uncategorized')} END AS category FROM {_screened(_USER, 200)} AS s",
-    "unicode_fold": "SELECT * FROM (VALUES (1, 'mario@example.org', 'mario@example.org'), (2, 'ignore the rules', 'ignore the rules'), (3, 'Straße  x', 'strasse x'), (4, 'fineprint', 'fineprint'), (5, 'plain', 'plain')) AS t(id, folded, phrase)",
+    "unicode_fold": f"""SELECT doc_id, md5(folded) AS folded_md5, md5(phrase) AS phrase_md5 FROM (VALUES (CAST(-1 AS BIGINT), 'mario@example.org', 'mario@example.org'), (-2, 'ignore the rules', 'ignore the rules'), (-3, 'Straße  x', 'strasse x'), (-4, 'fineprint', 'fineprint'), (-5, 'plain', 'plain')) AS t(doc_id, folded, phrase)
+        UNION ALL SELECT doc_id, md5(text), md5(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '{_SPACE}', ' ', 'g'))) FROM documents""",
     "classifier_fail_open": f"""WITH u AS (SELECT conv_id, turn, text, coalesce(regexp_matches(text, '\\S'), false) AS asked, length(text) / 400 AS score FROM {_USER} AS u)
         SELECT conv_id, turn, 'stub' AS model, text IS NOT NULL AS ran, CAST(NULL AS VARCHAR) AS error_kind, asked AND score >= 0.6 AS triggered FROM u
         UNION ALL SELECT conv_id, turn, 'broken', text IS NOT NULL AND NOT asked, CASE WHEN asked THEN 'load' END, false FROM u""",
@@ -93,56 +195,44 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT verdict FROM {_screened("(SELECT text FROM documents)", 5000)} AS d),
         n AS (SELECT CASE WHEN verdict IS NULL THEN 'none' ELSE {_case("verdict", taxonomy.STAGE_OF, "unknown")} END AS stage, CASE WHEN verdict IS NULL THEN 'none' ELSE {_case("verdict", taxonomy.CATEGORY_OF, "uncategorized")} END AS category, coalesce(verdict, 'allowed') AS verdict FROM v)
         SELECT stage, category, verdict, count(*) AS n_messages FROM n GROUP BY ROLLUP (stage, category, verdict)""",
-    "offensive_sum": f"""WITH l AS (SELECT * FROM {_LABELS} AS q WHERE guard = 'offensive'), s AS (SELECT * FROM {inline.SCORES} AS x WHERE model IN (SELECT model FROM l)),
+    "offensive_sum": f"""WITH l AS (SELECT * FROM {_LABELS} AS q WHERE guard = 'offensive'), s AS (SELECT * FROM {_SCORES} AS x WHERE model IN (SELECT model FROM l)),
         m AS (SELECT s.*, coalesce(l.semantic, s.label) AS meaning FROM s LEFT JOIN l ON s.model = l.model AND s.label = l.raw_label),
         k AS (SELECT * FROM m WHERE (model, upper(meaning)) IN (SELECT (model, upper(semantic)) FROM l WHERE blocks)),
         t AS (SELECT msg_id, sum(score) AS total, arg_max(meaning, struct_pack(a := score, b := -ord)) FILTER (WHERE score > 0) AS label FROM k GROUP BY msg_id)
         SELECT i.msg_id, coalesce(total, 0.0) >= 0.60 AS triggered, label, CAST(coalesce(total, 0.0) AS DOUBLE) AS score FROM (SELECT DISTINCT msg_id FROM s) AS i LEFT JOIN t ON i.msg_id = t.msg_id""",
-    "injection_top": f"""WITH l AS (SELECT * FROM {_LABELS} AS q WHERE guard = 'injection'), s AS (SELECT *, upper(trim(label)) AS raw FROM {inline.SCORES} AS x WHERE model IN (SELECT model FROM l) AND ord = 0)
+    "injection_top": f"""WITH l AS (SELECT * FROM {_LABELS} AS q WHERE guard = 'injection'), s AS (SELECT *, upper(trim(label)) AS raw FROM {_SCORES} AS x WHERE model IN (SELECT model FROM l) AND ord = 0)
         SELECT msg_id, coalesce(semantic = 'MALICIOUS', false) AND score >= 0.85 AS triggered, coalesce(semantic, raw) AS label, score FROM s LEFT JOIN l ON s.model = l.model AND s.raw = l.raw_label""",
-    "label_reachability": f"""WITH l AS (SELECT * FROM {_LABELS} AS q), d AS (SELECT * FROM {inline.DECLARED} AS x)
+    "label_reachability": f"""WITH l AS (SELECT * FROM {_LABELS} AS q), d AS (SELECT * FROM {inline.DECLARED} AS x UNION ALL SELECT DISTINCT 'offensive', model, ord, label FROM {_SCORES} AS y WHERE model = '{inline.SEEN_MODEL}')
         SELECT guard, model, bool_or(EXISTS (SELECT 1 FROM l WHERE l.guard = d.guard AND l.model = d.model AND blocks AND (upper(raw_label) = upper(d.label) OR (d.guard = 'offensive' AND upper(semantic) = upper(d.label))))) AS reachable,
         string_agg(label, ',' ORDER BY idx) AS declared FROM d GROUP BY guard, model""",
-    "blocking_classes": f"SELECT guard, model, string_agg(DISTINCT CASE WHEN blocks THEN upper(semantic) END, ',' ORDER BY CASE WHEN blocks THEN upper(semantic) END) AS blocking, count(*) AS n_labels FROM {_LABELS} AS q GROUP BY guard, model",
-    "summary_changes": f"SELECT seq, summary FROM (SELECT *, lag(summary) OVER (ORDER BY seq) AS b, row_number() OVER (ORDER BY seq) AS n FROM {inline.LOG} AS q) AS t WHERE n = 1 OR summary IS DISTINCT FROM b",
-    "once_per_key": f"SELECT min(seq) AS seq, summary, model FROM {inline.LOG} AS q GROUP BY summary, model",
-    "rearm": f"SELECT seq, reason FROM (SELECT *, lag(reason) OVER (ORDER BY seq) AS b FROM {inline.LOG} AS q) AS t WHERE reason IS NOT NULL AND reason IS DISTINCT FROM b",
-    "turn_tokens": """WITH n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) % 1679616 AS k FROM conversations), a AS (SELECT '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS d)
-        SELECT conv_id, turn, d[k // 46656 % 36 + 1] || d[k // 1296 % 36 + 1] || d[k // 36 % 36 + 1] || d[k % 36 + 1] AS turn_token FROM n, a""",
-    "redact": f"SELECT id, regexp_replace(CASE WHEN token = '' THEN error ELSE replace(error, token, '[masked]') END, 'hf_[A-Za-z0-9]{{8,}}', '[masked]', 'g') AS error FROM {inline.ERRORS} AS e",
-    "access_marker": f"SELECT id, regexp_matches(lower(error), '401|403|gated|awaiting a review|not authorized|restricted|authenticated|access to model') AS access, regexp_matches(lower(error), '401|403|gated|awaiting a review|not authorized|restricted|authenticated|access to model') AS advised FROM {inline.ERRORS} AS e",
-    "cache_keys": f"""WITH k AS (SELECT *, CASE WHEN device = -1 THEN model ELSE model || '::device=' || device END AS key FROM {inline.ERRORS} AS e)
-        SELECT id, key, model, device, CASE WHEN key IN ('m/a', 'm/b') THEN '' ELSE key END AS stale FROM k""",
-    "contacts_parse": f"""WITH p AS (SELECT id, [trim(x) for x in regexp_split_to_array(raw, '[,\\n\\r]') if trim(x) <> ''] AS e FROM {inline.CONTACTS} AS c)
-        SELECT id, CAST(len(e) AS BIGINT) AS n, array_to_string(e, '|') AS entries, array_to_string(list_sort(list_distinct(list_append([lower(x) for x in e if contains(x, '@')], 'help@desk.org'))), '|') AS allowed FROM p""",
-    "policy_checks": """SELECT * FROM (VALUES (0, 'help_desk_email'), (1, 'public_service_contacts'), (2, 'public_service_contacts'), (3, ''), (4, 'input_phone_region'), (5, ''), (6, 'classifier_device'),
-        (7, 'max_message_chars'), (8, 'message_too_long'), (9, 'prompt_injection_classifier_threshold'), (10, 'offensive_input_classifier_model'), (11, '')) AS v(id, bad_fields)""",
-    "coverage_summary": """WITH p AS (SELECT * FROM (VALUES
-        (0, 1000, true, true, true, false, false, 'IT', 'cpu'), (1, 0, true, false, true, false, false, 'IT', 'cpu'), (2, 1000, false, false, true, false, false, 'IT', 'cpu'),
-        (3, 1000, false, true, false, false, true, 'IT', 'cpu'), (4, 1000, true, true, true, true, true, 'FR', 'gpu0'), (5, 1000, true, true, false, false, false, 'IT', 'cpu')) AS v(policy_id, lim, i, o, pat, ci, co, region, device)),
-        d AS (SELECT 'email+codice_fiscale+iban+phone' AS k, 'meta-llama/Llama-Prompt-Guard-2-86M' AS mi, 'IMSyPP/hate_speech_multilingual' AS mo)
-        SELECT CAST(policy_id AS BIGINT) AS policy_id,
-          concat_ws(', ', CASE WHEN lim > 0 THEN 'limits(max ' || lim || ' chars)' ELSE 'limits(disabled)' END,
-            CASE WHEN i OR o THEN 'privacy(' || CASE WHEN i THEN 'input=' || k || ', input_region=' || region ELSE 'input=disabled' END || ', ' || CASE WHEN o THEN 'output=' || k || ', output_region=IT' ELSE 'output=disabled' END || ')' ELSE 'privacy(disabled)' END,
-            CASE WHEN pat OR ci THEN 'security(' || concat_ws('+', CASE WHEN pat THEN 'patterns' END, CASE WHEN ci THEN 'classifier ' || mi || '@0.85' END) || ')' ELSE 'security(disabled)' END,
-            CASE WHEN co THEN 'tone(classifier ' || mo || '@0.60)' ELSE 'tone(disabled)' END) AS summary,
-          concat_ws(', ', CASE WHEN lim = 0 THEN 'limits' END, CASE WHEN NOT i AND NOT o THEN 'privacy' END, CASE WHEN NOT i AND o THEN 'privacy(input)' END, CASE WHEN i AND NOT o THEN 'privacy(output)' END, CASE WHEN NOT pat AND NOT ci THEN 'security' END) AS uncovered,
-          CASE WHEN lim = 0 OR NOT i OR NOT o OR NOT (pat OR ci) THEN 'WARNING' ELSE 'INFO' END AS level,
-          concat_ws('+', CASE WHEN lim > 0 THEN 'length' END, CASE WHEN pat THEN 'injection_patterns' END, CASE WHEN i THEN 'personal_data' END) AS checks,
-          concat_ws(',', CASE WHEN ci THEN mi END, CASE WHEN co THEN mo END) AS models,
-          device || '|' || concat_ws(',', CASE WHEN co THEN mo END, CASE WHEN ci THEN mi END) AS signature FROM p, d""",
+    "blocking_classes": f"""WITH l AS (SELECT * FROM {_LABELS} AS q), r AS (SELECT s.model, count(DISTINCT msg_id) AS n FROM {_SCORES} AS s JOIN l ON s.model = l.model AND s.label = l.raw_label WHERE blocks AND score >= 0.25 GROUP BY s.model)
+        SELECT guard, l.model, string_agg(DISTINCT CASE WHEN blocks THEN upper(semantic) END, ',' ORDER BY CASE WHEN blocks THEN upper(semantic) END) AS blocking, count(*) AS n_labels, coalesce(any_value(n), 0) AS n_messages FROM l LEFT JOIN r ON l.model = r.model GROUP BY guard, l.model""",
+    "summary_changes": f"SELECT 'all' AS scope, seq, summary FROM {_changes(_LOG, 'summary', 'seq')} AS a UNION ALL SELECT 'source', seq, summary FROM {_changes(_LOG, 'summary', 'seq', 'source')} AS b",
+    "once_per_key": f"SELECT min(seq) AS seq, summary, source FROM {_LOG} AS q GROUP BY summary, source",
+    "rearm": f"SELECT seq, reason FROM {_rearmed(_LOG, 'seq')} AS r",
+    "turn_tokens": f"SELECT conv_id, turn, {_token('k')} AS turn_token FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) AS n",
+    "redact": f"""SELECT doc_id, md5(regexp_replace(CASE WHEN token = '' THEN error ELSE replace(error, token, '[masked]') END, 'hf_[A-Za-z0-9]{{8,}}', '[masked]', 'g')) AS error_md5
+        FROM (SELECT CAST(-id AS BIGINT) AS doc_id, error, token FROM {inline.ERRORS} AS e UNION ALL SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 11 = 0 THEN ' hf_abcdEFGH0123' ELSE '' END, CASE WHEN doc_id % 2 = 0 THEN 'the' ELSE '' END FROM documents) AS x""",
+    "access_marker": f"SELECT doc_id, regexp_matches(lower(error), '{_MARKERS}') AS access, regexp_matches(lower(error), '{_MARKERS}') AS advised FROM {_ERRORS} AS e",
+    "cache_keys": """WITH k AS (SELECT 'm/' || event_type AS model, CAST(user_id % 3 - 1 AS INTEGER) AS device FROM events), y AS (SELECT *, CASE WHEN device = -1 THEN model ELSE model || '::device=' || device END AS key FROM k)
+        SELECT key, model, device, CASE WHEN key IN ('m/error', 'm/view') THEN '' ELSE key END AS stale, count(*) AS n FROM y GROUP BY ALL""",
+    "contacts_parse": f"""WITH c AS (SELECT doc_id, text AS raw FROM documents UNION ALL SELECT CAST(-id AS BIGINT), raw FROM {inline.CONTACTS} AS c),
+        p AS (SELECT doc_id, [y for y in [regexp_replace(x, '^{_SPACE}|{_SPACE}$', '', 'g') for x in regexp_split_to_array(coalesce(raw, ''), '[,\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]')] if y <> ''] AS e FROM c)
+        SELECT doc_id, CAST(len(e) AS BIGINT) AS n, md5(array_to_string(e, '|')) AS entries_md5, array_to_string(list_sort(list_distinct(list_append([lower(x) for x in e if contains(x, '@') AND length(x) < 80], 'help@desk.org'))), '|') AS allowed FROM p""",
+    "policy_checks": _policy_checks(),
+    "coverage_summary": f"""SELECT c.*, coalesce(n, 0) AS n_turns FROM ({_COVERAGE}) AS c LEFT JOIN
+        (SELECT policy_id, count(*) AS n FROM (SELECT conv_id * 1000 + turn AS k FROM conversations) AS a ASOF JOIN {_STARTS} AS s ON a.k >= s.k GROUP BY policy_id) AS h ON c.policy_id = h.policy_id""",
     "guard_log": f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM {_screened(_USER, 200)} AS q),
         e AS (SELECT verdict, CASE verdict WHEN 'message_length' THEN 'limits' WHEN 'prompt_injection' THEN 'security' WHEN 'personal_data' THEN 'privacy' END AS category,
           CASE verdict WHEN 'message_length' THEN 'length=' || length(text) || ' chars (limit 200)' WHEN 'prompt_injection' THEN 'detector=custom, pattern=' || pattern WHEN 'personal_data' THEN 'detected=' || kinds ELSE '' END AS detail,
           CASE WHEN verdict IS NULL THEN 'length+injection_patterns+personal_data' END AS checks, '000' || '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ'[k + 1] AS turn FROM s)
         SELECT CASE WHEN verdict IS NULL THEN 'input_allowed' ELSE 'input_blocked' END AS kind, 'INFO' AS level, 'input' AS stage, category, verdict, detail, checks, turn,
           concat_ws(', ', CASE WHEN verdict IS NULL THEN 'input allowed' ELSE 'input blocked' END, 'stage=input', 'category=' || category, 'verdict=' || verdict, nullif(detail, ''), 'checks=' || checks, 'turn=' || turn) AS line FROM e""",
-    "threshold_sweep": """WITH s AS (SELECT (doc_id * 37 % 101) / 100.0 AS score, toxic AS truth FROM labels), t AS (SELECT unnest([0.25, 0.5, 0.6, 0.85]) AS threshold)
+    "threshold_sweep": f"""WITH s AS (SELECT score, toxic AS truth FROM {_TONE} AS q), t AS (SELECT unnest([0.25, 0.5, 0.6, 0.85]) AS threshold)
         SELECT CAST(threshold AS DOUBLE) AS threshold, count(*) FILTER (WHERE score >= threshold AND truth = 1) AS true_refusals, count(*) FILTER (WHERE score >= threshold AND truth = 0) AS false_refusals,
         count(*) FILTER (WHERE score < threshold AND truth = 1) AS missed FROM s, t GROUP BY threshold""",
 }
 
-_COVERAGE = ORACLE_SQL["coverage_summary"]
 _GUARD, _TONE = "meta-llama/Llama-Prompt-Guard-2-86M", "IMSyPP/hate_speech_multilingual"
 _GATED, _FRAIL = "deepset/deberta-v3-base-injection", "textdetox/bert-multilingual-toxicity-classifier"
 
@@ -175,4 +265,26 @@ ORACLE_SQL |= {
         UNION ALL SELECT 'no_reply_configured', 'WARNING', 'input', 'message_length', '', count(*) FROM w WHERE verdict = 'message_length' HAVING count(*) > 0
         UNION ALL SELECT 'guards_active', level, NULL, NULL, summary || CASE WHEN uncovered <> '' THEN '; no guard covers: ' || uncovered ELSE '' END, count(*) FROM c WHERE b IS NULL OR b <> summary GROUP BY ALL
         UNION ALL SELECT 'settings_fallback', 'WARNING', NULL, NULL, 'reason=' || reason, count(*) FROM r GROUP BY ALL""",
+    "process_tokens": f"SELECT conv_id, turn, {_token('k')} AS turn_token FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS k FROM conversations) AS n",
+    "policy_in_force": _in_force(),
+    "policy_announcements": f"""WITH v AS ({_VERSIONS}), r AS (SELECT conv_id, turn, summary, CASE s.policy_id WHEN 2 THEN 'ValueError: max_message_chars: not a number of at least 0' WHEN 4 THEN 'no stored settings' END AS reason
+          FROM (SELECT conv_id, turn, conv_id * 1000 + turn AS k FROM conversations) AS a ASOF JOIN {_STARTS} AS s ON a.k >= s.k JOIN v ON s.policy_id = v.policy_id)
+        SELECT 'guards_active' AS kind, conv_id, turn, md5(summary) AS told FROM {_changes("r", "summary", "conv_id, turn")} AS a UNION ALL SELECT 'settings_fallback', conv_id, turn, md5(reason) FROM {_rearmed("r", "conv_id, turn")} AS b""",
+    "phone_kinds": " UNION ALL ".join(f"SELECT '{r}' AS region, * FROM ({phone_sql.found_numbers(f'(SELECT CAST(doc_id AS BIGINT) AS doc_id, text FROM {phone_sql.CASES} AS k UNION ALL SELECT doc_id, text FROM documents)', r)}) AS {r}" for r in ("IT", "US")),
+    "allowlist_tables": f"""WITH a AS (SELECT doc_id, {_addresses("text")} AS found FROM documents),
+        listed AS (SELECT unnest([x for x in found if length(x) % 2 = 0]) AS x FROM a UNION SELECT 'order' || l_orderkey || '.' || l_linenumber || '@example.org' FROM lineitem),
+        n AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(found) AS x FROM a) AS y WHERE x NOT IN (SELECT x FROM listed) GROUP BY doc_id),
+        lines AS (SELECT '+1' || (c_custkey % 700 + 200) || '555' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS x FROM customer),
+        p AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(string_split(numbers, ',')) AS x FROM ({_US}) AS u WHERE numbers <> '') AS y WHERE NOT ends_with(x, '5') AND x NOT IN (SELECT x FROM lines) GROUP BY doc_id)
+        SELECT a.doc_id, coalesce(n.n, 0) AS n_addresses, coalesce(p.n, 0) AS n_phones FROM a LEFT JOIN n ON a.doc_id = n.doc_id LEFT JOIN p ON a.doc_id = p.doc_id""",
+    "stream_announcements": f"""SELECT source, seq AS place, {_token("n")} AS token, n = 1 OR summary IS DISTINCT FROM b AS value_announced, reason IS NOT NULL AND reason IS DISTINCT FROM br AS reason_announced
+        FROM (SELECT *, row_number() OVER w AS n, lag(summary) OVER w AS b, lag(reason) OVER w AS br FROM {_LOG} AS q WINDOW w AS (PARTITION BY source ORDER BY seq)) AS t""",
+    "stream_bursts": """WITH e AS (SELECT user_id AS source, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 2 HOURS THEN 0 ELSE 1 END AS first FROM events WHERE event_type = 'error'),
+        b AS (SELECT *, sum(first) OVER (PARTITION BY source ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM e) SELECT source, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, count(*) AS n_events FROM b GROUP BY source, burst""",
+    "stream_log": f"""SELECT 'input' AS stage, kind, category, verdict, detail, count(*) AS n FROM (SELECT CASE WHEN verdict IS NULL THEN 'input_allowed' ELSE 'input_blocked' END AS kind, verdict,
+          CASE WHEN verdict IS NOT NULL THEN {_case("verdict", taxonomy.CATEGORY_OF, "uncategorized")} END AS category,
+          CASE verdict WHEN 'message_length' THEN 'length=' || length(text) || ' chars (limit 200)' WHEN 'prompt_injection' THEN 'detector=custom, pattern=' || pattern WHEN 'personal_data' THEN 'detected=' || kinds ELSE '' END AS detail FROM {_screened(_USER, 200)} AS q) AS e GROUP BY ALL""",
+    "verdict_tallies": f"""SELECT stage, category, verdict, count(*) AS n_messages, true AS agrees FROM (SELECT CASE WHEN verdict IS NULL THEN 'none' ELSE {_case("verdict", taxonomy.STAGE_OF, "unknown")} END AS stage,
+          CASE WHEN verdict IS NULL THEN 'none' ELSE {_case("verdict", taxonomy.CATEGORY_OF, "uncategorized")} END AS category, coalesce(verdict, 'allowed') AS verdict FROM {_screened(_USER, 200)} AS q) AS v GROUP BY ROLLUP (stage, category, verdict)""",
+    "tone_words": f"SELECT * FROM {_TONE_WORDS} AS t",
 }

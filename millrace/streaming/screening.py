@@ -30,3 +30,9 @@ def announced_once(events: DataFrame, keys: list[str], time: str = "ts", delay:
 def refusal_windows(events: DataFrame, width: str = "1 hour", time: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Refusals per tumbling window, stage and verdict; late rows count until the watermark passes."""
     return events.withWatermark(time, delay).groupBy(F.window(time, width), "stage", "verdict").agg(F.count("*").alias("n_events"))
+
+
+def refusal_bursts(events: DataFrame, gap: str = "10 minutes", time: str = "ts", delay: str = "1 hour", by: tuple[str, ...] = ("source",)) -> DataFrame:
+    """Runs of refusals of a source without a pause of ``gap``: their start, end and size. A late row joins or bridges its
+    neighbours until the watermark passes; a run is told once, when the watermark has passed its end."""
+    return events.withWatermark(time, delay).groupBy(F.session_window(time, gap), *by).agg(F.count("*").alias("n_events")).select(*by, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n_events")

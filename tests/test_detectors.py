@@ -146,8 +146,8 @@ def test_regions_and_numbers_abroad(spark):
     assert all(policy_errors({"input_phone_region": x}) for x in ("AQ", "ZZ", "ITA", ""))
     kinds = lambda region: F.transform(phone.numbers(F.col("text"), region), lambda x: x["kind"])
     texts = ["+48 22 123 45 67", "+39 12345678", "call 0221234567"]
-    assert _one(spark, texts, kinds("PL")) == [["unknown"], [], []]
-    assert _one(spark, texts, kinds("IT")) == [["unknown"], [], ["fixed_line"]]
+    assert _one(spark, texts, kinds("PL")) == [["fixed_line"], [], []]
+    assert _one(spark, texts, kinds("IT")) == [["fixed_line"], [], ["fixed_line"]]
 
 
 def test_folding_of_ascii_needs_no_hop(spark):

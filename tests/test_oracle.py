@@ -9,7 +9,7 @@ from millrace.plans.oracle import ORACLE_SQL
 from millrace.plans.queries import QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
-TABLES = "conversations documents labels benchmark".split()
+TABLES = "conversations documents labels benchmark events customer lineitem".split()
 
 
 @pytest.fixture(scope="module")
