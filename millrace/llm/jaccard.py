@@ -59,6 +59,8 @@ class JaccardJoin:
     size: int = 5
     num: int = 80
     den: int = 100
+    #: Bits of a set's first id. Fewer than 64 make ids of different sets collide, as a test of that.
+    id_bits: int = 64
 
 
 @dataclass(frozen=True)
@@ -170,11 +172,12 @@ def signatures(features: np.ndarray, join: JaccardJoin) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def set_ids(features: np.ndarray) -> tuple[int, int]:
-    """Two independent signed 64-bit ids of a set."""
+def set_ids(features: np.ndarray, join: JaccardJoin, clashing: frozenset[int] = frozenset()) -> tuple[int, int]:
+    """Two independent signed 64-bit ids of a set. Where the first is one that ``clashing`` sets share, both make it up."""
     data = features.tobytes()
-    a, b = xxhash.xxh3_128_intdigest(data) >> 64, xxhash.xxh64_intdigest(data, 7)
-    return a - 2**64 * (a >> 63), b - 2**64 * (b >> 63)
+    a, b = (xxhash.xxh3_128_intdigest(data) >> 64) >> (64 - join.id_bits), xxhash.xxh64_intdigest(data, 7)
+    a, b = a - 2**64 * (a >> 63), b - 2**64 * (b >> 63)
+    return (a ^ b if a in clashing else a), b
 
 
 def sketch(features: np.ndarray) -> bytes:
@@ -205,7 +208,7 @@ def set_table(documents: DataFrame, join: JaccardJoin) -> DataFrame:
         if not len(f):
             return doc, 0, None, None, None, None
         cells = sketch(f)
-        return doc, len(f), *set_ids(f), folded(cells, SKETCH_BYTES).tobytes(), cells
+        return doc, len(f), *set_ids(f, join), folded(cells, SKETCH_BYTES).tobytes(), cells
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,7 +218,24 @@ def set_table(documents: DataFrame, join: JaccardJoin) -> DataFrame:
     return documents.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_id bigint, check bigint, sketch binary, cells binary")
 
 
-def signature_rows(documents: DataFrame, join: JaccardJoin) -> DataFrame:
+#: Ids that sets share by chance: n * n / 2**65 are expected, three among ten billion sets.
+MOST_CLASHES = 100_000
+
+
+def apart(sets: DataFrame) -> tuple[DataFrame, frozenset[int]]:
+    """``sets`` (set_id, check, ...) with another id for sets that share theirs with a different set, and the shared ids."""
+    shared = sets.filter("set_id is not null").groupBy("set_id").agg(F.min("check").alias("low"), F.max("check").alias("high")).filter("low <> high")
+    found = frozenset(r.set_id for r in shared.select("set_id").limit(MOST_CLASHES + 1).collect())
+    if len(found) > MOST_CLASHES:
+        raise RuntimeError("far more sets share an id than chance allows")
+    if not found:
+        return sets, found
+    clash = F.broadcast(shared.select(F.col("set_id").alias("_shared")))
+    joined = sets.join(clash, F.col("set_id") == F.col("_shared"), "left")
+    return joined.withColumn("set_id", F.when(F.col("_shared").isNull(), F.col("set_id")).otherwise(F.col("set_id").bitwiseXOR(F.col("check")))).drop("_shared"), found
+
+
+def signature_rows(documents: DataFrame, join: JaccardJoin, clashing: frozenset[int] = frozenset()) -> DataFrame:
     """(sig, set_id), once per batch of texts: copies and hot signatures shrink before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +244,7 @@ def signature_rows(documents: DataFrame, join: JaccardJoin) -> DataFrame:
             sigs: list[np.ndarray] = []
             owners: list[np.ndarray] = []
             for _, f in _sets(batch, join.size):
-                if len(f) == 0 or (own := set_ids(f)[0]) in seen:
+                if len(f) == 0 or (own := set_ids(f, join, clashing)[0]) in seen:
                     continue
                 seen.add(own)
                 s = signatures(f, join)
@@ -286,12 +306,12 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
     return rows.repartition(n, "sig").sortWithinPartitions("sig", "set_id").mapInArrow(run, "sig bigint, set_id bigint, hub bigint")
 
 
-def set_contents(documents: DataFrame, join: JaccardJoin) -> DataFrame:
+def set_contents(documents: DataFrame, join: JaccardJoin, clashing: frozenset[int] = frozenset()) -> DataFrame:
     """(set_id, features) of ``documents``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(set_ids(f)[0], f.tobytes()) for _, f in _sets(batch, join.size) if len(f)]
+            rows = [(set_ids(f, join, clashing)[0], f.tobytes()) for _, f in _sets(batch, join.size) if len(f)]
             for a in range(0, len(rows), 1000):
                 ids, features = zip(*rows[a : a + 1000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(features, pa.binary())], names=["set_id", "features"])
@@ -402,10 +422,9 @@ def jaccard_components(documents: DataFrame, join: JaccardJoin = JaccardJoin())
     narrow = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with Scratch(narrow.sparkSession) as scratch:
         sets = scratch.keep(set_table(narrow, join), "sets")
-        classes = scratch.keep(sets.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("class_id"), F.min("check").alias("low"), F.max("check").alias("high")), "classes")
-        if classes.filter("low <> high").limit(1).count():
-            raise RuntimeError("two different sets have one 64-bit id; change the seed of set_ids")
-        members = scratch.keep(shared_signatures(signature_rows(narrow, join)), "members")
+        sets, clashing = apart(sets)
+        classes = scratch.keep(sets.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("class_id")), "classes")
+        members = scratch.keep(shared_signatures(signature_rows(narrow, join, clashing)), "members")
         contents = sets.select("set_id", F.col("n_shingles").alias("n"), "sketch", "cells").join(members.select("set_id").distinct(), "set_id", "left_semi")
         contents = scratch.keep(contents.dropDuplicates(["set_id"]), "contents")
 
@@ -414,7 +433,7 @@ def jaccard_components(documents: DataFrame, join: JaccardJoin = JaccardJoin())
                 near = only_ids(contents, scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "ends"), "set_id")
                 pairs = scratch.keep(possible(pairs, near.select("set_id", "n", F.col(name).alias("cells")), join), "pairs")
             ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(classes, "set_id")
-            features = set_contents(only_ids(narrow, scratch.keep(ends.select(F.col("class_id").alias("doc_id")).distinct(), "ends"), "doc_id"), join)
+            features = set_contents(only_ids(narrow, scratch.keep(ends.select(F.col("class_id").alias("doc_id")).distinct(), "ends"), "doc_id"), join, clashing)
             features = scratch.keep(features.dropDuplicates(["set_id"]), "features")
             return scratch.keep(verified(pairs, features, join), "links")
 

@@ -142,17 +142,19 @@ def default_rules() -> tuple[Rule, ...]:
     """The rules in order: texts, then each family's tag, reference and name, then Creative Commons."""
     rules = [Rule(*t) for t in TEXTS]
     leads = r"(?:(?:licen[cs]ed|released|distributed|available|provided|published|covered|governed)(?: to you)? (?:under|by)(?: the)?(?: terms(?: and conditions)? of(?: the)?)? )"
+    # a tag ends where its signs end; a name ends a word, and a version does not go on
+    tag_ends, name_ends = r"(?![\w+-]|\.\w)", r"(?!\w|\.\d)"
     for n, (label, keyword, name, tag) in enumerate(FAMILIES):
-        rules.append(Rule(f"{tag}-tag", label, "spdx-license-identifier", rf"spdx-license-identifier:\s*{tag.replace('.', '[.]')}(?:-only|-or-later)?", 3))
-        rules.append(Rule(f"{tag}-reference-{n}", label, keyword, rf"\b{leads}{name}(?: licen[cs]e)?", 3))
-        rules.append(Rule(f"{tag}-name-{n}", label, keyword, rf"\b{name}(?: licen[cs]e)" if label in ("mit", "isc", "zlib") else rf"\b{name}", 2))
+        rules.append(Rule(f"{tag}-tag", label, "spdx-license-identifier", rf"spdx-license-identifier:\s*{tag.replace('.', '[.]')}(?:-only|-or-later)?{tag_ends}", 3))
+        rules.append(Rule(f"{tag}-reference-{n}", label, keyword, rf"\b{leads}{name}(?: licen[cs]e)?{name_ends}", 3))
+        rules.append(Rule(f"{tag}-name-{n}", label, keyword, rf"\b{name}(?: licen[cs]e){name_ends}" if label in ("mit", "isc", "zlib") else rf"\b{name}{name_ends}", 2))
     for suffix, long_form in CC_ELEMENTS:
         short = suffix.replace("-", "[- ]")
         for version in CC_VERSIONS:
             v = version.replace(".", r"\.")
-            rules.append(Rule(f"cc-{suffix}-{version}", f"cc-{suffix}-{version}", "cc", rf"\bcc[- ]{short}[- ]v?{v}", 3))
-            rules.append(Rule(f"cc-{suffix}-{version}-long", f"cc-{suffix}-{version}", "commons", rf"creative commons {long_form} (?:licen[cs]e )?{v}", 3))
-            rules.append(Rule(f"cc-{suffix}-{version}-url", f"cc-{suffix}-{version}", "creativecommons.org", rf"creativecommons\.org/licenses/{suffix}/{v}", 3))
+            rules.append(Rule(f"cc-{suffix}-{version}", f"cc-{suffix}-{version}", "cc", rf"\bcc[- ]{short}[- ]v?{v}{name_ends}", 3))
+            rules.append(Rule(f"cc-{suffix}-{version}-long", f"cc-{suffix}-{version}", "commons", rf"creative commons {long_form} (?:licen[cs]e )?{v}{name_ends}", 3))
+            rules.append(Rule(f"cc-{suffix}-{version}-url", f"cc-{suffix}-{version}", "creativecommons.org", rf"creativecommons\.org/licenses/{suffix}/{v}{name_ends}", 3))
         rules.append(Rule(f"cc-{suffix}-any", f"cc-{suffix}", "cc", rf"\bcc[- ]{short}\b(?![- ](?:nc|nd|sa|v?\d))", 2))
     return tuple(rules)
 

@@ -44,6 +44,7 @@ class Propagation:
     keep_every: int = 6
     tolerance: float = 0.001
     block_share: float = 0.5
+    least_distrust: float = 0.02
 
 
 def url_host(url: Column) -> Column:
@@ -140,16 +141,20 @@ def host_verdicts(ruled: DataFrame, edges: DataFrame, scratch: Scratch, conf: Pr
     )
     seen = scratch.keep(seen.withColumn("marked", F.col("host").rlike(term)), "hosts")
 
-    def seeds(good: bool) -> DataFrame:
+    def seeds(good: bool) -> tuple[DataFrame, float]:
         mass = F.when(F.col("marked"), F.lit(0.0 if good else 1.0)).otherwise((F.col("allowed") if good else F.col("blocked")) / F.col("n"))
         raw = seen.select("host", mass.alias("mass")).filter(F.col("mass") > 0)
-        return scratch.keep(raw.withColumn("mass", F.col("mass") / F.lit(_sum(raw, F.col("mass")) or 1.0)), "seeds")
+        total = _sum(raw, F.col("mass"))
+        return scratch.keep(raw.withColumn("mass", F.col("mass") / F.lit(total or 1.0)), "seeds"), total
 
     backwards = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    trust = personalised_rank(edges, seeds(True), conf, scratch).select("host", F.col("rank").alias("trust"))
-    distrust = personalised_rank(backwards, seeds(False), conf, scratch).select("host", F.col("rank").alias("distrust"))
+    (trusted, all_trust), (blocked, all_distrust) = seeds(True), seeds(False)
+    trust = personalised_rank(edges, trusted, conf, scratch).select("host", F.col("rank").alias("trust"))
+    distrust = personalised_rank(backwards, blocked, conf, scratch).select("host", F.col("rank").alias("distrust"))
     both = trust.join(distrust, "host", "full").na.fill(0.0, ["trust", "distrust"])
-    bad = F.col("distrust") > conf.block_share * (F.col("trust") + F.col("distrust"))
+    # in units of one seed, so that a host's verdict does not turn with the number of seeds elsewhere
+    good, ill = F.col("trust") * all_trust, F.col("distrust") * all_distrust
+    bad = (ill >= conf.least_distrust) & (ill > conf.block_share * (good + ill))
     return both.withColumn("host_verdict", F.when(bad, "block").otherwise("allow"))
 
 
