@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import base36, redact, remediation, threshold_text
+from ..functions.text import base36, latency_text, redact, remediation, threshold_text
 from ..sources.policy import DEVICES, Policy, access_token
 from . import scoring
 from .scans import differs, scanned
@@ -94,8 +94,9 @@ def coverage(policies: DataFrame) -> DataFrame:
     )
 
 
-def guard_events(screened: DataFrame, stage: str, checks: Column | str | None = None, turn: Column | None = None) -> DataFrame:
-    """One row per screened message. The schema holds no message text. Without ``checks``, those that ran."""
+def guard_events(screened: DataFrame, stage: str, checks: Column | str | None = None, turn: Column | None = None, latency: Column | None = None) -> DataFrame:
+    """One row per screened message. The schema holds no message text. Without ``checks``, those that ran. With ``latency``
+    (milliseconds), a column latency_ms: one digit for inference, two for anything faster than a millisecond."""
     blocked = F.col("verdict").isNotNull()
     ran = F.array_join("checks", "+") if checks is None else checks if isinstance(checks, Column) else F.lit(checks)
     source = F.when(F.col("answered"), "reply=elsewhere").otherwise("") if "answered" in screened.columns else F.lit("")
@@ -108,6 +109,7 @@ def guard_events(screened: DataFrame, stage: str, checks: Column | str | None =
         F.when(blocked, F.col("detail")).otherwise(source).alias("detail"),
         F.when(blocked, F.lit(None).cast("string")).otherwise(F.coalesce(F.nullif(ran, F.lit("")), F.lit("none"))).alias("checks"),
         turn_or_none(turn if turn is not None else F.lit(None).cast("string")).alias("turn"),
+        *([F.when(latency >= 1, latency_text(latency, inference=True)).otherwise(latency_text(latency)).alias("latency_ms")] if latency is not None else []),
     )
 
 
@@ -171,6 +173,11 @@ def runtime_events(log: DataFrame) -> DataFrame:
     return _event_rows(log, F.col("kind"), F.when(failed, "WARNING").otherwise("INFO"), detail)
 
 
+def model_events(screened: DataFrame) -> DataFrame:
+    """What the tasks of a screening did with models: loads, failures, reuses and releases, a row each."""
+    return runtime_events(screened.select(F.explode("model_log").alias("e")).select("e.*"))
+
+
 _warmed: set[tuple] = set()
 
 

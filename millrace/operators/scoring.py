@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import threading
+import time
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -14,7 +16,9 @@ from pyspark.sql.types import StructField, StructType
 from ..functions.text import clean_label, redact_plain
 
 SCORES = "array<struct<label:string,score:double>>"
-RUN = f"ran boolean, error_kind string, error string, scores {SCORES}"
+RUN = f"ran boolean, error_kind string, error string, scores {SCORES}, ms double, log array<struct<kind:string,model:string,detail:string>>"
+#: A model gets this many texts at once, and of each the tokens it can read: its own window below this many, else this many.
+TEXTS_PER_CALL, MOST_TOKENS = 64, 512
 #: A task waits this long for another one that loads the same model, then passes its messages on.
 LOAD_WAIT_SECONDS = 5.0
 _guard = threading.Lock()
@@ -78,6 +82,14 @@ def runtime_log() -> list[tuple[str, str, str]]:
     return list(_log)
 
 
+def drained_log() -> list[tuple[str, str, str]]:
+    """What happened to models in this process since the last time this was asked."""
+    found = []
+    while _log:
+        found.append(_log.popleft())
+    return found
+
+
 def release_models(active: set[str]) -> list[str]:
     """Drop models that no policy uses any more; returns their keys."""
     gone = sorted(set(_models) - active)
@@ -88,13 +100,26 @@ def release_models(active: set[str]) -> list[str]:
     return gone
 
 
+def token_bound(model: object) -> int:
+    """Tokens of a text that a model is given, from the ``window`` it declares."""
+    window = getattr(model, "window", None)
+    return window if isinstance(window, int) and 0 < window < MOST_TOKENS else MOST_TOKENS
+
+
+def cut_to(text: str, bound: int) -> str:
+    """The first ``bound`` words. A model's tokens are words or parts of them, so none that it can read is lost."""
+    found = re.match(rf"\s*(?:\S+\s+){{{bound - 1}}}\S+", text)
+    return found.group() if found else text
+
+
 def _run_texts(texts: list[str | None], key: str, load: Loader, token: str = "") -> list[tuple]:
-    """(ran, error_kind, error, scores) of each text. Null texts were not asked about; blank ones need no model.
+    """(ran, error_kind, error, scores, milliseconds) of each text. Null texts were not asked about; blank ones need no model.
 
-    The model gets all texts at once. If that fails, each is tried alone, so that one message does not cost the others
-    their check; of a model's own failure only the class is kept, as its text may quote the message.
+    The model gets texts by the call, each cut to what it reads. If a call fails, each of its texts is tried alone, so that
+    one message does not cost the others their check; of a model's own failure only the class is kept, as its text may
+    quote the message. The time of a call is shared among its texts.
     """
-    out: list[tuple] = [(t is not None, None, None, []) for t in texts]
+    out: list[tuple] = [(t is not None, None, None, [], None) for t in texts]
     asked = [n for n, t in enumerate(texts) if t is not None and t.strip()]
     if not asked:
         return out
@@ -102,42 +127,51 @@ def _run_texts(texts: list[str | None], key: str, load: Loader, token: str = "")
         model = model_of(key, load, token)
     except ScorerUnavailable as e:
         for n in asked:
-            out[n] = (False, "load", str(e), [])
+            out[n] = (False, "load", str(e), [], None)
         return out
+    bound = token_bound(model)
 
-    def one(result) -> list[dict]:
-        return [{"label": a, "score": b} for a, b in normalize_scores(result)]
-
-    try:
-        results = list(model([texts[n] for n in asked]))
-        if len(results) != len(asked):
+    def call(some: list[int]) -> list[tuple]:
+        began = time.perf_counter()
+        results = list(model([cut_to(texts[n], bound) for n in some]))
+        if len(results) != len(some):
             raise ValueError("a result for each text is needed")
-        got = [(True, None, None, one(r)) for r in results]
-    except Exception:  # noqa: BLE001  found out text by text
-        got = []
-        for n in asked:
-            try:
-                got.append((True, None, None, one(model([texts[n]])[0])))
-            except Exception as e:  # noqa: BLE001  a model's own failure passes the message on
-                got.append((False, "inference", type(e).__name__, []))
-    for n, g in zip(asked, got, strict=True):
-        out[n] = g
+        each = (time.perf_counter() - began) * 1000 / len(some)
+        return [(True, None, None, [{"label": a, "score": b} for a, b in normalize_scores(r)], each) for r in results]
+
+    for at in range(0, len(asked), TEXTS_PER_CALL):
+        some = asked[at : at + TEXTS_PER_CALL]
+        try:
+            got = call(some)
+        except Exception:  # noqa: BLE001  found out text by text
+            got = []
+            for n in some:
+                try:
+                    got += call([n])
+                except Exception as e:  # noqa: BLE001  a model's own failure passes the message on
+                    got.append((False, "inference", type(e).__name__, [], None))
+        for n, g in zip(some, got, strict=True):
+            out[n] = g
     return out
 
 
-def scored(frame: DataFrame, text: Column, key: str, load: Loader, token: str = "") -> DataFrame:
-    """Adds _run: struct(ran, error_kind, error, scores) of a text; null texts never reach the model.
+def scored(frame: DataFrame, text: Column, key: str, load: Loader, token: str = "", active: frozenset[str] | None = None) -> DataFrame:
+    """Adds _run: struct(ran, error_kind, error, scores, ms, log) of a text; null texts never reach the model.
 
-    The other columns pass through as Arrow batches, unread.
+    The other columns pass through as Arrow batches, unread. A task first releases the models of its process that are not
+    among the ``active`` keys. What happens to models comes back in ``log``, in one row of each batch.
     """
     columns = frame.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.struct([("ran", pa.bool_()), ("error_kind", pa.string()), ("error", pa.string()), ("scores", pa.list_(pa.struct([("label", pa.string()), ("score", pa.float64())])))])
+        kind = pa.struct([("ran", pa.bool_()), ("error_kind", pa.string()), ("error", pa.string()), ("scores", pa.list_(pa.struct([("label", pa.string()), ("score", pa.float64())]))), ("ms", pa.float64()), ("log", pa.list_(pa.struct([(n, pa.string()) for n in ("kind", "model", "detail")])))])
         names = [f.name for f in kind]
+        if active is not None:
+            release_models(set(active))
         for batch in batches:
             rows = _run_texts(batch.column(len(columns)).to_pylist(), key, load, token)
-            found = pa.array([dict(zip(names, r, strict=True)) for r in rows], kind)
+            logs = [[dict(zip(("kind", "model", "detail"), x, strict=True)) for x in drained_log()] if n == 0 else [] for n in range(len(rows))]
+            found = pa.array([dict(zip(names, (*r, x), strict=True)) for r, x in zip(rows, logs, strict=True)], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*columns, "_run"])
 
     asked = frame.withColumn("_asked", text)

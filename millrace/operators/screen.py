@@ -24,6 +24,7 @@ INPUT_CHECKS: tuple[tuple[str, Check], ...] = (
 
 #: The classifiers after the checks, in order: (guard, policy fields, verdict, name among the checks that ran).
 CLASSIFIERS = (("injection", "prompt_injection", PROMPT_INJECTION, "injection_classifier"), ("offensive", "offensive_input", OFFENSIVE_INPUT, "offensive_input"))
+MODEL_LOG = "array<struct<kind:string,model:string,detail:string>>"
 FAILURES = "array<struct<guard:string,model:string,error_kind:string,error:string>>"
 
 
@@ -82,7 +83,7 @@ def _finish(checked: DataFrame, policy: Policy, keep: list[str]) -> DataFrame:
     blocked = F.col("verdict").isNotNull()
     return replied.select(
         *keep, "verdict", F.when(blocked, stage_of(F.col("verdict"))).alias("verdict_stage"), F.when(blocked, category_of(F.col("verdict"))).alias("category"), "kinds", "phone_types", "pattern",
-        F.when(blocked, F.col("detail")).otherwise("").alias("detail"), "reply", "checks", "failures", "answered", F.when(~blocked, F.col("_found")).alias("silent_verdict"),
+        F.when(blocked, F.col("detail")).otherwise("").alias("detail"), "reply", "checks", "failures", "answered", "inference_ms", "model_log", F.when(~blocked, F.col("_found")).alias("silent_verdict"),
     )
 
 
@@ -105,6 +106,8 @@ def classified(checked: DataFrame, policy: Policy, load: scoring.Loader | None =
     An Arrow pass for each classifier that the policy turns on; rows that it is not asked about cost no inference.
     """
     device = DEVICES[policy.classifier_device]
+    key_of = lambda model: model if device < 0 else f"{model}::device={device}"
+    active = frozenset(key_of(getattr(policy, f"{p}_classifier_model")) for _, p, _, _ in CLASSIFIERS if getattr(policy, f"detect_{p}_classifier"))
     out = checked
     for guard, prefix, verdict, name in CLASSIFIERS:
         if not getattr(policy, f"detect_{prefix}_classifier"):
@@ -112,8 +115,7 @@ def classified(checked: DataFrame, policy: Policy, load: scoring.Loader | None =
         model, threshold = getattr(policy, f"{prefix}_classifier_model"), getattr(policy, f"{prefix}_classifier_threshold")
         meaning = {r[2]: r[3] for r in LABELS if r[0] == guard and r[1] == model}
         asked = F.when(F.col("verdict").isNull() & ~F.col("answered"), F.col("_text"))
-        key = model if device < 0 else f"{model}::device={device}"
-        out = scoring.scored(out.drop("_run", "_decision"), asked, key, load or _unavailable, access_token(policy) or "")
+        out = scoring.scored(out.drop("_run", "_decision"), asked, key_of(model), load or _unavailable, access_token(policy) or "", active)
         scores = F.col("_run.scores")
         decision = scoring.first_row(scores, meaning, threshold) if guard == "injection" else scoring.decide_row(scores, list(blocking_labels(guard, model)), meaning, threshold)
         out = out.withColumn("_decision", decision)
@@ -125,6 +127,8 @@ def classified(checked: DataFrame, policy: Policy, load: scoring.Loader | None =
                 "verdict": F.coalesce("verdict", F.when(hit, verdict)),
                 "detail": F.when(hit, told).otherwise(F.col("detail")),
                 "checks": F.when(F.col("_run.ran"), F.concat("checks", F.array(F.lit(name)))).otherwise(F.col("checks")),
+                "inference_ms": F.when(F.col("_run.ms").isNull(), F.col("inference_ms")).otherwise(F.coalesce("inference_ms", F.lit(0.0)) + F.col("_run.ms")),
+                "model_log": F.concat("model_log", "_run.log"),
                 "failures": F.when(F.col("_run.error_kind").isNotNull(), F.concat("failures", F.array(failure))).otherwise(F.col("failures")),
             }
         )
@@ -140,7 +144,7 @@ def screen_input(messages: DataFrame, policy: Policy = Policy(), checks: tuple[t
     ready = prepared(messages, policy, "input")
     checked = ready.withColumn("verdict", first_verdict([c(policy) for _, c in checks])).withColumn("detail", detail(policy))
     names = F.array(*[F.lit(n) for n in checks_of(policy, "input")]).cast("array<string>")
-    checked = checked.withColumns({"checks": names, "failures": F.array().cast(FAILURES), "answered": F.coalesce(answered, F.lit(False)) if answered is not None else F.lit(False)})
+    checked = checked.withColumns({"checks": names, "failures": F.array().cast(FAILURES), "answered": F.coalesce(answered, F.lit(False)) if answered is not None else F.lit(False), "inference_ms": F.lit(None).cast("double"), "model_log": F.array().cast(MODEL_LOG)})
     return _finish(classified(checked, policy, load), policy, messages.columns)
 
 
@@ -149,7 +153,7 @@ def screen_output(messages: DataFrame, policy: Policy = Policy()) -> DataFrame:
     ready = prepared(messages, policy, "output")
     checked = ready.withColumn("verdict", detect.personal_data_verdict(F.col("kinds"), OUTPUT_PERSONAL_DATA)).withColumn("detail", detail(policy))
     names = F.array(*[F.lit(n) for n in checks_of(policy, "output")]).cast("array<string>")
-    return _finish(checked.withColumns({"checks": names, "failures": F.array().cast(FAILURES), "answered": F.lit(False)}), policy, messages.columns)
+    return _finish(checked.withColumns({"checks": names, "failures": F.array().cast(FAILURES), "answered": F.lit(False), "inference_ms": F.lit(None).cast("double"), "model_log": F.array().cast(MODEL_LOG)}), policy, messages.columns)
 
 
 def replace_refused(screened: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ unlabelled ones. Several labels of a document: any toxic one counts.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -81,3 +83,37 @@ def as_labels(scores: DataFrame, model: str, shares: tuple[tuple[str, float, flo
     a + b * tone to each label, in the model's order."""
     rows = F.array(*[F.struct(F.lit(n).alias("ord"), F.lit(label).alias("label"), (F.lit(a) + F.lit(b) * F.col("score")).alias("score")) for n, (label, a, b) in enumerate(shares)])
     return scores.select("msg_id", F.explode(rows).alias("r")).select("msg_id", F.lit(model).alias("model"), "r.ord", "r.label", "r.score")
+
+
+class ToneModel:
+    """The weights of all folds as a model for the classifier pass: texts → scores in a label space."""
+
+    def __init__(self, weights: dict[str, int], shares: tuple[tuple[str, float], ...]):
+        self.weights, self.shares = weights, shares
+
+    def __call__(self, texts: list[str]) -> list[list[dict]]:
+        out = []
+        for text in texts:
+            points = sum(self.weights.get(w, 0) for w in set(_WORDS.findall(text.lower())))
+            score = points / (points + HALF)
+            out.append([{"label": label, "score": score * share} for label, share in self.shares])
+        return out
+
+
+_WORDS = re.compile(WORD)
+
+
+def tone_loader(weights: DataFrame, spaces: dict[str, tuple[tuple[str, float], ...]]) -> Callable[[str], ToneModel]:
+    """A loader of tone models: ``spaces`` gives (label, share of the score) for each model's key. The weights travel with the
+    task, so they are bounded by ``BROADCAST_WEIGHTS``; a key without a space is a model that fails to load."""
+    rows = weights.filter("fold = -1").select("word", "weight").limit(BROADCAST_WEIGHTS + 1).collect()
+    if len(rows) > BROADCAST_WEIGHTS:
+        raise ValueError(f"more than {BROADCAST_WEIGHTS} weights; raise least_documents or least_weight")
+    table = {r.word: r.weight for r in rows}
+
+    def load(key: str) -> ToneModel:
+        if key not in spaces:
+            raise RuntimeError("401 gated hf_abcdefgh12345678")
+        return ToneModel(table, spaces[key])
+
+    return load

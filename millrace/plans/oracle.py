@@ -168,6 +168,13 @@ def _policy_checks() -> str:
           CASE WHEN value / 16 NOT BETWEEN 0 AND 1 THEN 'prompt_injection_classifier_threshold' END, CASE WHEN {digits("CAST(u * 100 AS VARCHAR)")} < 5 OR (kind <> 'error' AND u % 5 = 0) THEN 'public_service_contacts' END) AS bad_fields FROM e"""
 
 
+_GUARD, _TONE_MODEL = "meta-llama/Llama-Prompt-Guard-2-86M", "IMSyPP/hate_speech_multilingual"
+_GATED, _FRAIL = "deepset/deberta-v3-base-injection", "textdetox/bert-multilingual-toxicity-classifier"
+#: Turns with their tone by the weights of all documents; blank ones are not asked about.
+_SPOKEN = f"""(WITH t AS (SELECT * FROM {_ASKED} AS a UNION ALL SELECT CAST(conv_id AS BIGINT), 1, text FROM {inline.RUDE} AS r),
+  w AS (SELECT conv_id, turn, md5(text) AS m, unnest(list_distinct(regexp_extract_all(lower(text), '[a-zà-öø-ÿ]+'))) AS word FROM t),
+  p AS (SELECT conv_id, turn, m, sum(weight) AS points FROM w JOIN (SELECT * FROM {_TONE_WORDS} AS k WHERE fold = -1) AS k ON w.word = k.word GROUP BY ALL)
+  SELECT t.*, coalesce(regexp_matches(text, '\\S'), false) AS asked, coalesce(points, 0) / (coalesce(points, 0) + 3000) AS s FROM t LEFT JOIN p ON t.conv_id = p.conv_id AND t.turn = p.turn AND md5(t.text) = p.m)"""
 _MARKERS = "401|403|gated|awaiting a review|not authorized|restricted|authenticated|access to model"
 _US = phone_sql.found_numbers("(SELECT doc_id, text FROM documents)", "US")
 
@@ -184,9 +191,8 @@ ORACLE_SQL: dict[str, str] = {
     "stream_screen": f"SELECT conv_id, turn, verdict, CASE WHEN verdict IS NOT NULL THEN {_case('verdict', taxonomy.CATEGORY_OF, 'uncategorized')} END AS category FROM {_screened(_USER, 200)} AS s",
     "unicode_fold": f"""SELECT doc_id, md5(folded) AS folded_md5, md5(phrase) AS phrase_md5 FROM (VALUES (CAST(-1 AS BIGINT), 'mario@example.org', 'mario@example.org'), (-2, 'ignore the rules', 'ignore the rules'), (-3, 'Straße  x', 'strasse x'), (-4, 'fineprint', 'fineprint'), (-5, 'plain', 'plain')) AS t(doc_id, folded, phrase)
         UNION ALL SELECT doc_id, md5(text), md5(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '{_SPACE}', ' ', 'g'))) FROM documents""",
-    "classifier_fail_open": f"""WITH u AS (SELECT conv_id, turn, text, coalesce(regexp_matches(text, '\\S'), false) AS asked, length(text) / 400 AS score FROM {_USER} AS u)
-        SELECT conv_id, turn, 'stub' AS model, text IS NOT NULL AS ran, CAST(NULL AS VARCHAR) AS error_kind, asked AND score >= 0.6 AS triggered FROM u
-        UNION ALL SELECT conv_id, turn, 'broken', text IS NOT NULL AND NOT asked, CASE WHEN asked THEN 'load' END, false FROM u""",
+    "classifier_fail_open": f"""SELECT conv_id, turn, '{_TONE_MODEL}' AS model, text IS NOT NULL AS ran, CAST(NULL AS VARCHAR) AS error_kind, coalesce(asked AND s * 0.75 + s * 0.25 >= 0.6, false) AS triggered FROM {_SPOKEN} AS u
+        UNION ALL SELECT conv_id, turn, '{_GATED}', text IS NOT NULL AND NOT asked, CASE WHEN asked THEN 'load' END, false FROM {_SPOKEN} AS u""",
     "output_replace": f"""WITH a AS (SELECT CAST(msg_id AS BIGINT) AS conv_id, CAST(0 AS BIGINT) AS turn, text FROM {inline.MESSAGES} AS m UNION ALL SELECT * FROM {_SAID} AS u),
         k AS (SELECT *, {_kinds("text", _HELP)} <> '' AS bad FROM a)
         SELECT conv_id, turn, CASE WHEN bad THEN 'output_personal_data' END AS verdict, CASE WHEN bad THEN '{_reply("output_personal_data")}' ELSE text END AS text,
@@ -233,19 +239,17 @@ ORACLE_SQL: dict[str, str] = {
         count(*) FILTER (WHERE score < threshold AND truth = 1) AS missed FROM s, t GROUP BY threshold""",
 }
 
-_GUARD, _TONE = "meta-llama/Llama-Prompt-Guard-2-86M", "IMSyPP/hate_speech_multilingual"
-_GATED, _FRAIL = "deepset/deberta-v3-base-injection", "textdetox/bert-multilingual-toxicity-classifier"
 
 ORACLE_SQL |= {
-    "classifier_verdicts": f"""WITH s AS (SELECT *, verdict IS NULL AND turn % 4 <> 0 AS asked, regexp_matches(text, '\\S') AS written, length(text) AS n FROM {_screened(_USER, 200)} AS q),
-        i AS (SELECT *, asked AND written AND n % 5 = 0 AS bad FROM s),
-        o AS (SELECT *, asked AND NOT bad AS tone, asked AND NOT bad AND written AND n % 10 / 16 + 0.125 >= 0.6 AS rude FROM i),
-        v AS (SELECT *, CASE WHEN verdict IS NOT NULL THEN verdict WHEN bad THEN 'prompt_injection' WHEN rude THEN 'offensive_input' END AS final FROM o)
+    "classifier_verdicts": f"""WITH s AS (SELECT *, verdict IS NULL AND turn % 4 <> 0 AS looked, s * 0.75 + s * 0.25 AS tone FROM {_screened(_SPOKEN, 200)} AS q),
+        i AS (SELECT *, looked AND asked AND s >= 0.85 AS bad FROM s),
+        v AS (SELECT *, looked AND NOT bad AS toned, looked AND NOT bad AND asked AND tone >= 0.6 AS rude FROM i),
+        f AS (SELECT *, CASE WHEN verdict IS NOT NULL THEN verdict WHEN bad THEN 'prompt_injection' WHEN rude THEN 'offensive_input' END AS final FROM v)
         SELECT conv_id, turn, final AS verdict, CASE WHEN final IS NOT NULL THEN {_case("final", taxonomy.CATEGORY_OF, "uncategorized")} END AS category,
-        CASE WHEN verdict = 'message_length' THEN 'length=' || n || ' chars (limit 200)' WHEN verdict = 'prompt_injection' THEN 'detector=custom, pattern=' || pattern WHEN verdict = 'personal_data' THEN 'detected=' || kinds
-          WHEN bad THEN 'detector=classifier, model={_GUARD}, label=MALICIOUS, score=0.875, threshold=0.85'
-          WHEN rude THEN 'detector=classifier, model={_TONE}, label=offensive, score=' || printf('%.3f', CAST(n % 10 / 16 + 0.125 AS DOUBLE)) || ', threshold=0.60' ELSE '' END AS detail,
-        'length+injection_patterns+personal_data' || CASE WHEN asked THEN '+injection_classifier' ELSE '' END || CASE WHEN tone THEN '+offensive_input' ELSE '' END AS checks FROM v""",
+        CASE WHEN verdict = 'message_length' THEN 'length=' || length(text) || ' chars (limit 200)' WHEN verdict = 'prompt_injection' THEN 'detector=custom, pattern=' || pattern WHEN verdict = 'personal_data' THEN 'detected=' || kinds
+          WHEN bad THEN 'detector=classifier, model={_GUARD}, label=MALICIOUS, score=' || printf('%.3f', s) || ', threshold=0.85'
+          WHEN rude THEN 'detector=classifier, model={_TONE_MODEL}, label=offensive, score=' || printf('%.3f', tone) || ', threshold=0.60' ELSE '' END AS detail,
+        'length+injection_patterns+personal_data' || CASE WHEN looked THEN '+injection_classifier' ELSE '' END || CASE WHEN toned THEN '+offensive_input' ELSE '' END AS checks FROM f""",
     "output_log": f"""WITH k AS (SELECT {_kinds("text", _HELP)} AS kinds FROM {_SAID} AS a)
         SELECT CASE WHEN kinds <> '' THEN 'output_blocked' ELSE 'output_allowed' END AS kind, CASE WHEN kinds <> '' THEN 'privacy' END AS category, CASE WHEN kinds <> '' THEN 'output_personal_data' END AS verdict,
         CASE WHEN kinds <> '' THEN 'detected=' || kinds ELSE '' END AS detail, CASE WHEN kinds = '' THEN 'email+codice_fiscale+iban' END AS checks, count(*) AS n FROM k GROUP BY ALL""",
@@ -256,7 +260,7 @@ ORACLE_SQL |= {
           ('injection_unavailable', 'WARNING', 'input', 'guard=injection, model={_GATED}, error=RuntimeError: 401 gated [masked], patterns go on'),
           ('inference_failed', 'WARNING', 'input', 'guard=offensive, model={_FRAIL}, error=ValueError'),
           ('injection_label_mismatch', 'WARNING', NULL, 'model={_GATED}, declared=LABEL_0,LABEL_1, expected=INJECTION'),
-          ('offensive_label_mismatch', 'WARNING', NULL, 'model={_TONE}, declared=LABEL_0,LABEL_1, expected=OFFENSIVE,VIOLENT'),
+          ('offensive_label_mismatch', 'WARNING', NULL, 'model={_TONE_MODEL}, declared=LABEL_0,LABEL_1, expected=OFFENSIVE,VIOLENT'),
           ('injection_label_unmapped', 'WARNING', NULL, 'model={_GUARD}, label=MALICIOUS'),
           ('model_loading', 'INFO', NULL, 'model=m/a'), ('model_cache_hit', 'INFO', NULL, 'model=m/b'), ('model_released', 'INFO', NULL, 'model=m/b, device=cpu'),
           ('model_load_failed', 'WARNING', NULL, 'model=m/a, error=RuntimeError: 401 gated [masked], Access to this model has to be granted: accept its terms at https://huggingface.co/m/a, set an access token in the policy and restart; or choose a model without access control.')

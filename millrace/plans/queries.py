@@ -293,48 +293,53 @@ def allowlist_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addresses.join(allowlists.private_phones(documents, numbers, "US").withColumnRenamed("n_private", "n_phones"), "doc_id")
 
 
-def _stub(key: str) -> Callable[[list[str]], list]:
-    """A scorer for tests of the plumbing: it knows no language, only lengths. One key fails to load."""
-    if key == "broken":
-        raise RuntimeError("401 gated")
-    return lambda texts: [[{"label": "LABEL_2", "score": min(1.0, len(t) / 400)}, {"label": "LABEL_0", "score": max(0.0, 1 - len(t) / 400)}] for t in texts]
+GUARD, TONE = "meta-llama/Llama-Prompt-Guard-2-86M", "IMSyPP/hate_speech_multilingual"
+GATED, FRAIL = "deepset/deberta-v3-base-injection", "textdetox/bert-multilingual-toxicity-classifier"
+
+
+#: The tone of a text in two label spaces: as the one label of an injection model, and dealt to two classes that block.
+SPACES = {GUARD: (("LABEL_1", 1.0),), TONE: (("LABEL_2", 0.75), ("LABEL_3", 0.25), ("LABEL_0", 0.0))}
+
+
+def _tone_models(spark: SparkSession, sf_dir: str) -> scoring.Loader:
+    return tone.tone_loader(tone.tone_weights(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")), SPACES)
+
+
+def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns, the cases, and some in a toxic tone."""
+    rude = _rows(spark, inline.RUDE).select(F.col("conv_id").cast("long").alias("conv_id"), F.lit(1).cast("long").alias("turn"), "text")
+    return _asked(spark, sf_dir).unionByName(rude)
 
 
 def classifier_fail_open(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _turns(spark, sf_dir, "user").withColumn("n_chars", F.length("text").cast("long"))
-    meaning = {r[2]: r[3] for r in taxonomy.LABELS if r[1] == "IMSyPP/hate_speech_multilingual"}
+    """The tone model over all turns, and a model that cannot be loaded."""
+    load = _tone_models(spark, sf_dir)
+    meaning = {r[2]: r[3] for r in taxonomy.LABELS if r[1] == TONE}
     out = None
-    for key in ("stub", "broken"):
-        scored = scoring.score_messages(turns, key, _stub)
+    for key in (TONE, GATED):
+        scored = scoring.score_messages(_spoken(spark, sf_dir), key, load)
         decided = scored.withColumn("_d", scoring.decide_row(F.col("scores"), ["OFFENSIVE", "VIOLENT"], meaning, 0.60))
         rows = decided.select("conv_id", "turn", F.lit(key).alias("model"), "ran", "error_kind", (F.col("ran") & F.col("_d.triggered")).alias("triggered"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-GUARD, TONE = "meta-llama/Llama-Prompt-Guard-2-86M", "IMSyPP/hate_speech_multilingual"
-GATED, FRAIL = "deepset/deberta-v3-base-injection", "textdetox/bert-multilingual-toxicity-classifier"
-
+def classifier_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All input verdicts, the classifiers' too, by tone; turns divisible by four were answered by another part."""
+    policy = replace(NO_PHONE, max_message_chars=200, detect_prompt_injection_classifier=True, detect_offensive_input_classifier=True)
+    out = screen.screen_input(_spoken(spark, sf_dir), policy, load=_tone_models(spark, sf_dir), answered=F.col("turn") % 4 == 0)
+    return out.select("conv_id", "turn", "verdict", "category", "detail", F.array_join("checks", "+").alias("checks"))
 
-def _stand_in(key: str) -> Callable[[list[str]], list]:
-    """Scores from lengths alone, for tests of the plumbing. One model fails to load, one fails on every text."""
 
-    def tone(texts: list[str]) -> list:
-        return [[{"label": "LABEL_2", "score": len(t) % 10 / 16}, {"label": "LABEL_3", "score": 0.125}] for t in texts]
+def _failing(key: str) -> Callable[[list[str]], list]:
+    """One model fails to load, the other on every text."""
 
     def frail(texts: list[str]) -> list:
         raise ValueError(f"cannot read {texts[0]}")
 
     if key == GATED:
         raise RuntimeError("401 gated hf_abcdefgh12345678")
-    return {GUARD: lambda texts: [{"label": "LABEL_1", "score": 0.875 if len(t) % 5 == 0 else 0.5} for t in texts], TONE: tone, FRAIL: frail}[key]
-
-
-def classifier_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All input verdicts, the classifiers' too; turns divisible by four were answered by another part."""
-    policy = replace(NO_PHONE, max_message_chars=200, detect_prompt_injection_classifier=True, detect_offensive_input_classifier=True)
-    out = screen.screen_input(_turns(spark, sf_dir, "user"), policy, load=_stand_in, answered=F.col("turn") % 4 == 0)
-    return out.select("conv_id", "turn", "verdict", "category", "detail", F.array_join("checks", "+").alias("checks"))
+    return frail
 
 
 def guard_announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,7 +350,7 @@ def guard_announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = [("model_loading", "m/a", ""), ("model_load_failed", "m/a", "RuntimeError: 401 gated hf_abcdefgh99"), ("model_cache_hit", "m/b", ""), ("model_released", "m/b", "device=cpu")]
     labels = taxonomy.label_map(spark)
     parts = [
-        events.classifier_warnings(screen.screen_input(turns, failing, load=_stand_in), failing),
+        events.classifier_warnings(screen.screen_input(turns, failing, load=_failing), failing),
         events.missing_replies(screen.screen_input(turns, silent), "input"),
         events.active_guards(policy_frame(spark, POLICIES)),
         events.settings_fallbacks(_log(spark, sf_dir)),

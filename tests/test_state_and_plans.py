@@ -264,6 +264,41 @@ def test_tone_is_held_out(spark):
     assert tone.tone_weights(frame.limit(0), marks).count() == 0
 
 
+def test_texts_are_cut_to_what_a_model_reads():
+    from millrace.operators import scoring
+
+    class Model:
+        window = 3
+
+        def __call__(self, texts):
+            seen.append(list(texts))
+            return [{"label": "x", "score": 1.0} for _ in texts]
+
+    seen = []
+    texts = [" a b  c d", "a b", "é", *["one two three four"] * 200]
+    rows = scoring._run_texts(texts, "t/window", lambda key: Model())
+    assert [len(c) for c in seen] == [64, 64, 64, 11] and seen[0][:4] == [" a b  c", "a b", "é", "one two three"]
+    assert all(r[0] and r[4] >= 0 for r in rows)
+    assert [scoring.token_bound(type("M", (), {"window": w})()) for w in (None, 0, 511, 512, 4096, "7")] == [512, 512, 511, 512, 512, 512]
+    scoring.release_models(set())
+
+
+def test_model_events_and_latency_come_back(spark):
+    policy = Policy(detect_offensive_input_classifier=True, detect_input_phone=False, detect_output_phone=False, offensive_input_classifier_model="textdetox/bert-multilingual-toxicity-classifier")
+    turns = spark.createDataFrame([(1, "fine words"), (2, "scum"), (3, "mail a@b.org")], "msg_id bigint, text string").coalesce(1)
+
+    def load(key):
+        return lambda texts: [[{"label": "LABEL_1", "score": 0.9 if "scum" in t else 0.1}] for t in texts]
+
+    out = screen.screen_input(turns, policy, load=load).cache()
+    assert {r.msg_id: r.verdict for r in out.collect()} == {1: None, 2: "offensive_input", 3: "personal_data"}
+    kinds = {r.kind for r in events.model_events(out).collect()}
+    assert kinds & {"model_loaded", "model_cache_hit"} and "model_load_failed" not in kinds
+    told = {r.kind + (r.checks or ""): r.latency_ms for r in events.guard_events(out, "input", latency=F.col("inference_ms")).collect()}
+    assert told["input_allowedlength+injection_patterns+personal_data+offensive_input"] is not None
+    assert out.filter("msg_id = 3").first().inference_ms is None
+
+
 def test_tallies_add_up(spark, tmp_path):
     rng = random.Random(7)
     rows = [(rng.randrange(500), *rng.choice([("input", "limits", "message_length"), ("input", "privacy", "personal_data"), (None, None, None)])) for _ in range(3000)] + [(None, None, None, None)]
