@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import base36, latency_text, redact, remediation, threshold_text
 from ..sources.policy import DEVICES, Policy, access_token
+from ..sources.shared import stored
 from . import scoring
 from .scans import differs, scanned
 
@@ -121,12 +122,21 @@ def _event_rows(rows: DataFrame, kind: Column, level: Column, detail: Column, st
     )
 
 
-def classifier_warnings(screened: DataFrame, policy: Policy) -> DataFrame:
-    """Classifiers that could not look, each failure once, and what is left of their guard.
+def announced_failures(failures: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """failures (order, guard, model, error_kind, error), one row each time a classifier could not look → those to announce: a
+    failed load whenever its error differs from its guard's last one (A, B, A gives three), a failed inference once for each
+    model and class of error."""
+    loads = changes(failures.filter("error_kind = 'load'"), "error", order, ("guard",))
+    rest = failures.filter("error_kind <> 'load'")
+    first = rest.groupBy("guard", "model", "error_kind", "error").agg(F.min(F.struct(*order)).alias("at")).select(*[F.col(f"at.{c}").alias(c) for c in order], "guard", "model", "error_kind", "error")
+    return loads.select(*order, "guard", "model", "error_kind", "error").unionByName(first)
 
-    Distinct failures are combined map-side, so a model that fails on every message costs a row per task.
-    """
-    seen = screened.select(F.explode("failures").alias("f")).select("f.*").distinct()
+
+def classifier_warnings(screened: DataFrame, policy: Policy, order: tuple[str, ...] = ("conv_id", "turn")) -> DataFrame:
+    """Classifiers that could not look, in the order of their messages, and what is left of their guard."""
+    # kept, as an ordered scan reads its rows twice and models should not run again for it
+    failures = stored(screened.select(*order, F.explode("failures").alias("f")).select(*order, "f.*"), "failures")
+    seen = announced_failures(failures, order)
     loading = F.col("error_kind") == "load"
     left = F.when(F.col("guard") == "offensive", "no guard covers tone").otherwise("patterns go on" if policy.detect_prompt_injection_custom else "no guard covers security")
     kind = F.when(loading, F.concat("guard", F.lit("_unavailable"))).otherwise("inference_failed")

@@ -6,7 +6,8 @@ what a partition has to know of those before it, the last row of a key that goes
 row per partition, of bounded size, which is the only thing the driver sees.
 
 Rows travel twice, once into ranges (written to the shared folder, so that a lost executor does not deal them anew) and once
-by partition number; scan narrow rows and join wide ones afterwards. Order columns have to order the rows of a key fully:
+by partition number; scan narrow rows and join wide ones afterwards, and store rows that are costly to make, as finding the
+ranges reads them once more. Order columns have to order the rows of a key fully:
 rows that tie stand in any order. Nulls come first, as keys and in the order. Empty tables give none.
 """
 

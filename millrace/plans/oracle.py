@@ -195,8 +195,8 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT conv_id, turn, '{_GATED}', text IS NOT NULL AND NOT asked, CASE WHEN asked THEN 'load' END, false FROM {_SPOKEN} AS u""",
     "output_replace": f"""WITH a AS (SELECT CAST(msg_id AS BIGINT) AS conv_id, CAST(0 AS BIGINT) AS turn, text FROM {inline.MESSAGES} AS m UNION ALL SELECT * FROM {_SAID} AS u),
         k AS (SELECT *, {_kinds("text", _HELP)} <> '' AS bad FROM a)
-        SELECT conv_id, turn, CASE WHEN bad THEN 'output_personal_data' END AS verdict, CASE WHEN bad THEN '{_reply("output_personal_data")}' ELSE text END AS text,
-        CASE WHEN bad THEN '{_reply("output_personal_data")}' ELSE text END AS content FROM k""",
+        SELECT conv_id, turn, CASE WHEN bad THEN 'output_personal_data' END AS verdict, CASE WHEN bad THEN '{_reply("output_personal_data")}' WHEN conv_id % 2 = 1 THEN text END AS text,
+        CASE WHEN bad THEN '{_reply("output_personal_data")}' ELSE text END AS content, CASE WHEN NOT bad THEN 'source ' || conv_id END AS why FROM k""",
     "taxonomy_counts": f"""WITH v AS (SELECT verdict FROM {_screened(_USER, 200)} AS s UNION ALL SELECT CASE WHEN {_kinds("text", _HELP)} <> '' THEN 'output_personal_data' END FROM {_SAID} AS o
         UNION ALL SELECT verdict FROM {_screened("(SELECT text FROM documents)", 5000)} AS d),
         n AS (SELECT CASE WHEN verdict IS NULL THEN 'none' ELSE {_case("verdict", taxonomy.STAGE_OF, "unknown")} END AS stage, CASE WHEN verdict IS NULL THEN 'none' ELSE {_case("verdict", taxonomy.CATEGORY_OF, "uncategorized")} END AS category, coalesce(verdict, 'allowed') AS verdict FROM v)
@@ -258,6 +258,7 @@ ORACLE_SQL |= {
         r AS ({ORACLE_SQL["rearm"]}),
         e AS (SELECT * FROM (VALUES
           ('injection_unavailable', 'WARNING', 'input', 'guard=injection, model={_GATED}, error=RuntimeError: 401 gated [masked], patterns go on'),
+          ('offensive_unavailable', 'WARNING', 'input', 'guard=offensive, model={_TONE_MODEL}, error=RuntimeError: 401 gated [masked], no guard covers tone'),
           ('inference_failed', 'WARNING', 'input', 'guard=offensive, model={_FRAIL}, error=ValueError'),
           ('injection_label_mismatch', 'WARNING', NULL, 'model={_GATED}, declared=LABEL_0,LABEL_1, expected=INJECTION'),
           ('offensive_label_mismatch', 'WARNING', NULL, 'model={_TONE_MODEL}, declared=LABEL_0,LABEL_1, expected=OFFENSIVE,VIOLENT'),
@@ -291,4 +292,7 @@ ORACLE_SQL |= {
     "verdict_tallies": f"""SELECT stage, category, verdict, count(*) AS n_messages, true AS agrees FROM (SELECT CASE WHEN verdict IS NULL THEN 'none' ELSE {_case("verdict", taxonomy.STAGE_OF, "unknown")} END AS stage,
           CASE WHEN verdict IS NULL THEN 'none' ELSE {_case("verdict", taxonomy.CATEGORY_OF, "uncategorized")} END AS category, coalesce(verdict, 'allowed') AS verdict FROM {_screened(_USER, 200)} AS q) AS v GROUP BY ROLLUP (stage, category, verdict)""",
     "tone_words": f"SELECT * FROM {_TONE_WORDS} AS t",
+    "refusals_by_hour": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, 'input' AS stage, event_type AS verdict, count(*) AS n_events FROM events GROUP BY ALL",
+    "stream_answers": f"""SELECT conv_id, turn, CASE WHEN bad THEN 'output_personal_data' END AS verdict, CASE WHEN bad THEN 'output' END AS verdict_stage, md5(CASE WHEN bad THEN '{_reply("output_personal_data")}' ELSE text END) AS content_md5
+        FROM (SELECT *, {_kinds("text", _HELP)} <> '' AS bad FROM {_SAID} AS a) AS k""",
 }

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import allowlists, detect, events, inforce, phone, scoring, screen, tallies, tone
-from ..sources.messages import log_stream, spread
+from ..sources.messages import ROLES, log_stream, read_messages, spread
 from ..sources.policy import Policy, policy_frame
 from ..sources.policy_rows import bad_fields
 from ..sources.shared import shared_folder, stored
 from ..streaming.announcements import announced
-from ..streaming.screening import refusal_bursts, screen_stream, start_screening
+from ..streaming.screening import refusal_bursts, refusal_windows, screen_stream, start_screening
 from . import inline, phone_sql, taxonomy
 
 NO_PHONE = Policy(max_message_chars=60, detect_input_phone=False, detect_output_phone=False)
@@ -81,7 +81,7 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _turns(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
-    return _table(spark, sf_dir, "conversations").filter(F.col("role") == role).select("conv_id", "turn", "text")
+    return read_messages(spark, f"{sf_dir}/conversations.parquet", next(stage for stage, r in ROLES.items() if r == role))
 
 
 def length_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,10 +124,12 @@ def verdict_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def output_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers, half of them with their text in the other field, and their sources."""
     own = _rows(spark, inline.MESSAGES).select(F.col("msg_id").cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), "text")
     answers = own.unionByName(_turns(spark, sf_dir, "assistant")).withColumn("content", F.col("text"))
+    answers = answers.withColumns({"text": F.when(F.col("conv_id") % 2 == 1, F.col("text")), "why": F.concat(F.lit("source "), F.col("conv_id").cast("string"))})
     out = screen.replace_refused(screen.screen_output(answers, NO_PHONE))
-    return out.select("conv_id", "turn", "verdict", "text", "content")
+    return out.select("conv_id", "turn", "verdict", "text", "content", "why")
 
 
 def taxonomy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,19 +327,21 @@ def classifier_fail_open(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classifier_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All input verdicts, the classifiers' too, by tone; turns divisible by four were answered by another part."""
+    """All input verdicts, the classifiers' too, by tone; turns divisible by four were answered by another part, others got
+    something from it that is no answer, or nothing."""
+    replied = F.when(F.col("turn") % 4 == 0, F.create_map(F.lit("output"), F.lit("done"))).when(F.col("turn") % 4 == 1, F.create_map(F.lit("note"), F.lit("seen")))
     policy = replace(NO_PHONE, max_message_chars=200, detect_prompt_injection_classifier=True, detect_offensive_input_classifier=True)
-    out = screen.screen_input(_spoken(spark, sf_dir), policy, load=_tone_models(spark, sf_dir), answered=F.col("turn") % 4 == 0)
+    out = screen.screen_input(_spoken(spark, sf_dir), policy, load=_tone_models(spark, sf_dir), answered=screen.answered_elsewhere(replied, F.lit(True)))
     return out.select("conv_id", "turn", "verdict", "category", "detail", F.array_join("checks", "+").alias("checks"))
 
 
 def _failing(key: str) -> Callable[[list[str]], list]:
-    """One model fails to load, the other on every text."""
+    """Two models fail to load, the third on every text."""
 
     def frail(texts: list[str]) -> list:
         raise ValueError(f"cannot read {texts[0]}")
 
-    if key == GATED:
+    if key in (GATED, TONE):
         raise RuntimeError("401 gated hf_abcdefgh12345678")
     return frail
 
@@ -346,11 +350,13 @@ def guard_announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every kind of warning and announcement, counted."""
     turns = _turns(spark, sf_dir, "user")
     failing = replace(NO_PHONE, max_message_chars=200, detect_prompt_injection_classifier=True, prompt_injection_classifier_model=GATED, detect_offensive_input_classifier=True, offensive_input_classifier_model=FRAIL)
+    closed = replace(NO_PHONE, max_message_chars=200, detect_offensive_input_classifier=True)
     silent = replace(NO_PHONE, max_message_chars=200, message_too_long=" ")
     log = [("model_loading", "m/a", ""), ("model_load_failed", "m/a", "RuntimeError: 401 gated hf_abcdefgh99"), ("model_cache_hit", "m/b", ""), ("model_released", "m/b", "device=cpu")]
     labels = taxonomy.label_map(spark)
     parts = [
         events.classifier_warnings(screen.screen_input(turns, failing, load=_failing), failing),
+        events.classifier_warnings(screen.screen_input(turns, closed, load=_failing), closed),
         events.missing_replies(screen.screen_input(turns, silent), "input"),
         events.active_guards(policy_frame(spark, POLICIES)),
         events.settings_fallbacks(_log(spark, sf_dir)),
@@ -373,6 +379,15 @@ def stream_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("conv_id bigint, turn bigint, verdict string, category string").parquet(path)
 
 
+def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers as a stream: screened, and replaced where they hold personal data."""
+    path, state = shared_folder(spark, "stream"), shared_folder(spark, "state")
+    screened = screen_stream(spark, f"{sf_dir}/conversations.parque[t]", "output", NO_PHONE).withColumn("content", F.col("text"))
+    out = screen.replace_refused(screened).select("conv_id", "turn", "verdict", "verdict_stage", F.md5("content").alias("content_md5"))
+    start_screening(out, path, state).awaitTermination()
+    return spark.read.schema(out.schema).parquet(path)
+
+
 def _event_stream(spark: SparkSession, rows: DataFrame, order: str, batches: int = 4) -> DataFrame:
     """A table as a stream of micro-batches in the order of a column: a file each, written one after another."""
     path = shared_folder(spark, "events")
@@ -403,6 +418,12 @@ def stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(bursts.schema).parquet(out).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
+def refusals_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as refusals per hour, stage and verdict."""
+    rows = _table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.lit("input").alias("stage"), F.col("event_type").alias("verdict"))
+    return refusal_windows(rows).select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "stage", "verdict", "n_events")
+
+
 def stream_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log of a screened stream, written by batch, and the first batch played again."""
     out, state = shared_folder(spark, "log"), shared_folder(spark, "state")
@@ -442,6 +463,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         offensive_sum, injection_top, label_reachability, blocking_classes, summary_changes, once_per_key, rearm, turn_tokens, redact, access_marker, cache_keys,
         contacts_parse, policy_checks, coverage_summary, guard_log, unicode_fold, phone_kinds, classifier_fail_open, stream_screen, threshold_sweep,
         classifier_verdicts, guard_announcements, output_log, process_tokens, policy_in_force, policy_announcements, allowlist_tables, stream_announcements, stream_bursts,
-        stream_log, verdict_tallies, tone_words,
+        refusals_by_hour, stream_answers, stream_log, verdict_tallies, tone_words,
     )
 }

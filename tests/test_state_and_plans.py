@@ -140,6 +140,13 @@ def test_changes_tokens_and_rearming(spark):
     assert [r.turn_token for r in tokens] == ["0001", "0002", "0003", "0004", "0005", "0006"]
 
 
+def test_failures_are_told_when_they_change(spark):
+    rows = [(1, "injection", "m", "load", "A"), (2, "injection", "m", "load", "A"), (3, "injection", "m", "load", "B"), (4, "offensive", "o", "load", "B"), (5, "injection", "m", "load", "A"),
+            (6, "offensive", "o", "inference", "ValueError"), (7, "offensive", "o", "inference", "KeyError"), (8, "offensive", "o", "inference", "ValueError")]
+    failures = spark.createDataFrame(rows, "seq bigint, guard string, model string, error_kind string, error string")
+    assert sorted(r.seq for r in events.announced_failures(failures, ("seq",)).collect()) == [1, 3, 4, 5, 6, 7]
+
+
 # --- policies in force
 
 
