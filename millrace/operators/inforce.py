@@ -16,7 +16,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import allowed_addresses, extract_text, fold_text, parse_contacts, redact_plain, render
+from ..functions.text import allowed_addresses, extract_text, fold_text, is_settled, parse_contacts, redact_plain, render
 from ..plans.taxonomy import PERSONAL_DATA, PROMPT_INJECTION, category_of, stage_of
 from ..sources.policy import REPLY_FIELD, Policy, load_policy, policy_frame
 from . import detect, phone
@@ -64,7 +64,7 @@ def screen_in_force(turns: DataFrame, stage: str = "input", regions: list[str] |
         regions = sorted(r[0] for r in turns.select(f"policy.{stage}_phone_region").distinct().collect())
     field = lambda name: F.col(f"policy.{name}")
     content = F.col("content") if "content" in turns.columns else F.lit(None).cast("string")
-    out = turns.withColumn("_text", extract_text(F.col("text"), content)).withColumn("_forms", fold_text("_text"))
+    out = turns.withColumn("_text", extract_text(F.col("text"), content)).withColumn("_settled", is_settled(F.col("_text"))).withColumn("_forms", fold_text("_text", F.col("_settled")))
     out = out.withColumns({"_folded": F.col("_forms.folded"), "_phrase": F.col("_forms.phrase"), "_contacts": parse_contacts(field("public_service_contacts"))})
     out = out.withColumn("_phones", _phones(F.col("_folded"), stage, F.col("_contacts"), regions))
     tests = (detect.has_private_address(F.col("_folded"), allowed_addresses(field("help_desk_email"), F.col("_contacts"))), detect.has_fiscal_code(F.col("_folded")), detect.has_iban(F.col("_folded")), F.size("_phones") > 0)

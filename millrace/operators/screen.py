@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import allowed_addresses, extract_text, fold_text, parse_contacts, render
+from ..functions.text import allowed_addresses, extract_text, fold_text, is_settled, parse_contacts, render
 from ..plans.taxonomy import LABELS, OFFENSIVE_INPUT, OUTPUT_PERSONAL_DATA, PERSONAL_DATA, PROMPT_INJECTION, blocking_labels, category_of, stage_of
 from ..sources.policy import DEVICES, REPLY_FIELD, Policy, access_token
 from . import detect, phone, scoring
@@ -44,7 +44,7 @@ def prepared(messages: DataFrame, policy: Policy, stage: str) -> DataFrame:
     contacts = parse_contacts(F.lit(policy.public_service_contacts))
     folded = F.col("_folded")
     private = phone.private_numbers(folded, region, phone.allowed_numbers(contacts, region)) if toggles[3] else F.array().cast("array<struct<raw:string,e164:string,kind:string>>")
-    out = messages.withColumn("_text", extract_text(F.col("text"), content)).withColumn("_forms", fold_text("_text"))
+    out = messages.withColumn("_text", extract_text(F.col("text"), content)).withColumn("_settled", is_settled(F.col("_text"))).withColumn("_forms", fold_text("_text", F.col("_settled")))
     # columns of their own: fields of a struct would be worked out anew at each use
     out = out.withColumns({"_folded": F.col("_forms.folded"), "_phrase": F.col("_forms.phrase")}).withColumn("_phones", private)
     return out.withColumns(

@@ -68,7 +68,7 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    documents, labels = spread(_table(spark, sf_dir, "documents").select("doc_id", "text")), _table(spark, sf_dir, "labels")
     weights = stored(tone.tone_weights(documents, labels), "weights")
     return stored(tone.tone_scores(documents, labels, weights).filter(F.col("toxic").isNotNull()), "tone")
 
@@ -304,7 +304,7 @@ SPACES = {GUARD: (("LABEL_1", 1.0),), TONE: (("LABEL_2", 0.75), ("LABEL_3", 0.25
 
 
 def _tone_models(spark: SparkSession, sf_dir: str) -> scoring.Loader:
-    return tone.tone_loader(tone.tone_weights(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")), SPACES)
+    return tone.tone_loader(tone.tone_weights(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")), _table(spark, sf_dir, "labels")), SPACES)
 
 
 def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
