@@ -186,11 +186,13 @@ def score_messages(messages: DataFrame, key: str, load: Loader, text: str = "tex
 def injection_decision(scores: DataFrame, labels: DataFrame, threshold: float = 0.85) -> DataFrame:
     """scores (msg_id, model, ord, label, score) → the first score of each message against the threshold.
 
-    A label without a meaning never triggers.
+    A label without a meaning never triggers; a model without a label table is an error.
     """
     top = scores.filter(F.col("ord") == 0).withColumn("raw_label", clean_label(F.col("label")))
     known = labels.filter("guard = 'injection'").select("model", "raw_label", "semantic")
-    joined = top.join(F.broadcast(known), ["model", "raw_label"], "left")
+    models = known.select("model").distinct().withColumn("listed", F.lit(True))
+    joined = top.join(F.broadcast(known), ["model", "raw_label"], "left").join(F.broadcast(models), "model", "left")
+    joined = joined.withColumn("semantic", F.when(F.col("listed"), F.col("semantic")).otherwise(F.raise_error(F.concat(F.lit("no label table for "), F.col("model"))).cast("string")))
     return joined.select("msg_id", (F.coalesce(F.col("semantic") == "MALICIOUS", F.lit(False)) & (F.col("score") >= threshold)).alias("triggered"), F.coalesce("semantic", "raw_label").alias("label"), "score")
 
 

@@ -1,5 +1,7 @@
 """Every screening query with SQL gives what DuckDB gives."""
 
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -42,6 +44,12 @@ def test_other_queries_run(spark, name):
     assert QUERIES[name](spark, str(DATA)).count() > 0
 
 
+def test_a_missing_library_costs_no_screening_query():
+    root = Path(__file__).resolve().parents[1]
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.screening.QUERIES), len(e.oracle_sql()) > 30)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120).stdout.split() == ["True", "True"]
+
+
 def test_entry_names():
     import __spark_entry__ as entry
 

@@ -269,6 +269,19 @@ def test_tone_is_held_out(spark):
     assert tone.tone_weights(frame.limit(0), marks).count() == 0
 
 
+def test_a_model_without_labels_is_an_error(spark):
+    from millrace.operators import scoring
+    from millrace.plans import taxonomy
+
+    labels = taxonomy.label_map(spark)
+    rows = [(1, "meta-llama/Llama-Prompt-Guard-2-86M", 0, " label_1 ", 0.9), (2, "meta-llama/Llama-Prompt-Guard-2-86M", 0, "odd", 0.9)]
+    schema = "msg_id bigint, model string, ord int, label string, score double"
+    got = {r.msg_id: (r.triggered, r.label) for r in scoring.injection_decision(spark.createDataFrame(rows, schema), labels).collect()}
+    assert got == {1: (True, "MALICIOUS"), 2: (False, "ODD")}
+    with pytest.raises(Exception, match="no label table for other"):
+        scoring.injection_decision(spark.createDataFrame([(1, "other", 0, "LABEL_1", 0.9)], schema), labels).collect()
+
+
 def test_texts_are_cut_to_what_a_model_reads():
     from millrace.operators import scoring
 
