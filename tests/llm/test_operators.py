@@ -787,13 +787,14 @@ def test_ranks_against_power_iteration(spark):
 
 
 def test_verdicts_do_not_turn_with_seeds_elsewhere(spark):
-    """A host that leaks a little distrust and no trust stays; one next to a blocked seed goes, however many seeds there are."""
-    links_to = lambda *hosts: "".join(f'<a href="http://{h}/x">' for h in hosts)
+    """The only host behind a blocked seed goes, one among a hundred behind another stays, however many seeds there are."""
+    page = lambda k, host, to="": (k, f"http://{host}/", f'<a href="http://{to}/x">' if to else "")
     for more in (0, 40):
-        pages = [(1, "http://near.org/", links_to("casino.org")), (2, "http://far.org/", links_to("near.org", *[f"fine{k}.org" for k in range(60)])), (3, "http://plain.org/", "")]
-        pages += [(100 + k, f"http://s{k}.casino.net/", "") for k in range(more)]
+        pages = [page(1, "near.org", "my.casino.net"), page(2, "plain.org"), page(3, "my.casino.net"), page(4, "casino.org")]
+        pages += [page(100 + k, f"h{k}.org", "casino.org") for k in range(100)] + [page(300 + k, f"s{k}.casino.net") for k in range(more)]
         got = {r.host: r.verdict for r in links.filter_urls(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
-        assert (got["near.org"], got["far.org"], got["plain.org"]) == ("block", "allow", "allow")
+        assert (got["near.org"], got["plain.org"], got["casino.org"]) == ("block", "allow", "block")
+        assert {got[f"h{k}.org"] for k in range(100)} == {"allow"}
 
 
 # All
