@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -151,3 +153,10 @@ def gathered(values: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.nda
     ends = np.cumsum(each)
     source = (np.cumsum(lengths) - lengths)[which] - (ends - each)
     return flat[np.repeat(source, each) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: its worker lives on, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_pieces, only_ids
+from .common import Scratch, arrow_pieces, give_back, only_ids
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -195,8 +195,9 @@ def folded(cells: bytes, size: int) -> np.ndarray:
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
-    for part in arrow_pieces(batch, 1, 2_000_000):
+    for part in arrow_pieces(batch, 1, 1_000_000):
         yield from zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), size), strict=True)
+    give_back()
 
 
 def set_table(documents: DataFrame, join: JaccardJoin) -> DataFrame:

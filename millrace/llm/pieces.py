@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_pieces, gathered, let
+from .common import Scratch, arrow_pieces, gathered, give_back, let
 from .tokens import tokenizer_path
 
 SIGN = "▁"
@@ -45,7 +45,7 @@ CACHE_WORDS = 100_000
 LATTICE_SIGNS, LONG_WORD = 200_000, 64
 NEVER = 2**31 - 1
 #: Text is encoded in pieces of whole documents of about so many bytes.
-PIECE_BYTES = 1_000_000
+PIECE_BYTES = 500_000
 
 
 @dataclass(frozen=True)
@@ -502,5 +502,6 @@ def encode_documents(documents: DataFrame, rules: PieceRules = PieceRules(), wit
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+            give_back()
 
     return narrow.mapInArrow(run, RESULT + (", ids array<int>" if with_ids else ""))
