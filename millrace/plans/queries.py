@@ -388,34 +388,40 @@ def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(out.schema).parquet(path)
 
 
-def _event_stream(spark: SparkSession, rows: DataFrame, order: str, batches: int = 4) -> DataFrame:
-    """A table as a stream of micro-batches in the order of a column: a file each, written one after another."""
-    path = shared_folder(spark, "events")
+def _told_in_order(rows: DataFrame, order: str, tell: Callable[[DataFrame], DataFrame], batches: int = 4) -> DataFrame:
+    """What a stream tells of a table that arrives in micro-batches in the order of a column (whole numbers, nulls last).
+
+    Each batch is written by all tasks, by a range that reaches the scan, and then the stream runs over it from its
+    checkpoint, so that state goes on and a batch may have any number of files.
+    """
+    spark = rows.sparkSession
+    path, out, state = (shared_folder(spark, name) for name in ("events", "stream", "state"))
     low, high = rows.agg(F.min(order), F.max(order)).first()
-    for k in range(batches):
-        part = F.floor((F.col(order) - low) * batches / (high - low + 1)) == k
-        rows.filter(part).coalesce(1).write.parquet(f"{path}/part={k}")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    place, told = F.col(order), None
+    borders = [] if low is None else [low - -k * (high - low + 1) // batches for k in range(1, batches)]
+    for k, (start, end) in enumerate(zip([None, *borders], [*borders, None], strict=True)):
+        part = rows if start is None else rows.filter((place >= start) | place.isNull() if end is None else place >= start)
+        (part if end is None else part.filter(place < end)).write.parquet(f"{path}/part={k}")
+        told = tell(spark.readStream.schema(rows.schema).parquet(f"{path}/*"))
+        told.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(told.schema).parquet(out)
 
 
 def stream_announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream: each source's last value, last failure and counter are kept between micro-batches."""
+    """The events as a stream: each source's last value, last failure and counter are kept between micro-batches. Times may
+    stand in any order against ids: the watermark stays behind all of them, so that no row is late and no source expires."""
     e = _table(spark, sf_dir, "events")
     rows = e.select(F.col("user_id").alias("source"), F.col("event_id").alias("place"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("value"), F.when(F.col("event_type") == "error", F.concat(F.lit("error "), (F.col("user_id") % 3).cast("string"))).alias("reason"))
-    out, state = shared_folder(spark, "stream"), shared_folder(spark, "state")
-    told = announced(_event_stream(spark, rows, "place"))
-    told.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(told.schema).parquet(out)
+    span = rows.agg(F.max(F.unix_seconds("ts")) - F.min(F.unix_seconds("ts"))).first()[0] or 0
+    return _told_in_order(rows, "place", lambda stream: announced(stream, delay=f"{span + 3600} seconds"))
 
 
 def stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bursts of errors per source over the events as a stream. A last row far ahead moves the watermark past them all."""
     rows = _table(spark, sf_dir, "events").filter("event_type = 'error'").select(F.col("user_id").alias("source"), F.col("event_id").alias("place"), F.col("ts").cast("timestamp").alias("ts"))
     last = rows.agg(F.lit(-1).cast("long").alias("source"), (F.max("place") + 1).alias("place"), (F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"))
-    out, state = shared_folder(spark, "stream"), shared_folder(spark, "state")
-    bursts = refusal_bursts(_event_stream(spark, rows.unionByName(last), "place"), "2 hours", delay="1 day").select("source", "start", F.col("n_events"))
-    bursts.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(bursts.schema).parquet(out).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    bursts = _told_in_order(rows.unionByName(last), "place", lambda stream: refusal_bursts(stream, "2 hours", delay="1 day").select("source", "start", F.col("n_events")))
+    return bursts.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 def refusals_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:

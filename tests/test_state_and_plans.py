@@ -1,6 +1,7 @@
 """Phone numbers against their plans, ordered scans and stream state against plain loops, policies in force, tables of
 public contacts, tone, tallies, and the event log of a batch that is played again."""
 
+import json
 import random
 import unicodedata
 
@@ -210,6 +211,36 @@ def test_stream_state(spark, tmp_path):
     assert got == want
 
 
+def test_announcements_of_a_table_whose_times_start_over(spark, tmp_path):
+    """Copies of the events by shifted keys under the same times: no row of the later ones is late."""
+    import duckdb
+
+    from millrace.plans.oracle import ORACLE_SQL
+    from millrace.plans.queries import stream_announcements
+
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT event_id + 1000 * k AS event_id, ts, user_id + 7 * (k % 2) AS user_id, event_type, value, props FROM '/root/testdata/sf0.001/events.parquet' AS e, range(5) AS r(k)) TO '{tmp_path}/events.parquet'")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    told = stream_announcements(spark, f"file://{tmp_path}")
+    want = c.execute(f"SELECT source, place, token, value_announced, reason_announced FROM ({ORACLE_SQL['stream_announcements']}) AS q ORDER BY place").fetchall()
+    assert [tuple(r) for r in told.orderBy("place").select("source", "place", "token", "value_announced", "reason_announced").collect()] == want
+
+
+def test_one_source_of_a_bucket_expires(spark, tmp_path):
+    at = lambda hour: f"2026-01-01 {hour:02d}:00:00"
+    batches = [[("a", 1, at(0), "x", None), ("b", 2, at(0), "y", "r"), (None, 3, at(0), None, None)], [("b", 4, at(3), "y", "r"), (None, 5, at(3), None, "q")], [("a", 6, at(4), "x", None), ("b", 7, at(4), "y", None), (None, 8, at(4), "z", "q")]]
+    frame, calls = "source string, place bigint, ts string, value string, reason string", []
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, frame).withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(f"{tmp_path}/in/part={k}")
+        stream = announced(spark.readStream.schema(frame.replace("ts string", "ts timestamp")).parquet(f"{tmp_path}/in/*"), 3_600_000, "0 seconds", buckets=1)
+        query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        calls += [p["stateOperators"][0]["numRowsTotal"] for p in (json.loads(x.json) for x in query.recentProgress) if p["numInputRows"]]
+    got = [tuple(r) for r in spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").orderBy("place").collect()]
+    assert got == [("a", 1, "0001", True, False), ("b", 2, "0001", True, True), (None, 3, "0001", True, False), ("b", 4, "0002", False, False), (None, 5, "0002", False, True), ("a", 6, "0001", True, False), ("b", 7, "0003", False, False), (None, 8, "0003", True, False)]
+    assert calls == [1, 1, 1]  # one call of Python for all sources of a bucket
+
+
 def test_a_batch_played_again_is_not_doubled(spark, tmp_path):
     rows = spark.createDataFrame([("input", "a", 1), ("output", "b", 2), ("input", "c", 3)], "stage string, kind string, n int")
     for batch in (0, 1, 1, 0):
